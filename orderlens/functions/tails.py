@@ -7,9 +7,15 @@ a p-value of 1e-250 is not rounded to zero.
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Ship these helpers with the tasks, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def chi2_tail(x: float) -> float:
@@ -61,17 +67,17 @@ def student_two_sided(t: float, df: float) -> float:
     return 1.0 - scale * _beta_fraction(b, a, y) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_p(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if pd.isna(v) else chi2_tail(v)).astype("float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if pd.isna(v) else normal_two_sided(v)).astype("float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     pairs = zip(t, df)
     out = [

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.functions.columns import (
@@ -66,9 +66,10 @@ def dim_customer(customers: DataFrame, accounts: DataFrame) -> DataFrame:
     )
 
 
-def calendar(spark: SparkSession, start: str, end: str) -> DataFrame:
+def calendar(spark: SparkSession, start: str | Column, end: str | Column) -> DataFrame:
     """One row per day of [start, end) with the business calendar."""
-    first, last = F.lit(start).cast("date"), F.date_sub(F.lit(end).cast("date"), 1)
+    first, stop = (x if isinstance(x, Column) else F.lit(x) for x in (start, end))
+    first, last = first.cast("date"), F.date_sub(stop.cast("date"), 1)
     d = F.col("date_gst")
     weekday, day = F.dayofweek(d) - 1, F.dayofmonth(d)
     days = spark.range(1).select(F.explode(F.sequence(first, last)).alias("date_gst"))

@@ -107,47 +107,44 @@ ACCEPTED = (
 )
 
 
-def _not_null_results(tables: Mapping[str, DataFrame]) -> list[DataFrame]:
-    """All null counts of a table from one scan of it."""
-    columns: dict[str, list[str]] = {}
+def _row_checks() -> dict[str, list[tuple[str, str, Column]]]:
+    """table -> (check, column, violating condition), for checks of single rows."""
+    rows: dict[str, list[tuple[str, str, Column]]] = {}
     for table, column in NOT_NULL:
-        columns.setdefault(table, []).append(column)
-    out = []
-    for table, names in columns.items():
-        counts = tables[table].agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in names])
-        rows = F.array(
-            *[
-                F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_violations"))
-                for c in names
-            ]
-        )
-        out.append(
-            counts.select(F.inline(rows)).select(
-                F.lit("not_null").alias("check"),
+        rows.setdefault(table, []).append(("not_null", column, F.col(column).isNull()))
+    for table, column, values in ACCEPTED:
+        rows[table].append(("accepted_values", column, ~F.col(column).isin(*values)))
+    rate = F.col("item_fill_rate")
+    rows["fct_orders"].append(("range", "item_fill_rate", (rate < 0) | (rate > 1)))
+    rows["fct_order_items"].append(
+        ("version_found", "product_key", F.col("product_key").isNull())
+    )
+    return rows
+
+
+def _row_results(table: str, df: DataFrame, found: list[tuple[str, str, Column]]) -> DataFrame:
+    """All row checks of a table from one scan of it."""
+    counts = df.agg(*[F.count_if(bad).alias(f"_{i}") for i, (_, _, bad) in enumerate(found)])
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(check).alias("check"),
                 F.lit(table).alias("table_name"),
-                "column_name",
-                "n_violations",
-                (F.col("n_violations") == 0).alias("passed"),
+                F.lit(column).alias("column_name"),
+                F.col(f"_{i}").alias("n_violations"),
+                (F.col(f"_{i}") == 0).alias("passed"),
             )
-        )
-    return out
+            for i, (check, column, _) in enumerate(found)
+        ]
+    )
+    return counts.select(F.inline(rows))
 
 
 def run_checks(tables: Mapping[str, DataFrame], window: int) -> DataFrame:
     """Every check over the marts: one row each, with its number of violations."""
-    orders, items = tables["fct_orders"], tables["fct_order_items"]
-    customer_orders, customers = tables["fct_customer_orders"], tables["dim_customer"]
-    products = tables["dim_product"]
-    results = _not_null_results(tables)
-    results += [
-        _result("unique", t, c, check_unique(tables[t], [c])) for t, c in UNIQUE
-    ]
-    results += [
-        _result(
-            "accepted_values", t, c, check_accepted(tables[t], c, values, F.col(c).isNotNull())
-        )
-        for t, c, values in ACCEPTED
-    ]
+    orders, customers = tables["fct_orders"], tables["dim_customer"]
+    results = [_row_results(t, tables[t], found) for t, found in _row_checks().items()]
+    results += [_result("unique", t, c, check_unique(tables[t], [c])) for t, c in UNIQUE]
     results += [
         _result(
             "relationship",
@@ -156,12 +153,15 @@ def run_checks(tables: Mapping[str, DataFrame], window: int) -> DataFrame:
             check_relationship(orders, "customer_id", customers, "customer_id"),
         ),
         _result(
-            "range", "fct_orders", "item_fill_rate", check_range(orders, "item_fill_rate", 0, 1)
+            "any_flagged",
+            "dim_customer",
+            "is_test_account",
+            check_any(customers, "is_test_account"),
         ),
-        _result("any_flagged", "dim_customer", "is_test_account",
-                check_any(customers, "is_test_account")),
         _result(
-            "fill_order", "fct_orders", "order_date_gst",
+            "fill_order",
+            "fct_orders",
+            "order_date_gst",
             check_fill_order(orders, ["order_date_gst"]),
         ),
         _result(
@@ -169,12 +169,18 @@ def run_checks(tables: Mapping[str, DataFrame], window: int) -> DataFrame:
             "fct_customer_orders",
             "is_observable_30d",
             check_not_censored(
-                customer_orders, "order_date_gst", "is_observable_30d", window, orders
+                tables["fct_customer_orders"],
+                "order_date_gst",
+                "is_observable_30d",
+                window,
+                orders,
             ),
         ),
-        _result("no_overlap", "dim_product", "product_id",
-                check_no_overlap(products, "product_id")),
-        _result("version_found", "fct_order_items", "product_key",
-                check_version_found(items, "product_key")),
+        _result(
+            "no_overlap",
+            "dim_product",
+            "product_id",
+            check_no_overlap(tables["dim_product"], "product_id"),
+        ),
     ]
     return reduce(DataFrame.unionByName, results)

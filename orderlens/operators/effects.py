@@ -11,7 +11,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.functions.columns import outcome_bool, round_significant, safe_ratio
+from orderlens.functions.columns import (
+    outcome_bool,
+    round_significant,
+    safe_ratio,
+    split_offer,
+)
 from orderlens.operators.quantiles import quantile_bucket
 
 # Fixed value: the normal quantile used for every 95% interval.
@@ -46,14 +51,44 @@ def focal_orders(customer_orders: DataFrame) -> DataFrame:
     return kept.withColumn("repeated", outcome_bool(F.col("repeat_within_30d")))
 
 
-def arm_counts(df: DataFrame, outcome: str, treated: str, by: Sequence[str] = ()) -> DataFrame:
+# The attributes of a focal order that any read-out of the reports asks for.
+CELL = (
+    "segment",
+    "tenure",
+    "n_items",
+    "had_stockout",
+    "had_high_intent_stockout",
+    "offer_arm",
+    "substitution_type",
+    "repeated",
+)
+
+
+def focal_cells(focal: DataFrame) -> DataFrame:
+    """Focal orders counted per attribute combination, in the column ``weight``.
+
+    One scan of the orders serves every read-out that accepts a weight.
+    """
+    return split_offer(focal).groupBy(*CELL).agg(F.count(F.lit(1)).alias("weight"))
+
+
+def count_where(condition: Column, weight: str | None) -> Column:
+    """Aggregate: number of rows, or sum of their weights, where a condition holds."""
+    if weight is None:
+        return F.count_if(condition)
+    return F.coalesce(F.sum(F.when(condition, F.col(weight))), F.lit(0))
+
+
+def arm_counts(
+    df: DataFrame, outcome: str, treated: str, by: Sequence[str] = (), weight: str | None = None
+) -> DataFrame:
     """by..., size and successes of the treated and the control arm."""
     arm, hit = F.col(treated), F.col(outcome)
     return df.groupBy(*by).agg(
-        F.count_if(arm).alias("n_treated"),
-        F.count_if(arm & hit).alias("k_treated"),
-        F.count_if(~arm).alias("n_control"),
-        F.count_if(~arm & hit).alias("k_control"),
+        count_where(arm, weight).alias("n_treated"),
+        count_where(arm & hit, weight).alias("k_treated"),
+        count_where(~arm, weight).alias("n_control"),
+        count_where(~arm & hit, weight).alias("k_control"),
     )
 
 
@@ -77,10 +112,10 @@ def with_gap(counts: DataFrame) -> DataFrame:
 
 
 def diff_in_proportions(
-    df: DataFrame, outcome: str, treated: str, by: Sequence[str] = ()
+    df: DataFrame, outcome: str, treated: str, by: Sequence[str] = (), weight: str | None = None
 ) -> DataFrame:
     """Effect of a boolean arm on a boolean outcome, per ``by`` group."""
-    return with_gap(arm_counts(df, outcome, treated, by))
+    return with_gap(arm_counts(df, outcome, treated, by, weight))
 
 
 def effect(
@@ -89,6 +124,7 @@ def effect(
     treated: str,
     by: Sequence[str] = (),
     grouping_sets: Sequence[Sequence[str]] | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Effects with group size and treated share.
 
@@ -96,7 +132,7 @@ def effect(
     once at the finest grain and the sets are formed over those counts. A column
     outside a row's set is NULL.
     """
-    counts = arm_counts(df, outcome, treated, by)
+    counts = arm_counts(df, outcome, treated, by, weight)
     if grouping_sets is not None:
         sets = [[F.col(c) for c in s] for s in grouping_sets]
         sums = [F.sum(c).alias(c) for c in COUNTS]
@@ -115,13 +151,19 @@ def rate_table(df: DataFrame, outcome: str, by: Sequence[str] = ()) -> DataFrame
 
 
 def stratified_effect(
-    df: DataFrame, outcome: str, treated: str, stratum: str, by: Sequence[str] = ()
+    df: DataFrame,
+    outcome: str,
+    treated: str,
+    stratum: str,
+    by: Sequence[str] = (),
+    weight: str | None = None,
 ) -> DataFrame:
     """Effect reweighted to the population's strata, next to the plain one.
 
     A stratum without one of the arms has no effect, and then neither has the sum.
     """
-    strata = effect(df.filter(F.col(stratum).isNotNull()), outcome, treated, [*by, stratum])
+    known = df.filter(F.col(stratum).isNotNull())
+    strata = effect(known, outcome, treated, [*by, stratum], weight=weight)
     weighted = F.sum(F.col("effect_pp") * F.col("n")) / F.sum("n")
     complete = F.count("effect_pp") == F.count(F.lit(1))
     pooled = strata.groupBy(*by).agg(
@@ -140,20 +182,30 @@ def stratified_effect(
 
 
 def exposure_gradient(
-    df: DataFrame, stratum: str, size: str, treated: str, outcome: str
+    df: DataFrame,
+    stratum: str,
+    size: str,
+    treated: str,
+    outcome: str,
+    weight: str | None = None,
 ) -> DataFrame:
     """Per stratum: mean size, exposure rate and outcome rate of the unexposed."""
     arm, hit = F.col(treated), F.col(outcome)
+    times = F.lit(1) if weight is None else F.col(weight)
+
+    def n(condition: Column) -> Column:
+        return count_where(condition, weight)
+
     return df.groupBy(stratum).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(size).alias("mean_size"),
-        safe_ratio(F.count_if(arm), F.count(arm)).alias("exposure_rate"),
-        safe_ratio(F.count_if(~arm & hit), F.count_if(~arm)).alias("baseline_rate"),
+        n(F.lit(True)).alias("n"),
+        safe_ratio(F.sum(F.col(size) * times), n(F.col(size).isNotNull())).alias("mean_size"),
+        safe_ratio(n(arm), n(arm.isNotNull())).alias("exposure_rate"),
+        safe_ratio(n(~arm & hit), n(~arm)).alias("baseline_rate"),
     )
 
 
-def basket_strata(focal: DataFrame, buckets: int = 5) -> DataFrame:
-    return quantile_bucket(focal, "n_items", buckets, "basket_q")
+def basket_strata(focal: DataFrame, buckets: int = 5, weight: str | None = None) -> DataFrame:
+    return quantile_bucket(focal, "n_items", buckets, "basket_q", weight=weight)
 
 
 def contrast(
@@ -173,6 +225,7 @@ def contrast_by_type(
     controls: Mapping[str, str],
     outcome: str,
     min_n: int = 100,
+    weight: str | None = None,
 ) -> DataFrame:
     """Each type of the treated arm against every shared control arm.
 
@@ -180,7 +233,8 @@ def contrast_by_type(
     scan counts (arm, type); the rest happens on those few rows.
     """
     cells = df.groupBy(F.col(arm).alias("arm"), F.col(kind).alias("kind")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(outcome).alias("k")
+        count_where(F.lit(True), weight).alias("n"),
+        count_where(F.col(outcome), weight).alias("k"),
     )
     everything = Window.partitionBy(F.lit(0))
 
@@ -213,20 +267,21 @@ def contrast_by_type(
 CONTROLS = {"A_vs_declined": "declined", "B_vs_not_offered": "not_offered"}
 
 
-def substitution_contrasts(exposed: DataFrame, min_n: int) -> DataFrame:
+def substitution_contrasts(
+    exposed: DataFrame, min_n: int, weight: str | None = None
+) -> DataFrame:
     """Per swap type and control arm; ``exposed`` carries offer_arm and repeated."""
     return contrast_by_type(
-        exposed, "substitution_type", "offer_arm", "accepted", CONTROLS, "repeated", min_n
+        exposed, "substitution_type", "offer_arm", "accepted", CONTROLS, "repeated", min_n, weight
     )
 
 
-def proxy_estimates(exposed: DataFrame, min_n: int) -> DataFrame:
+def proxy_estimates(exposed: DataFrame, min_n: int, weight: str | None = None) -> DataFrame:
     """The three readings of a good substitution: consent, forgiveness, distance."""
-    wide = [
-        (label, arm) for label, arm in (("A", "declined"), ("B", "not_offered"))
-    ]
+    pooled_arms = (("A", "declined"), ("B", "not_offered"))
     cells = exposed.groupBy("offer_arm").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("repeated").alias("k")
+        count_where(F.lit(True), weight).alias("n"),
+        count_where(F.col("repeated"), weight).alias("k"),
     )
 
     def of(col: str, arm: str) -> Column:
@@ -242,11 +297,13 @@ def proxy_estimates(exposed: DataFrame, min_n: int) -> DataFrame:
                 of("n", arm).alias("n_control"),
                 of("k", arm).alias("k_control"),
             )
-            for label, arm in wide
+            for label, arm in pooled_arms
         ]
     )
     pooled = with_gap(cells.agg(pairs.alias("p")).select(F.inline("p")))
-    typed = substitution_contrasts(exposed, min_n).filter(F.col("control") == "B_vs_not_offered")
+    typed = substitution_contrasts(exposed, min_n, weight).filter(
+        F.col("control") == "B_vs_not_offered"
+    )
     return pooled.unionByName(typed.withColumn("proxy", F.lit("C")).select(*pooled.columns))
 
 

@@ -34,10 +34,8 @@ def _measures() -> list[Column]:
     ]
 
 
-def grain_summary(orders: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Both fill rates, the item miss rate and their gap in percentage points."""
-    summary = orders.groupBy(*by).agg(*_measures())
-    return summary.withColumns(
+def _with_miss(rates: DataFrame) -> DataFrame:
+    return rates.withColumns(
         {
             "item_miss_rate": 1 - F.col("item_fill_macro"),
             "gap_pp": (F.col("item_fill_macro") - F.col("order_fill")) * 100,
@@ -45,6 +43,11 @@ def grain_summary(orders: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def grain_summary(orders: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Both fill rates, the item miss rate and their gap in percentage points."""
+    return _with_miss(orders.groupBy(*by).agg(*_measures()))
+
+
 def with_band(orders: DataFrame, edges: Sequence[float], labels: Sequence[str]) -> DataFrame:
     return orders.withColumns(
         {
@@ -64,6 +67,15 @@ def grain_by_band(
     return banded.groupBy("basket_band", "ord").agg(*_measures()).orderBy("ord")
 
 
+def grain_with_total(
+    orders: DataFrame, edges: Sequence[float], labels: Sequence[str]
+) -> DataFrame:
+    """The bands and, with a NULL band, all orders together, in one scan."""
+    banded = with_band(orders, edges, labels)
+    keys = [F.col("basket_band"), F.col("ord")]
+    return _with_miss(banded.groupingSets([[], keys], *keys).agg(*_measures()))
+
+
 def fill_by_day(orders: DataFrame, date: str = "order_date_gst") -> DataFrame:
     return orders.groupBy(date).agg(*_measures())
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,63 +15,90 @@ from orderlens.operators.effects import population
 Tables = Mapping[str, DataFrame]
 
 
-def _item_fill(t: Tables) -> tuple[DataFrame, Column, Column]:
-    kept = F.count_if(~F.col("was_stocked_out"))
-    return t["fct_order_items"], kept, F.count(F.lit(1))
-
-
-def _order_fill(t: Tables) -> tuple[DataFrame, Column, Column]:
-    rows = population(t["fct_orders"], not_cancelled=True)
-    return rows, F.count_if("is_clean_order"), F.count(F.lit(1))
-
-
-def _repeat(t: Tables) -> tuple[DataFrame, Column, Column]:
-    rows = population(t["fct_customer_orders"], observable=True, not_flagged=True)
-    return rows, F.count_if(outcome_bool(F.col("repeat_within_30d"))), F.count(F.lit(1))
-
-
-def _conversion(t: Tables) -> tuple[DataFrame, Column, Column]:
-    return t["fct_sessions"], F.count_if("converted"), F.count(F.lit(1))
-
-
-def _substitution(t: Tables) -> tuple[DataFrame, Column, Column]:
-    rows = population(t["fct_orders"], not_cancelled=True, exposed=True)
-    return rows, F.count_if("substitute_offered"), F.count(F.lit(1))
-
-
-def _high_intent(t: Tables) -> tuple[DataFrame, Column, Column]:
-    rows = population(t["fct_orders"], not_cancelled=True)
-    return rows, F.count_if("had_high_intent_stockout"), F.count(F.lit(1))
-
-
-def _lag(t: Tables) -> tuple[DataFrame, Column, Column]:
-    return t["fct_orders"], F.sum("ingestion_lag_minutes"), F.count("ingestion_lag_minutes")
+@dataclass(frozen=True)
+class Metric:
+    """A ratio over one table: numerator and denominator of the rows in scope.
 
+    A value expression sums; without one, rows are counted.
+    """
 
-def _late(t: Tables) -> tuple[DataFrame, Column, Column]:
-    return t["fct_orders"], F.count_if("is_late_arriving"), F.count("is_late_arriving")
+    table: str
+    scope: Callable[[], Column]
+    hit: Callable[[], Column] | None = None
+    value: str | None = None
+
+    def numerator(self) -> Column:
+        if self.value:
+            return F.sum(F.when(self.scope(), F.col(self.value)))
+        return F.count_if(self.scope() & self.hit())
+
+    def denominator(self) -> Column:
+        return F.count_if(self.scope())
+
+
+def _kept() -> Column:
+    return ~F.col("is_cancelled")
+
+
+METRICS = {
+    "item_fill_rate": Metric(
+        "fct_order_items", lambda: F.lit(True), lambda: ~F.col("was_stocked_out")
+    ),
+    "order_fill_rate": Metric("fct_orders", _kept, lambda: F.col("is_clean_order")),
+    "repeat_rate_30d": Metric(
+        "fct_customer_orders",
+        lambda: F.col("is_observable_30d") & ~F.coalesce("is_test_account", F.lit(False)),
+        lambda: outcome_bool(F.col("repeat_within_30d")),
+    ),
+    "conversion_rate": Metric("fct_sessions", lambda: F.lit(True), lambda: F.col("converted")),
+    "substitution_rate": Metric(
+        "fct_orders", lambda: _kept() & F.col("had_stockout"), lambda: F.col("substitute_offered")
+    ),
+    "high_intent_stockout_rate": Metric(
+        "fct_orders", _kept, lambda: F.col("had_high_intent_stockout")
+    ),
+    "ingestion_lag_minutes": Metric(
+        "fct_orders",
+        lambda: F.col("ingestion_lag_minutes").isNotNull(),
+        value="ingestion_lag_minutes",
+    ),
+    "late_share": Metric(
+        "fct_orders",
+        lambda: F.col("is_late_arriving").isNotNull(),
+        lambda: F.col("is_late_arriving"),
+    ),
+}
 
 
-METRICS: dict[str, Callable[[Tables], tuple[DataFrame, Column, Column]]] = {
-    "item_fill_rate": _item_fill,
-    "order_fill_rate": _order_fill,
-    "repeat_rate_30d": _repeat,
-    "conversion_rate": _conversion,
-    "substitution_rate": _substitution,
-    "high_intent_stockout_rate": _high_intent,
-    "ingestion_lag_minutes": _lag,
-    "late_share": _late,
-}
+def contracted_metrics(
+    names: Sequence[str], tables: Tables, by: Sequence[str] = ()
+) -> DataFrame:
+    """by..., metric, value, numerator, denominator; one scan per source table."""
+    parts = []
+    for table in dict.fromkeys(METRICS[n].table for n in names):
+        own = [n for n in names if METRICS[n].table == table]
+        sums = tables[table].groupBy(*by).agg(
+            *[METRICS[n].numerator().alias(f"_n_{n}") for n in own],
+            *[METRICS[n].denominator().alias(f"_d_{n}") for n in own],
+        )
+        rows = F.array(
+            *[
+                F.struct(
+                    F.lit(n).alias("metric"),
+                    F.col(f"_n_{n}").alias("numerator"),
+                    F.col(f"_d_{n}").alias("denominator"),
+                )
+                for n in own
+            ]
+        )
+        parts.append(sums.select(*by, F.inline(rows)))
+    value = safe_ratio(F.col("numerator"), F.col("denominator")).alias("value")
+    return stack(*parts).select(*by, "metric", value, "numerator", "denominator")
 
 
 def metric(name: str, tables: Tables, by: Sequence[str] = ()) -> DataFrame:
-    """by..., value, numerator, denominator of a contracted metric."""
-    rows, numerator, denominator = METRICS[name](tables)
-    sums = rows.groupBy(*by).agg(
-        numerator.cast("bigint").alias("numerator"), denominator.alias("denominator")
-    )
-    value = safe_ratio(F.col("numerator"), F.col("denominator")).alias("value")
-    return sums.select(*by, value, "numerator", "denominator")
+    """by..., value, numerator, denominator of one contracted metric."""
+    return contracted_metrics([name], tables, by).drop("metric")
 
 
 def substitution_by_type(orders: DataFrame) -> DataFrame:

@@ -15,23 +15,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def frequencies(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
+def frequencies(
+    df: DataFrame, col: str, by: Sequence[str] = (), weight: str | None = None
+) -> DataFrame:
     """by..., x, n: how often each non-null value occurs."""
     known = df.filter(F.col(col).isNotNull())
-    return known.groupBy(*by, F.col(col).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    times = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    return known.groupBy(*by, F.col(col).alias("x")).agg(times.alias("n"))
 
 
 def exact_percentiles(
-    df: DataFrame, col: str, points: Sequence[float], by: Sequence[str] = ()
+    df: DataFrame,
+    col: str,
+    points: Sequence[float],
+    by: Sequence[str] = (),
+    weight: str | None = None,
 ) -> DataFrame:
     """by..., percentiles: interpolated percentiles as one array."""
-    freq = frequencies(df, col, by)
+    freq = frequencies(df, col, by, weight)
     array = F.array(*[F.lit(float(p)) for p in points])
     return freq.groupBy(*by).agg(F.percentile("x", array, F.col("n")).alias("percentiles"))
 
 
 def quantile_bucket(
-    df: DataFrame, col: str, buckets: int, out: str, by: Sequence[str] = ()
+    df: DataFrame,
+    col: str,
+    buckets: int,
+    out: str,
+    by: Sequence[str] = (),
+    weight: str | None = None,
 ) -> DataFrame:
     """0-based quantile bucket with right-closed bins and repeated edges merged.
 
@@ -39,7 +51,7 @@ def quantile_bucket(
     it, so tied columns give fewer and unequal buckets.
     """
     points = [i / buckets for i in range(buckets + 1)]
-    edges = exact_percentiles(df, col, points, by)
+    edges = exact_percentiles(df, col, points, by, weight)
     merged = F.array_distinct("percentiles")
     inner = F.slice(merged, 2, F.greatest(F.size(merged) - 2, F.lit(0))).alias("_inner")
 

@@ -5,9 +5,10 @@ A plain window sends every row of a key to one task. Here a key with more than
 ``cell_rows`` rows; windows run per (key, cell), and one small row per cell
 carries counts and border rows across. The result equals the plain window.
 
-Two bounds hold by construction: there are at most N / hot_rows hot keys, which
-is why that side may be broadcast, and at most N / cell_rows + N / hot_rows
-carry rows.
+Two bounds hold by construction, which is why both small sides are broadcast:
+there are at most N / hot_rows hot keys and at most N / cell_rows + N / hot_rows
+carry rows. With the defaults, 10^11 rows give under 130,000 of them. The rows
+themselves are shuffled once, as for the plain window.
 """
 
 from __future__ import annotations
@@ -138,7 +139,7 @@ def ordered_columns(
     border += [F.max(f"_top_{out}").over(earlier).alias(f"_c_{out}") for out in max_before]
     carry = cells.select(*group, *border)
 
-    joined = _left_by_key(rows, carry, group)
+    joined = _left_by_key(rows, F.broadcast(carry), group)
     added = {}
     if row_number:
         added[row_number] = F.col("_seq") + F.coalesce("_c_before", F.lit(0))

@@ -29,8 +29,8 @@ class Params:
     )
 
     # A key with more rows than hot_rows is split into cells of about cell_rows.
-    hot_rows: int = 1_000_000
-    cell_rows: int = 250_000
+    hot_rows: int = 4_000_000
+    cell_rows: int = 1_000_000
 
 
 # The end of an open validity range, and the swap types from the

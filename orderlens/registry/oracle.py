@@ -43,7 +43,7 @@ def _offers(o: str) -> str:
     return f"({_draw(o, 613, 100)} < 62)"
 
 
-def _gap(n1: str, k1: str, n0: str, k0: str, digits: int = 6) -> str:
+def _gap(n1: str, k1: str, n0: str, k0: str, digits: int = 8) -> str:
     """Rates, difference in pp and 95% interval from counts."""
     p1, p0 = f"({k1} * 1.0 / nullif({n1}, 0))", f"({k0} * 1.0 / nullif({n0}, 0))"
     half = f"(196 * sqrt({p1} * (1 - {p1}) / nullif({n1}, 0) + {p0} * (1 - {p0}) / nullif({n0}, 0)))"
@@ -67,13 +67,13 @@ def _yates(n1: str, k1: str, n0: str, k0: str) -> str:
 
 
 _FILL = """count(*) AS orders, CAST(sum(n_items) AS BIGINT) AS items,
-  round(avg(n_items), 6) AS mean_basket, round(avg(item_fill_rate), 6) AS item_fill_macro,
-  round(1 - sum(n_stocked_out) * 1.0 / sum(n_items), 6) AS item_fill_micro,
-  round(avg(CAST(is_clean_order AS INT)), 6) AS order_fill"""
+  round(avg(n_items), 8) AS mean_basket, round(avg(item_fill_rate), 8) AS item_fill_macro,
+  round(1 - sum(n_stocked_out) * 1.0 / sum(n_items), 8) AS item_fill_micro,
+  round(avg(CAST(is_clean_order AS INT)), 8) AS order_fill"""
 _FILL_GAP = (
     _FILL
-    + """, round(1 - avg(item_fill_rate), 6) AS item_miss_rate,
-  round(100 * (avg(item_fill_rate) - avg(CAST(is_clean_order AS INT))), 6) AS gap_pp"""
+    + """, round(1 - avg(item_fill_rate), 8) AS item_miss_rate,
+  round(100 * (avg(item_fill_rate) - avg(CAST(is_clean_order AS INT))), 8) AS gap_pp"""
 )
 _BAND = """CASE WHEN n_items <= 3 THEN '1-3' WHEN n_items <= 6 THEN '4-6'
   WHEN n_items <= 10 THEN '7-10' WHEN n_items <= 15 THEN '11-15' ELSE '16+' END"""
@@ -354,15 +354,15 @@ _ROWS = "n_treated, k_treated, n_control, k_control"
 def _srm(stage: str, c: str, t: str, source: str, extra: str = "") -> str:
     half = f"(({c} + {t}) * 0.5)"
     return f"""SELECT {extra}{stage}{c} AS n_control, {t} AS n_treatment,
-      round({c} * 1.0 / ({c} + {t}), 6) AS observed_share, 0.5::DOUBLE AS expected_share,
-      round(power({c} - {half}, 2) / {half} + power({t} - {half}, 2) / {half}, 6) AS chi2,
+      round({c} * 1.0 / ({c} + {t}), 8) AS observed_share, 0.5::DOUBLE AS expected_share,
+      round(power({c} - {half}, 2) / {half} + power({t} - {half}, 2) / {half}, 8) AS chi2,
       power({c} - {half}, 2) / {half} + power({t} - {half}, 2) / {half} > 10.827566170662733
         AS srm_detected
     FROM {source}"""
 
 
 def _effect_sets(sets: str, cols: str) -> str:
-    return f"""SELECT {cols}, {_ROWS}, n, round(n_treated * 1.0 / n, 6) AS treated_share,
+    return f"""SELECT {cols}, {_ROWS}, n, round(n_treated * 1.0 / n, 8) AS treated_share,
       {_gap(*_COUNTS)}
     FROM (SELECT {cols}, {_ARMS}, count(*) AS n FROM focal GROUP BY GROUPING SETS ({sets}))"""
 
@@ -370,7 +370,7 @@ def _effect_sets(sets: str, cols: str) -> str:
 def _metric(name: str, source: str, num: str, den: str, by: str = "") -> str:
     group = f" GROUP BY {by}" if by else ""
     head = f"{by}, " if by else ""
-    return f"""SELECT {head}'{name}' AS metric, round({num} * 1.0 / {den}, 6) AS value,
+    return f"""SELECT {head}'{name}' AS metric, round({num} * 1.0 / {den}, 8) AS value,
       CAST({num} AS BIGINT) AS numerator, CAST({den} AS BIGINT) AS denominator
     FROM {source}{group}"""
 
@@ -439,7 +439,7 @@ def _quality() -> str:
 
 
 _STORE_FILL = """(SELECT darkstore_id, count(*) AS orders,
-    round(avg(CAST(is_clean_order AS INT)), 6) AS order_fill FROM {} GROUP BY darkstore_id)"""
+    round(avg(CAST(is_clean_order AS INT)), 8) AS order_fill FROM {} GROUP BY darkstore_id)"""
 _UNFLAGGED = """(SELECT * FROM clean_orders WHERE customer_id IN
     (SELECT customer_id FROM dim_customer WHERE NOT is_test_account))"""
 
@@ -496,7 +496,7 @@ _BODIES = {
           (SELECT count(*) FROM visits))) t(table_name, grain, latency, owner, n_rows)""",
     "fact_layout": """SELECT CAST(date_trunc('month', order_date_gst) AS DATE) AS order_month,
         count(*) AS orders, CAST(sum(n_items) AS BIGINT) AS items,
-        round(sum(gross_value_aed), 2) AS gross_value_aed FROM fct_orders GROUP BY ALL""",
+        round(sum(gross_value_aed), 3) AS gross_value_aed FROM fct_orders GROUP BY ALL""",
     "lookback_overwrite": f"""SELECT m AS order_month, count(*) AS orders,
         count(*) FILTER (is_late_arriving) AS late_orders
       FROM (SELECT CAST(date_trunc('month', order_date_gst) AS DATE) AS m, is_late_arriving
@@ -520,7 +520,7 @@ _BODIES = {
     # --- staging and dimensions
     "stage_customers": """SELECT customer_id, segment, acquired_on, home_darkstore_id,
         is_test_account_source_flag FROM dim_customer""",
-    "stage_products": """SELECT * REPLACE (round(base_price_aed, 4) AS base_price_aed)
+    "stage_products": """SELECT * REPLACE (round(base_price_aed, 8) AS base_price_aed)
       FROM stg_products""",
     "stage_darkstores": "SELECT * FROM stg_darkstores",
     "stage_orders": "SELECT * FROM stg_orders",
@@ -535,7 +535,7 @@ _BODIES = {
     "dedup_events": """SELECT order_id, any_value(customer_id) AS customer_id,
         any_value(darkstore_id) AS darkstore_id, event_type, min(event_at_utc) AS event_at_utc
       FROM raw_order_events GROUP BY order_id, event_type""",
-    "dim_product": """SELECT * REPLACE (round(base_price_aed, 4) AS base_price_aed)
+    "dim_product": """SELECT * REPLACE (round(base_price_aed, 8) AS base_price_aed)
       FROM dim_product""",
     "dim_darkstore": "SELECT * FROM dim_darkstore",
     "dim_customer": "SELECT * FROM dim_customer",
@@ -548,12 +548,12 @@ _BODIES = {
       FROM (SELECT CAST(unnest(generate_series(min(order_date_gst), max(order_date_gst),
               INTERVAL 1 DAY)) AS DATE) AS d FROM stg_orders)""",
     "scd2_products": """SELECT product_id, category, moment AS valid_from,
-        round(base_price_aed, 4) AS base_price_aed,
+        round(base_price_aed, 8) AS base_price_aed,
         lead(moment) OVER (PARTITION BY product_id ORDER BY moment) AS valid_to,
         lead(moment) OVER (PARTITION BY product_id ORDER BY moment) IS NULL AS is_current
       FROM product_changes""",
     "scd2_price_asof": """SELECT p.category, p.is_current, count(*) AS lines,
-        round(sum(i.quantity * p.base_price_aed), 2) AS value_aed
+        round(sum(i.quantity * p.base_price_aed), 3) AS value_aed
       FROM raw_order_items i JOIN stg_orders o USING (order_id)
       ASOF JOIN stg_products p
         ON p.product_id = i.product_id AND o.order_date_gst >= p.valid_from
@@ -565,15 +565,15 @@ _BODIES = {
         AND a.valid_from < b.valid_from AND b.valid_from < a.valid_to
       GROUP BY ALL""",
     # --- facts
-    "order_items_fact": """SELECT * REPLACE (round(base_price_aed, 4) AS base_price_aed,
-        round(line_value_aed, 4) AS line_value_aed) FROM fct_order_items""",
-    "orders_fact": """SELECT * REPLACE (round(gross_value_aed, 4) AS gross_value_aed,
-        round(item_fill_rate, 4) AS item_fill_rate) FROM fct_orders""",
+    "order_items_fact": """SELECT * REPLACE (round(base_price_aed, 8) AS base_price_aed,
+        round(line_value_aed, 8) AS line_value_aed) FROM fct_order_items""",
+    "orders_fact": """SELECT * REPLACE (round(gross_value_aed, 8) AS gross_value_aed,
+        round(item_fill_rate, 8) AS item_fill_rate) FROM fct_orders""",
     "customer_sequence": _SEQUENCE,
     "customer_sequence_split": _SEQUENCE,
-    "customer_orders_fact": """SELECT * REPLACE (round(gross_value_aed, 4) AS gross_value_aed,
-        round(item_fill_rate, 4) AS item_fill_rate) FROM fct_customer_orders""",
-    "sessions_fact": """SELECT * REPLACE (round(gross_value_aed, 4) AS gross_value_aed)
+    "customer_orders_fact": """SELECT * REPLACE (round(gross_value_aed, 8) AS gross_value_aed,
+        round(item_fill_rate, 8) AS item_fill_rate) FROM fct_customer_orders""",
+    "sessions_fact": """SELECT * REPLACE (round(gross_value_aed, 8) AS gross_value_aed)
       FROM fct_sessions""",
     "flagged_account_orders": """SELECT CASE WHEN is_test_account THEN 'flagged' ELSE 'others'
         END AS accounts, count(*) AS orders, CAST(sum(n_items) AS BIGINT) AS items
@@ -589,40 +589,40 @@ _BODIES = {
       LEFT JOIN n ON n.darkstore_id = s.darkstore_id AND n.order_date_gst = day""",
     # --- outliers and profiles
     "mad_outliers": """SELECT customer_id, order_count, active_days,
-        round(orders_per_active_day, 6) AS orders_per_active_day, med AS med_orders,
-        mad AS mad_orders, round(threshold, 6) AS threshold, is_test_account FROM accounts""",
-    "threshold_sweep": f"""SELECT k, round(t, 6) AS threshold,
+        round(orders_per_active_day, 8) AS orders_per_active_day, med AS med_orders,
+        mad AS mad_orders, round(threshold, 8) AS threshold, is_test_account FROM accounts""",
+    "threshold_sweep": f"""SELECT k, round(t, 8) AS threshold,
         CAST(sum(CAST(order_count > t AS INT)) AS BIGINT) AS flagged,
         round(count(*) FILTER (order_count > t AND is_heavy) * 1.0
-          / nullif(count(*) FILTER (order_count > t), 0), 6) AS precision,
+          / nullif(count(*) FILTER (order_count > t), 0), 8) AS precision,
         round(count(*) FILTER (order_count > t AND is_heavy) * 1.0
-          / nullif(count(*) FILTER (is_heavy), 0), 6) AS recall
+          / nullif(count(*) FILTER (is_heavy), 0), 8) AS recall
       FROM (SELECT k, med + k * 1.4826 * nullif(mad, 0) AS t, order_count, is_heavy
             FROM robust, (SELECT CAST(unnest({list(SWEEP)}) AS DOUBLE) AS k),
             activity LEFT JOIN truth USING (customer_id))
       GROUP BY k, t""",
     "quantile_profiles": " UNION ALL ".join(
         f"""SELECT coalesce(is_heavy, false) AS is_heavy, '{col}' AS feature, count(*) AS n,
-          round(CAST(min({col}) AS DOUBLE), 6) AS lowest,
-          round(CAST(median({col}) AS DOUBLE), 6) AS median,
-          round(CAST(quantile_cont({col}, 0.99) AS DOUBLE), 6) AS p99,
-          round(CAST(max({col}) AS DOUBLE), 6) AS highest
+          round(CAST(min({col}) AS DOUBLE), 8) AS lowest,
+          round(CAST(median({col}) AS DOUBLE), 8) AS median,
+          round(CAST(quantile_cont({col}, 0.99) AS DOUBLE), 8) AS p99,
+          round(CAST(max({col}) AS DOUBLE), 8) AS highest
         FROM activity LEFT JOIN truth USING (customer_id) GROUP BY 1"""
         for col in ("order_count", "orders_per_active_day")
     ),
     "score_flag": """SELECT tp AS true_positive, fp AS false_positive, fn AS false_negative,
-        tn AS true_negative, round(tp * 1.0 / nullif(tp + fp, 0), 6) AS precision,
-        round(tp * 1.0 / nullif(tp + fn, 0), 6) AS recall
+        tn AS true_negative, round(tp * 1.0 / nullif(tp + fp, 0), 8) AS precision,
+        round(tp * 1.0 / nullif(tp + fn, 0), 8) AS recall
       FROM (SELECT count(*) FILTER (p AND t) AS tp, count(*) FILTER (p AND NOT t) AS fp,
           count(*) FILTER (NOT p AND t) AS fn, count(*) FILTER (NOT p AND NOT t) AS tn
         FROM (SELECT coalesce(is_test_account, false) AS p, coalesce(is_heavy, false) AS t
               FROM dim_customer FULL JOIN truth USING (customer_id)))""",
     "duplicate_share": """SELECT n_rows, n_keys,
-        round((n_rows - n_keys) * 1.0 / n_rows, 6) AS duplicate_share
+        round((n_rows - n_keys) * 1.0 / n_rows, 8) AS duplicate_share
       FROM (SELECT count(*) AS n_rows, count(DISTINCT (order_id, event_type)) AS n_keys
             FROM raw_order_events)""",
     "day_shift_share": """SELECT count(*) AS n_rows, count(*) FILTER (moved) AS n_moved,
-        round(avg(CAST(moved AS INT)), 6) AS moved_share
+        round(avg(CAST(moved AS INT)), 8) AS moved_share
       FROM (SELECT hour(ordered_at_utc) >= 20 AS moved FROM stg_orders)""",
     # --- grain
     "grain_summary": f"SELECT {_FILL_GAP} FROM clean_orders",
@@ -632,29 +632,29 @@ _BODIES = {
           + CAST(n_items > 10 AS INT) + CAST(n_items > 15 AS INT) AS INT) AS ord, {_FILL}
       FROM clean_orders GROUP BY basket_band, ord""",
     "fill_by_day": f"SELECT order_date_gst, {_FILL} FROM fct_orders GROUP BY order_date_gst",
-    "identity_gap": """SELECT round(1 - f, 6) AS item_miss_rate, round(b, 6) AS mean_basket,
-        round(o, 6) AS order_fill, round(power(f, b), 6) AS identity_at_mean,
-        round(100 * (o - power(f, b)), 6) AS gap_pp
+    "identity_gap": """SELECT round(1 - f, 8) AS item_miss_rate, round(b, 8) AS mean_basket,
+        round(o, 8) AS order_fill, round(power(f, b), 8) AS identity_at_mean,
+        round(100 * (o - power(f, b)), 8) AS gap_pp
       FROM (SELECT avg(item_fill_rate) AS f, avg(n_items) AS b,
               avg(CAST(is_clean_order AS INT)) AS o FROM clean_orders)""",
-    "fill_curve": f"""SELECT darkstore_id, round(1 - f, 6) AS item_miss_rate,
-        CAST(n AS INT) AS n_items, round(power(f, n), 6) AS order_fill
+    "fill_curve": f"""SELECT darkstore_id, round(1 - f, 8) AS item_miss_rate,
+        CAST(n AS INT) AS n_items, round(power(f, n), 8) AS order_fill
       FROM (SELECT darkstore_id, avg(item_fill_rate) AS f FROM clean_orders GROUP BY ALL),
         range(1, {CURVE_MAX + 1}) r(n)""",
     "required_miss": f"""SELECT n_items, count(*) AS orders,
-        round(1 - power({FILL_TARGET}, 1.0 / n_items), 6) AS required_miss,
-        round(power({FILL_TARGET}, 1.0 / n_items), 6) AS required_item_fill,
+        round(1 - power({FILL_TARGET}, 1.0 / n_items), 8) AS required_miss,
+        round(power({FILL_TARGET}, 1.0 / n_items), 8) AS required_item_fill,
         1 - power({FILL_TARGET}, 1.0 / n_items) < 0.005 AS is_infeasible
       FROM clean_orders GROUP BY n_items""",
     # --- effects
-    "effect_pooled": f"""SELECT {_ROWS}, n, round(n_treated * 1.0 / n, 6) AS treated_share,
+    "effect_pooled": f"""SELECT {_ROWS}, n, round(n_treated * 1.0 / n, 8) AS treated_share,
         {_gap(*_COUNTS)} FROM (SELECT {_ARMS}, count(*) AS n FROM focal)""",
     "effect_by_tenure": _effect_sets("(), (tenure)", "tenure"),
     "effect_by_segment": _effect_sets(
         "(), (segment), (tenure), (segment, tenure)", "segment, tenure"
     ),
     "repeat_rates": """SELECT segment, had_stockout, count(*) AS n,
-        round(avg(CAST(repeated AS INT)), 6) AS rate FROM focal GROUP BY ALL""",
+        round(avg(CAST(repeated AS INT)), 8) AS rate FROM focal GROUP BY ALL""",
     "quantile_buckets": """SELECT basket_q, count(*) AS orders, min(n_items) AS smallest,
         max(n_items) AS largest FROM strata GROUP BY basket_q""",
     "quantile_buckets_by_segment": """
@@ -671,17 +671,17 @@ _BODIES = {
           100.0 * sum(k_treated) / sum(n_treated) - 100.0 * sum(k_control) / sum(n_control) AS d,
           sum(n * (100.0 * k_treated / n_treated - 100.0 * k_control / n_control)) / sum(n) AS w
         FROM s)
-      SELECT n_strata, round(d, 6) AS naive_pp, round(w, 6) AS stratified_pp,
-        round(w - d, 6) AS shift_pp FROM a""",
-    "exposure_gradient": """SELECT basket_q, count(*) AS n, round(avg(n_items), 6) AS mean_size,
-        round(avg(CAST(had_stockout AS INT)), 6) AS exposure_rate,
-        round(avg(CAST(repeated AS INT)) FILTER (NOT had_stockout), 6) AS baseline_rate
+      SELECT n_strata, round(d, 8) AS naive_pp, round(w, 8) AS stratified_pp,
+        round(w - d, 8) AS shift_pp FROM a""",
+    "exposure_gradient": """SELECT basket_q, count(*) AS n, round(avg(n_items), 8) AS mean_size,
+        round(avg(CAST(had_stockout AS INT)), 8) AS exposure_rate,
+        round(avg(CAST(repeated AS INT)) FILTER (NOT had_stockout), 8) AS baseline_rate
       FROM strata GROUP BY basket_q""",
-    "high_intent_effect": f"""SELECT {_ROWS}, n, round(n_treated * 1.0 / n, 6) AS treated_share,
+    "high_intent_effect": f"""SELECT {_ROWS}, n, round(n_treated * 1.0 / n, 8) AS treated_share,
         {_gap(*_COUNTS)}
       FROM (SELECT {_ARMS.replace("had_stockout", "had_high_intent_stockout")}, count(*) AS n
             FROM exposed)""",
-    "offer_arms": """SELECT offer_arm, count(*) AS n, round(avg(CAST(repeated AS INT)), 6) AS rate
+    "offer_arms": """SELECT offer_arm, count(*) AS n, round(avg(CAST(repeated AS INT)), 8) AS rate
       FROM exposed GROUP BY offer_arm""",
     "arm_contrast_by_segment": f"""SELECT segment, {_ROWS}, {_gap(*_COUNTS)}
       FROM (SELECT segment, count(*) FILTER (offer_arm = 'accepted') AS n_treated,
@@ -690,14 +690,14 @@ _BODIES = {
           count(*) FILTER (offer_arm = 'declined' AND repeated) AS k_control
         FROM exposed WHERE offer_arm <> 'not_offered' GROUP BY segment)""",
     "proxy_contrasts": f"SELECT proxy, substitution_type, {_ROWS}, {_gap(*_COUNTS)} FROM proxies",
-    "proxy_spread": """SELECT round(max(p), 6) AS best_pp, round(min(p), 6) AS worst_pp,
-        round(max(p) - min(p), 6) AS spread_pp
+    "proxy_spread": """SELECT round(max(p), 8) AS best_pp, round(min(p), 8) AS worst_pp,
+        round(max(p) - min(p), 8) AS spread_pp
       FROM (SELECT 100.0 * k_treated / n_treated - 100.0 * k_control / n_control AS p
             FROM proxies)""",
     "contrast_by_type": f"""SELECT *, CASE WHEN ci_lo < 0 AND ci_hi > 0 THEN 'indistinguishable'
         ELSE 'distinct' END AS verdict
       FROM (SELECT control, substitution_type, {_ROWS}, {_gap(*_COUNTS)} FROM swap_effects)""",
-    "rank_effects": """SELECT control, substitution_type, round(pp, 6) AS effect_pp,
+    "rank_effects": """SELECT control, substitution_type, round(pp, 8) AS effect_pp,
         CAST(row_number() OVER (PARTITION BY control ORDER BY pp DESC) AS INT) AS rank
       FROM swap_effects""",
     "ranking_stability": """SELECT control, ranking,
@@ -714,8 +714,8 @@ _BODIES = {
           power(10, ceil(log10(lost * 2400)) - 2) AS ur
         FROM (SELECT tenure, 5000 * treated_share * size_pp / 100 AS lost
               FROM tenure_points))""",
-    "effect_ratio": """SELECT round(a.size_pp / b.size_pp, 6) AS effect_ratio,
-        round(a.n * 1.0 / (a.n + b.n), 6) AS focal_share
+    "effect_ratio": """SELECT round(a.size_pp / b.size_pp, 8) AS effect_ratio,
+        round(a.n * 1.0 / (a.n + b.n), 8) AS focal_share
       FROM tenure_points a, tenure_points b
       WHERE a.tenure = 'new' AND b.tenure = 'established'""",
     "orders_lost": """SELECT tenure, round(f, 4) AS order_fill,
@@ -731,11 +731,11 @@ _BODIES = {
         count(*) FILTER (converted) AS n_with FROM event_frame GROUP BY ALL""",
     "chi2_2x2": f"""SELECT week, CAST(round({_yates("nt", "ct", "nc", "cc")}, 4) AS DOUBLE)
         AS chi2, 1 AS df FROM event_arms""",
-    "welch_t_stat": f"""SELECT round(mc, 4) AS mean_control, round(mt, 4) AS mean_treatment,
+    "welch_t_stat": f"""SELECT round(mc, 8) AS mean_control, round(mt, 8) AS mean_treatment,
         round((mc - mt) / sqrt({_WELCH}), 4) AS welch_t,
         round(power({_WELCH}, 2) / (power(vc / cc, 2) / (cc - 1) + power(vt / ct, 2) / (ct - 1)),
           4) AS df FROM arms""",
-    "welch_t_events": """SELECT week, round(a, 4) AS mean_first, round(b, 4) AS mean_second,
+    "welch_t_events": """SELECT week, round(a, 8) AS mean_first, round(b, 8) AS mean_second,
         round((a - b) / sqrt(va / na + vb / nb), 4) AS welch_t,
         round(power(va / na + vb / nb, 2)
           / (power(va / na, 2) / (na - 1) + power(vb / nb, 2) / (nb - 1)), 4) AS df
@@ -752,25 +752,25 @@ _BODIES = {
       r AS (SELECT rank() OVER (ORDER BY o) AS ro,
           rank() OVER (ORDER BY f) + (count(*) OVER (PARTITION BY f) - 1) / 2.0 AS rf,
           rank() OVER (ORDER BY c) + (count(*) OVER (PARTITION BY c) - 1) / 2.0 AS rc FROM b)
-      SELECT count(*) AS n_groups, round(corr(ro, rf), 6) AS rho, 'item_fill_macro' AS rate FROM r
-      UNION ALL SELECT count(*), round(corr(ro, rc), 6), 'order_fill' FROM r""",
-    "mde": """SELECT least(nc, nt) AS n_per_arm, round(rc * 1.0 / nc, 6) AS baseline_rate,
+      SELECT count(*) AS n_groups, round(corr(ro, rf), 8) AS rho, 'item_fill_macro' AS rate FROM r
+      UNION ALL SELECT count(*), round(corr(ro, rc), 8), 'order_fill' FROM r""",
+    "mde": """SELECT least(nc, nt) AS n_per_arm, round(rc * 1.0 / nc, 8) AS baseline_rate,
         round((1.959963984540054 + 0.8416212335729143)
-          * sqrt(2.0 * rc / nc * (1 - rc * 1.0 / nc) / least(nc, nt)) * 100, 6) AS mde_pp
+          * sqrt(2.0 * rc / nc * (1 - rc * 1.0 / nc) / least(nc, nt)) * 100, 8) AS mde_pp
       FROM arms""",
     "conversion_effect": f"""SELECT nc AS n_control, nt AS n_treatment,
-        {_gap("nt", "ct", "nc", "cc", 4)},
-        round((ct * 1.0 / nt) / (cc * 1.0 / nc) - 1, 4) AS relative_loss,
+        {_gap("nt", "ct", "nc", "cc")},
+        round((ct * 1.0 / nt) / (cc * 1.0 / nc) - 1, 8) AS relative_loss,
         round({_yates("nt", "ct", "nc", "cc")}, 4) AS chi2 FROM arms""",
     "conversion_by_week": f"""SELECT week, nc AS n_control, nt AS n_treatment,
-        {_gap("nt", "ct", "nc", "cc", 4)},
-        round((ct * 1.0 / nt) / (cc * 1.0 / nc) - 1, 4) AS relative_loss,
+        {_gap("nt", "ct", "nc", "cc")},
+        round((ct * 1.0 / nt) / (cc * 1.0 / nc) - 1, 8) AS relative_loss,
         round({_yates("nt", "ct", "nc", "cc")}, 4) AS chi2 FROM event_arms""",
     "itt_readout": f"""SELECT 'assigned' AS population, nc AS n_control, nt AS n_treatment,
-        {_gap("nt", "rt", "nc", "rc", 4)}, round({_yates("nt", "rt", "nc", "rc")}, 4) AS chi2
+        {_gap("nt", "rt", "nc", "rc")}, round({_yates("nt", "rt", "nc", "rc")}, 4) AS chi2
       FROM arms""",
     "exposed_readout": f"""SELECT 'exposed' AS population, sc AS n_control, st AS n_treatment,
-        {_gap("st", "srt", "sc", "src", 4)}, round({_yates("st", "srt", "sc", "src")}, 4) AS chi2
+        {_gap("st", "srt", "sc", "src")}, round({_yates("st", "srt", "sc", "src")}, 4) AS chi2
       FROM arms""",
     # --- contracted metrics
     "business_metrics": " UNION ALL ".join(_metric(n, *spec) for n, spec in _METRICS.items()),
@@ -781,12 +781,12 @@ _BODIES = {
     ),
     "substitution_by_type": """SELECT CASE WHEN substitute_offered THEN substitution_type END
         AS substitution_type, count(*) AS n, round(count(*) * 1.0
-          / (SELECT count(*) FROM clean_orders WHERE had_stockout), 6) AS value
+          / (SELECT count(*) FROM clean_orders WHERE had_stockout), 8) AS value
       FROM clean_orders WHERE had_stockout GROUP BY 1""",
     "provisional_days": """SELECT order_date_gst,
-        round(avg(ingestion_lag_minutes), 6) AS mean_lag_minutes,
+        round(avg(ingestion_lag_minutes), 8) AS mean_lag_minutes,
         max(ingestion_lag_minutes) AS max_lag_minutes,
-        round(avg(CAST(is_late_arriving AS INT)), 6) AS late_share,
+        round(avg(CAST(is_late_arriving AS INT)), 8) AS late_share,
         order_date_gst > (SELECT max(order_date_gst) FROM fct_orders) - 2 AS is_provisional
       FROM fct_orders GROUP BY order_date_gst""",
     "store_age": f"""SELECT CAST(floor(store_age_days_at_order / 365) AS BIGINT) AS store_years,
@@ -794,7 +794,7 @@ _BODIES = {
     # --- checks and scoring
     "quality_checks": _quality(),
     "within_tolerance": _NEAR,
-    "rank_matches": f"""WITH r AS (SELECT substitution_type, round(pp, 6) AS effect_pp, repair,
+    "rank_matches": f"""WITH r AS (SELECT substitution_type, round(pp, 8) AS effect_pp, repair,
           CAST(row_number() OVER (ORDER BY pp DESC) AS INT) AS estimated_rank,
           CAST(row_number() OVER (ORDER BY repair DESC) AS INT) AS true_rank
         FROM swap_effects JOIN (VALUES {_TRUE_SWAP}) t(substitution_type, repair)

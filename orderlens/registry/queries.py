@@ -7,11 +7,11 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderlens.functions.columns import days_between, split_offer
+from orderlens.functions.columns import split_offer
 from orderlens.operators import checks, metrics, outliers, scd2, scoring, staging, stats
 from orderlens.operators import effects as E
 from orderlens.operators import experiment as X
@@ -88,10 +88,10 @@ class Context:
         return outliers.entity_activity(kept, "customer_id", "order_date_gst")
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 8, /, **special: int) -> DataFrame:
     """Doubles to a fixed number of decimals, so two engines agree on the value."""
     cols = [
-        (F.round(f.name, digits) + F.lit(0.0)).alias(f.name)
+        (F.round(f.name, special.get(f.name, digits)) + F.lit(0.0)).alias(f.name)
         if isinstance(f.dataType, T.DoubleType)
         else F.col(f.name)
         for f in df.schema.fields
@@ -137,7 +137,7 @@ def fact_layout(c: Context) -> DataFrame:
         stored.groupBy("order_month").agg(
             F.count(F.lit(1)).alias("orders"), F.sum("n_items").alias("items"),
             F.sum("gross_value_aed").alias("gross_value_aed"),
-        ), 2,
+        ), 3,
     )
 
 
@@ -179,7 +179,7 @@ def stage_customers(c: Context) -> DataFrame:
 
 @query
 def stage_products(c: Context) -> DataFrame:
-    return rounded(c.lazy["stg_products"], 4)
+    return rounded(c.lazy["stg_products"])
 
 
 @query
@@ -220,17 +220,17 @@ def dedup_events(c: Context) -> DataFrame:
 # --- dimensions ------------------------------------------------------------
 @query
 def dim_product(c: Context) -> DataFrame:
-    return rounded(c.lazy["dim_product"], 4)
+    return rounded(c.stored["dim_product"])
 
 
 @query
 def dim_darkstore(c: Context) -> DataFrame:
-    return rounded(c.lazy["dim_darkstore"])
+    return rounded(c.stored["dim_darkstore"])
 
 
 @query
 def dim_customer(c: Context) -> DataFrame:
-    return c.lazy["dim_customer"]
+    return c.stored["dim_customer"]
 
 
 def _order_calendar(c: Context) -> DataFrame:
@@ -248,7 +248,7 @@ def calendar(c: Context) -> DataFrame:
 @query
 def scd2_products(c: Context) -> DataFrame:
     changes = c.sources.product_changes()
-    return rounded(scd2.scd2_from_changes(changes, ["product_id"], "at"), 4)
+    return rounded(scd2.scd2_from_changes(changes, ["product_id"], "at"))
 
 
 @query
@@ -266,7 +266,7 @@ def scd2_price_asof(c: Context) -> DataFrame:
     return rounded(
         priced.groupBy("category", "is_current").agg(
             F.count(F.lit(1)).alias("lines"), F.sum(value).alias("value_aed")
-        ), 2,
+        ), 3,
     )
 
 
@@ -284,17 +284,17 @@ def scd2_overlaps(c: Context) -> DataFrame:
 # --- facts -----------------------------------------------------------------
 @query
 def order_items_fact(c: Context) -> DataFrame:
-    return rounded(c.lazy["fct_order_items"], 4)
+    return rounded(c.stored["fct_order_items"])
 
 
 @query
 def orders_fact(c: Context) -> DataFrame:
-    return rounded(c.lazy["fct_orders"], 4)
+    return rounded(c.stored["fct_orders"])
 
 
 @query
 def customer_sequence(c: Context) -> DataFrame:
-    return c.lazy["int_customer_order_sequence"]
+    return c.stored["int_customer_order_sequence"]
 
 
 @query
@@ -307,12 +307,12 @@ def customer_sequence_split(c: Context) -> DataFrame:
 
 @query
 def customer_orders_fact(c: Context) -> DataFrame:
-    return rounded(c.lazy["fct_customer_orders"], 4)
+    return rounded(c.stored["fct_customer_orders"])
 
 
 @query
 def sessions_fact(c: Context) -> DataFrame:
-    return rounded(c.lazy["fct_sessions"], 4)
+    return rounded(c.stored["fct_sessions"])
 
 
 @query
@@ -345,7 +345,7 @@ def densified_daily_orders(c: Context) -> DataFrame:
 # --- outliers and profiles -------------------------------------------------
 @query
 def mad_outliers(c: Context) -> DataFrame:
-    return rounded(c.lazy["int_test_accounts"])
+    return rounded(c.stored["int_test_accounts"])
 
 
 @query
@@ -586,18 +586,18 @@ def crosstab2(c: Context) -> DataFrame:
 @query
 def chi2_2x2(c: Context) -> DataFrame:
     tested = stats.chi2_2x2(c.sources.event_experiment(), "variant", "converted", ["week"])
-    return rounded(tested.drop("p_value"), 4)
+    return rounded(tested.drop("p_value"), chi2=4, welch_t=4, df=4)
 
 
 @query
 def welch_t_stat(c: Context) -> DataFrame:
-    return rounded(X.selection_evidence(c.arms).drop("p_value"), 4)
+    return rounded(X.selection_evidence(c.arms).drop("p_value"), welch_t=4, df=4)
 
 
 @query
 def welch_t_events(c: Context) -> DataFrame:
     tested = stats.welch_t(c.sources.event_experiment(), "value", "variant", by=["week"])
-    return rounded(tested.drop("p_value"), 4)
+    return rounded(tested.drop("p_value"), chi2=4, welch_t=4, df=4)
 
 
 @query
@@ -617,24 +617,24 @@ def mde(c: Context) -> DataFrame:
 
 @query
 def conversion_effect(c: Context) -> DataFrame:
-    return rounded(X.conversion_effect(c.arms).drop("p_value"), 4)
+    return rounded(X.conversion_effect(c.arms).drop("p_value"), chi2=4)
 
 
 @query
 def conversion_by_week(c: Context) -> DataFrame:
     counted = X.arm_statistics(c.sources.event_experiment(), "variant", by=["week"])
     wide = X.side_by_side(counted, "variant", "control", "treatment", ["week"])
-    return rounded(X.conversion_effect(wide, ["week"]).drop("p_value"), 4)
+    return rounded(X.conversion_effect(wide, ["week"]).drop("p_value"), chi2=4)
 
 
 @query
 def itt_readout(c: Context) -> DataFrame:
-    return rounded(X.readout(c.arms, "assigned").drop("p_value"), 4)
+    return rounded(X.readout(c.arms, "assigned").drop("p_value"), chi2=4)
 
 
 @query
 def exposed_readout(c: Context) -> DataFrame:
-    return rounded(X.readout(c.arms, "exposed").drop("p_value"), 4)
+    return rounded(X.readout(c.arms, "exposed").drop("p_value"), chi2=4)
 
 
 @query
@@ -654,21 +654,13 @@ def analysis_report(c: Context) -> DataFrame:
 # --- contracted metrics ----------------------------------------------------
 @query
 def business_metrics(c: Context) -> DataFrame:
-    rows = [
-        metrics.metric(name, c.stored).withColumn("metric", F.lit(name))
-        for name in metrics.METRICS
-    ]
-    return rounded(metrics.stack(*rows))
+    return rounded(metrics.contracted_metrics(list(metrics.METRICS), c.stored))
 
 
 @query
 def business_metrics_by_store(c: Context) -> DataFrame:
-    per_store = [n for n in metrics.METRICS if n != "conversion_rate"]
-    rows = [
-        metrics.metric(name, c.stored, ["darkstore_id"]).withColumn("metric", F.lit(name))
-        for name in per_store
-    ]
-    return rounded(metrics.stack(*rows))
+    per_store = [n for n, m in metrics.METRICS.items() if m.table != "fct_sessions"]
+    return rounded(metrics.contracted_metrics(per_store, c.stored, ["darkstore_id"]))
 
 
 @query

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings the operators are written for. A join whose key is hot is
 # split by the adaptive planner, also where that costs one more exchange.
@@ -40,3 +40,13 @@ def work_dir(spark: SparkSession) -> str:
     shared = tempfile.mkdtemp(prefix="orderlens-")
     spark.sparkContext.setCheckpointDir(shared)
     return shared
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Compute a small intermediate result once, in the shared checkpoint folder.
+
+    For aggregates that several read-outs start from: without it each read-out
+    would scan the facts again with its own columns.
+    """
+    work_dir(df.sparkSession)
+    return df.checkpoint()

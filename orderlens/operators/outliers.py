@@ -73,22 +73,24 @@ def detect_test_accounts(orders: DataFrame, k: float) -> DataFrame:
 def sweep_threshold(
     activity: DataFrame, ks: Sequence[float], truth: DataFrame, key: str, col: str, label: str
 ) -> DataFrame:
-    """Flagged count, precision and recall for each k, in one pass over the keys."""
+    """Flagged count, precision and recall for each k.
+
+    Keys are counted per (value, label) first; the ks multiply only those cells.
+    """
     stats = robust_stats(activity, col)
-    labelled = activity.select(key, col).join(truth.select(key, label), key, "left")
-    is_true = F.coalesce(F.col(label), F.lit(False))
-    scored = with_scalars(
-        labelled.groupBy(F.col(col), is_true.alias("t")).agg(F.count(F.lit(1)).alias("n")), stats
+    labelled = activity.select(key, F.col(col).alias("x")).join(
+        truth.select(key, label), key, "left"
     )
+    is_true = F.coalesce(F.col(label), F.lit(False)).alias("is_true")
+    cells = labelled.groupBy("x", is_true).agg(F.count(F.lit(1)).alias("n"))
     per_k = F.explode(F.array(*[F.lit(float(k)) for k in ks])).alias("k")
-    spread = scored.select(per_k, col, "t", "n", "med", "mad").withColumn(
-        "threshold", F.col("med") + F.col("k") * MAD_TO_SIGMA * F.nullif(F.col("mad"), F.lit(0.0))
-    )
-    flagged = F.when(F.col(col) > F.col("threshold"), F.col("n")).otherwise(0)
+    bar = F.col("med") + F.col("k") * MAD_TO_SIGMA * F.nullif(F.col("mad"), F.lit(0.0))
+    spread = with_scalars(cells, stats).select("*", per_k).withColumn("threshold", bar)
+    flagged = F.when(F.col("x") > F.col("threshold"), F.col("n")).otherwise(0)
     counted = spread.groupBy("k", "threshold").agg(
         F.sum(flagged).alias("flagged"),
-        F.sum(F.when(F.col("t"), flagged).otherwise(0)).alias("hits"),
-        F.sum(F.when(F.col("t"), F.col("n")).otherwise(0)).alias("positives"),
+        F.sum(F.when(F.col("is_true"), flagged).otherwise(0)).alias("hits"),
+        F.sum(F.when(F.col("is_true"), F.col("n")).otherwise(0)).alias("positives"),
     )
     return counted.select(
         "k",

@@ -9,14 +9,20 @@ from pyspark.sql import functions as F
 
 from orderlens.params import OPEN_END
 
-MINUTE_MICROS = 60_000_000
-
 
 # --- time ------------------------------------------------------------------
-def micros(ts: Column) -> Column:
-    """Microseconds since 1970 of a timestamp without zone, in any session zone."""
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.timestamp_diff("MICROSECOND", epoch, ts)
+def clock_minutes(ts: Column) -> Column:
+    """Whole minutes since 1970 on the column's own clock.
+
+    Read from the calendar fields: no session zone is involved.
+    """
+    days = F.unix_date(ts.cast("date")).cast("bigint")
+    return days * 1440 + F.hour(ts) * 60 + F.minute(ts)
+
+
+def clock_seconds(ts: Column) -> Column:
+    """Whole seconds since 1970 on the column's own clock."""
+    return clock_minutes(ts) * 60 + F.second(ts)
 
 
 def to_local(ts: Column, tz: str) -> Column:
@@ -34,7 +40,7 @@ def local_hour(ts: Column, tz: str) -> Column:
 
 def minutes_between(start: Column, end: Column) -> Column:
     """Minute boundaries crossed from start to end (00:00:59 -> 00:01:00 is 1)."""
-    return F.floor(micros(end) / MINUTE_MICROS) - F.floor(micros(start) / MINUTE_MICROS)
+    return clock_minutes(end) - clock_minutes(start)
 
 
 def days_between(start: Column, end: Column) -> Column:

@@ -53,11 +53,17 @@ def mad_outliers(df: DataFrame, key: str, col: str, k: float, exact: bool = True
     )
 
 
-def detect_test_accounts(orders: DataFrame, k: float) -> DataFrame:
-    """Per-customer activity of non-cancelled orders with the heavy-account flag."""
-    activity = entity_activity(
-        orders.filter(~F.col("is_cancelled")), "customer_id", "order_date_gst"
-    )
+def customer_activity(orders: DataFrame) -> DataFrame:
+    """Per-customer activity of non-cancelled orders."""
+    kept = orders.filter(~F.col("is_cancelled"))
+    return entity_activity(kept, "customer_id", "order_date_gst")
+
+
+def detect_test_accounts(activity: DataFrame, k: float) -> DataFrame:
+    """Customer activity with the heavy-account flag.
+
+    The activity is read three times (median, deviation, flag): store it first.
+    """
     return mad_outliers(activity, "customer_id", "order_count", k).select(
         "customer_id",
         "order_count",

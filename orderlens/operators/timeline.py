@@ -20,20 +20,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderlens.functions.columns import days_between, micros
+from orderlens.functions.columns import clock_seconds, days_between
 
-def _position(df: DataFrame, name: str) -> Column:
-    """A number that orders like the column itself."""
-    kind = df.schema[name].dataType
+def _position(column: Column, kind: T.DataType) -> Column:
+    """A number that never decreases along the column; equal numbers share a cell."""
     if isinstance(kind, T.TimestampNTZType):
-        return micros(F.col(name)).cast("double")
+        return clock_seconds(column).cast("double")
     if isinstance(kind, T.TimestampType):
-        return F.unix_micros(name).cast("double")
+        return F.unix_micros(column).cast("double")
     if isinstance(kind, T.DateType):
-        return F.unix_date(name).cast("double")
+        return F.unix_date(column).cast("double")
     if isinstance(kind, T.NumericType):
-        return F.col(name).cast("double")
-    raise TypeError(f"{name} must be a date, timestamp or number to order by, not {kind}")
+        return column.cast("double")
+    raise TypeError(f"order by a date, timestamp or number first, not {kind.simpleString()}")
 
 
 def _left_by_key(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -45,18 +44,19 @@ def _left_by_key(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Dat
 
 
 def _with_cells(
-    df: DataFrame, keys: Sequence[str], position: Column, hot_rows: int, cell_rows: int
+    df: DataFrame, keys: Sequence[str], by: str, hot_rows: int, cell_rows: int
 ) -> DataFrame:
+    """Add ``_cell`` (zero unless the key is hot) and ``_width`` (NULL unless hot)."""
+    kind = df.schema[by].dataType
     stats = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min(position).alias("_from"),
-        F.max(position).alias("_to"),
+        F.count(F.lit(1)).alias("_n"), F.min(by).alias("_low"), F.max(by).alias("_high")
     )
-    span = (F.col("_to") - F.col("_from")) / F.ceil(F.col("_n") / cell_rows)
-    hot = stats.filter((F.col("_n") > hot_rows) & (F.col("_to") > F.col("_from"))).select(
-        *keys, "_from", span.alias("_width")
+    low, high = (_position(F.col(c), kind) for c in ("_low", "_high"))
+    width = (high - low) / F.ceil(F.col("_n") / cell_rows)
+    hot = stats.filter(F.col("_n") > hot_rows).select(
+        *keys, low.alias("_from"), F.nullif(width, F.lit(0.0)).alias("_width")
     )
-    cell = F.floor((position - F.col("_from")) / F.col("_width"))
+    cell = F.floor((_position(F.col(by), kind) - F.col("_from")) / F.col("_width"))
     return (
         _left_by_key(df, F.broadcast(hot), keys)
         .withColumn(
@@ -86,8 +86,7 @@ def ordered_columns(
     or number. ``lead``, ``lag`` and ``max_before`` map new names to columns.
     """
     lead, lag, max_before = dict(lead or {}), dict(lag or {}), dict(max_before or {})
-    position = _position(df, order[0])
-    celled = _with_cells(df, keys, position, hot_rows, cell_rows)
+    celled = _with_cells(df, keys, order[0], hot_rows, cell_rows)
 
     group = [*keys, "_cell"]
     sequence = Window.partitionBy(*group).orderBy(*order)
@@ -97,19 +96,15 @@ def ordered_columns(
     def packed(names: Mapping[str, str]) -> Column:
         return F.struct(*[F.col(c).alias(out) for out, c in names.items()])
 
-    local = {}
-    if row_number:
+    local = {f"_next_{out}": F.lead(c).over(sequence) for out, c in lead.items()}
+    local |= {f"_prev_{out}": F.lag(c).over(sequence) for out, c in lag.items()}
+    local |= {f"_top_{out}": F.max(c).over(prior) for out, c in max_before.items()}
+    if row_number or lag:
         local["_seq"] = F.row_number().over(sequence).cast("bigint")
+    if lead:
+        local["_has_next"] = F.lead(F.lit(True)).over(sequence)
     if total:
         local["_n"] = F.count(F.lit(1)).over(whole)
-    if lead:
-        local["_next"] = F.lead(packed(lead)).over(sequence)
-    if lag:
-        local["_prev"] = F.lag(packed(lag)).over(sequence)
-    if max_before:
-        local["_top"] = F.struct(
-            *[F.max(c).over(prior).alias(out) for out, c in max_before.items()]
-        )
     rows = celled.withColumns(local)
 
     # One row per cell of a hot key; empty when no key is hot.
@@ -120,7 +115,7 @@ def ordered_columns(
     if lag:
         carried["_last"] = F.max(F.struct(*rank, packed(lag).alias("_v")))
     for out, c in max_before.items():
-        carried[f"_top_{out}"] = F.max(c)
+        carried[f"_high_{out}"] = F.max(c)
     cells = (
         celled.filter(F.col("_width").isNotNull())
         .groupBy(*group)
@@ -136,7 +131,7 @@ def ordered_columns(
         border.append(F.lead(F.col("_first")["_v"]).over(along).alias("_c_next"))
     if lag:
         border.append(F.lag(F.col("_last")["_v"]).over(along).alias("_c_prev"))
-    border += [F.max(f"_top_{out}").over(earlier).alias(f"_c_{out}") for out in max_before]
+    border += [F.max(f"_high_{out}").over(earlier).alias(f"_c_{out}") for out in max_before]
     carry = cells.select(*group, *border)
 
     joined = _left_by_key(rows, F.broadcast(carry), group)
@@ -146,11 +141,13 @@ def ordered_columns(
     if total:
         added[total] = F.coalesce("_c_total", "_n")
     for out in lead:
-        added[out] = F.coalesce("_next", "_c_next")[out]
+        border_value = F.col("_c_next")[out]
+        added[out] = F.when(F.col("_has_next"), F.col(f"_next_{out}")).otherwise(border_value)
     for out in lag:
-        added[out] = F.coalesce("_prev", "_c_prev")[out]
+        border_value = F.col("_c_prev")[out]
+        added[out] = F.when(F.col("_seq") > 1, F.col(f"_prev_{out}")).otherwise(border_value)
     for out in max_before:
-        added[out] = F.greatest(F.col("_top")[out], F.col(f"_c_{out}"))
+        added[out] = F.greatest(f"_top_{out}", f"_c_{out}")
     return joined.select(*df.columns, *[v.alias(k) for k, v in added.items()])
 
 

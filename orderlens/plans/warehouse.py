@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from orderlens.operators import staging
-from orderlens.operators.outliers import detect_test_accounts
+from orderlens.operators.outliers import customer_activity, detect_test_accounts
 from orderlens.params import Params
 from orderlens.plans import marts
 from orderlens.sources.tables import write_table
@@ -21,8 +21,8 @@ MARTS = (
     "fct_customer_orders",
     "fct_sessions",
 )
-# Read by several marts, so stored once when the build is materialised.
-SHARED = ("stg_orders",)
+# Read several times, so stored once when the build is materialised.
+SHARED = ("stg_orders", "int_customer_activity")
 
 
 class Warehouse:
@@ -30,7 +30,7 @@ class Warehouse:
 
     Without a ``root`` each table is a lazy plan and Catalyst prunes across
     layers. With a ``root`` (a folder all executors can reach) the marts and the
-    staged orders are written as parquet on first use and read back, so several
+    shared tables are written as parquet on first use and read back, so several
     consumers share one computation and lost executors cost at most one stage.
     """
 
@@ -91,8 +91,11 @@ class Warehouse:
         return staging.stage_darkstores(self.raw["raw_darkstores"])
 
     # --- intermediate ------------------------------------------------------
+    def _int_customer_activity(self) -> DataFrame:
+        return customer_activity(self["stg_orders"])
+
     def _int_test_accounts(self) -> DataFrame:
-        return detect_test_accounts(self["stg_orders"], self.params.mad_k)
+        return detect_test_accounts(self["int_customer_activity"], self.params.mad_k)
 
     def _int_customer_order_sequence(self) -> DataFrame:
         return marts.customer_order_sequence(self["stg_orders"], self.params)

@@ -20,7 +20,7 @@ from orderlens.operators import joins as J
 from orderlens.operators.quantiles import quantile_bucket, quantile_profile
 from orderlens.plans import marts, reports
 from orderlens.plans.warehouse import Warehouse
-from orderlens.session import configure, work_dir
+from orderlens.session import configure, keep, work_dir
 from orderlens.sources import raw, tables
 from orderlens.sources.tpch import TPCH_PARAMS, TpchSources
 
@@ -77,15 +77,15 @@ class Context:
         w = self.stored
         return X.experiment_frame(w["fct_sessions"], w["fct_orders"], w["fct_customer_orders"])
 
-    @property
+    @cached_property
     def arms(self) -> DataFrame:
+        """One row with both arms' statistics, computed once per application."""
         counted = X.arm_statistics(self.frame, "variant", "n_items")
-        return X.side_by_side(counted, "variant", "control", "treatment")
+        return keep(X.side_by_side(counted, "variant", "control", "treatment"))
 
     @property
     def activity(self) -> DataFrame:
-        kept = E.population(self.stored["stg_orders"], not_cancelled=True)
-        return outliers.entity_activity(kept, "customer_id", "order_date_gst")
+        return self.stored["int_customer_activity"]
 
 
 def rounded(df: DataFrame, digits: int = 8, /, **special: int) -> DataFrame:

@@ -21,6 +21,8 @@ class Params:
     srm_threshold: float = 0.001
     min_cell: int = 100
     unmapped_label: str = "Unmapped"
+    calendar_start: str = "2026-01-01"
+    calendar_end: str = "2026-04-01"
     high_intent_categories: tuple[str, ...] = (
         "Dairy & Eggs",
         "Fresh Produce",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from orderlens.operators import effects as E
 from orderlens.operators import experiment as X
 from orderlens.operators import grain as G
+from orderlens.operators.joins import drop_keys
 from orderlens.operators.metrics import metric_rows, stack
 from orderlens.operators.stats import spearman
 from orderlens.params import BASKET_EDGES, BASKET_LABELS, Params
@@ -22,9 +23,22 @@ from orderlens.session import keep
 Tables = Mapping[str, DataFrame]
 
 
+def headline_orders(tables: Tables, exclude_flagged: bool = False) -> DataFrame:
+    """Orders behind the headline.
+
+    The published headline leaves out cancelled orders only; the written contract
+    also leaves out flagged accounts. Both can be asked for.
+    """
+    orders = E.population(tables["fct_orders"], not_cancelled=True)
+    if not exclude_flagged:
+        return orders
+    flagged = tables["dim_customer"].filter("is_test_account").select("customer_id")
+    return drop_keys(orders, flagged, ["customer_id"])
+
+
 def grain_report(tables: Tables) -> DataFrame:
     """Headline and bands from one scan: the bands and their total as grouping sets."""
-    orders = E.population(tables["fct_orders"], not_cancelled=True)
+    orders = headline_orders(tables)
     rates = keep(G.grain_with_total(orders, BASKET_EDGES, BASKET_LABELS))
     headline = rates.filter(F.col("ord").isNull())
     bands = rates.filter(F.col("ord").isNotNull())

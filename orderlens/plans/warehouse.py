@@ -10,12 +10,13 @@ from orderlens.operators import staging
 from orderlens.operators.outliers import customer_activity, detect_test_accounts
 from orderlens.params import Params
 from orderlens.plans import marts
-from orderlens.sources.tables import write_table
+from orderlens.sources.tables import write_fact, write_table
 
 MARTS = (
     "dim_product",
     "dim_darkstore",
     "dim_customer",
+    "dim_date",
     "fct_order_items",
     "fct_orders",
     "fct_customer_orders",
@@ -23,6 +24,13 @@ MARTS = (
 )
 # Read several times, so stored once when the build is materialised.
 SHARED = ("stg_orders", "int_customer_activity")
+# Partition date and file order of the facts in the partitioned layout.
+LAYOUT = {
+    "fct_order_items": ("order_date_gst", ("darkstore_id",)),
+    "fct_orders": ("order_date_gst", ("darkstore_key",)),
+    "fct_customer_orders": ("order_date_gst", ("darkstore_id",)),
+    "fct_sessions": ("session_date_gst", ()),
+}
 
 
 class Warehouse:
@@ -32,6 +40,8 @@ class Warehouse:
     layers. With a ``root`` (a folder all executors can reach) the marts and the
     shared tables are written as parquet on first use and read back, so several
     consumers share one computation and lost executors cost at most one stage.
+    ``partitioned`` lays the facts out by date; choose it when a day's files are
+    large enough to stand alone.
     """
 
     def __init__(
@@ -40,21 +50,34 @@ class Warehouse:
         raw: Mapping[str, DataFrame],
         params: Params | None = None,
         root: str | None = None,
+        partitioned: bool = False,
     ):
         self.spark = spark
         self.raw = raw
         self.params = params or Params()
         self.root = root
+        self.partitioned = partitioned
         self._tables: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._tables:
-            df = getattr(self, f"_{name}")()
+            make = getattr(self, f"_{name}", None)
+            if make is None:
+                raise KeyError(f"no table {name}")
+            df = make()
             if self.root and name in MARTS + SHARED:
-                df = write_table(df, f"{self.root}/{name}")
+                df = self._store(name, df)
             self._tables[name] = df
         return self._tables[name]
 
+    def _store(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{name}"
+        if not (self.partitioned and name in LAYOUT):
+            return write_table(df, path)
+        date, order = LAYOUT[name]
+        write_fact(df, path, date, order)
+        return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
     def build(self) -> dict[str, DataFrame]:
         """All marts."""
         return {name: self[name] for name in MARTS}
@@ -78,7 +101,7 @@ class Warehouse:
     def _stg_sessions(self) -> DataFrame:
         return staging.stage_sessions(self.raw["raw_sessions"], self.params)
 
-    def _stg_assignments(self) -> DataFrame:
+    def _stg_experiment_assignments(self) -> DataFrame:
         return staging.stage_assignments(self.raw["raw_experiment_assignments"], self.params)
 
     def _stg_customers(self) -> DataFrame:
@@ -110,6 +133,10 @@ class Warehouse:
     def _dim_customer(self) -> DataFrame:
         return marts.dim_customer(self["stg_customers"], self["int_test_accounts"])
 
+    def _dim_date(self) -> DataFrame:
+        p = self.params
+        return marts.calendar(self.spark, p.calendar_start, p.calendar_end)
+
     def _fct_order_items(self) -> DataFrame:
         return marts.fct_order_items(
             self["stg_order_items"], self["stg_orders"], self["dim_product"], self.params
@@ -135,7 +162,7 @@ class Warehouse:
     def _fct_sessions(self) -> DataFrame:
         return marts.fct_sessions(
             self["stg_sessions"],
-            self["stg_assignments"],
+            self["stg_experiment_assignments"],
             self["fct_orders"],
             self["dim_customer"],
         )

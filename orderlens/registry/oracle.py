@@ -626,6 +626,7 @@ _BODIES = {
       FROM (SELECT hour(ordered_at_utc) >= 20 AS moved FROM stg_orders)""",
     # --- grain
     "grain_summary": f"SELECT {_FILL_GAP} FROM clean_orders",
+    "grain_summary_unflagged": f"SELECT {_FILL_GAP} FROM {_UNFLAGGED}",
     "grain_by_store": f"SELECT darkstore_id, {_FILL_GAP} FROM clean_orders GROUP BY ALL",
     "grain_by_band": f"""SELECT {_BAND} AS basket_band,
         CAST(1 + CAST(n_items > 3 AS INT) + CAST(n_items > 6 AS INT)

@@ -209,7 +209,7 @@ def stage_sessions(c: Context) -> DataFrame:
 
 @query
 def stage_assignments(c: Context) -> DataFrame:
-    return c.lazy["stg_assignments"]
+    return c.lazy["stg_experiment_assignments"]
 
 
 @query
@@ -299,10 +299,14 @@ def customer_sequence(c: Context) -> DataFrame:
 
 @query
 def customer_sequence_split(c: Context) -> DataFrame:
-    """The same sequence with every active customer treated as a hot key."""
-    return marts.customer_order_sequence(
-        c.stored["stg_orders"], replace(P, hot_rows=4, cell_rows=2)
-    )
+    """The same sequence with the heaviest keys split over cells.
+
+    A key is hot above a thousandth of the rows, so at most 1,000 keys are.
+    """
+    orders = c.stored["stg_orders"]
+    limit = max(orders.count() // 1000, 1)
+    split = replace(P, hot_rows=limit, cell_rows=max(limit // 4, 1))
+    return marts.customer_order_sequence(orders, split)
 
 
 @query
@@ -398,6 +402,12 @@ def grain_summary(c: Context) -> DataFrame:
     return rounded(G.grain_summary(c.clean_orders))
 
 
+@query
+def grain_summary_unflagged(c: Context) -> DataFrame:
+    """The headline by the written contract: without the flagged accounts."""
+    return rounded(G.grain_summary(reports.headline_orders(c.stored, exclude_flagged=True)))
+
+
 @query
 def grain_by_store(c: Context) -> DataFrame:
     return rounded(G.grain_summary(c.clean_orders, ["darkstore_id"]))

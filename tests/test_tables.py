@@ -87,6 +87,19 @@ def test_warehouse_from_landed_files(spark, tmp_path):
                      ).first().n == 1
 
 
+def test_partitioned_facts_equal_plain_ones(spark, tmp_path, rows):
+    write_sources(spark, str(tmp_path / "src"))
+    landed = raw.land_raw(spark, str(tmp_path / "src"), str(tmp_path / "raw"))
+    plain = Warehouse(spark, landed, Params(), str(tmp_path / "plain"))
+    dated = Warehouse(spark, landed, Params(), str(tmp_path / "dated"), partitioned=True)
+    for name in ("fct_order_items", "fct_orders", "fct_customer_orders", "fct_sessions"):
+        assert dated[name].schema.simpleString() == plain[name].schema.simpleString()
+        assert rows(dated[name]) == rows(plain[name])
+    assert (tmp_path / "dated" / "fct_orders" / "order_date_gst=2026-01-05").exists()
+    with pytest.raises(KeyError):
+        plain["no_such_table"]
+
+
 def days(spark, rows):
     return spark.createDataFrame(rows, "day date, id int")
 

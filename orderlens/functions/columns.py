@@ -20,11 +20,6 @@ def clock_minutes(ts: Column) -> Column:
     return days * 1440 + F.hour(ts) * 60 + F.minute(ts)
 
 
-def clock_seconds(ts: Column) -> Column:
-    """Whole seconds since 1970 on the column's own clock."""
-    return clock_minutes(ts) * 60 + F.second(ts)
-
-
 def to_local(ts: Column, tz: str) -> Column:
     """UTC wall clock -> reporting wall clock, both without a zone."""
     return F.convert_timezone(F.lit("UTC"), F.lit(tz), ts)

@@ -18,7 +18,7 @@ def scd2_from_changes(
     key: Sequence[str],
     at: str,
     *,
-    hot_rows: int = LIMITS.hot_rows,
+    hot_rows: int | None = LIMITS.hot_rows,
     cell_rows: int = LIMITS.cell_rows,
 ) -> DataFrame:
     """Change log -> versions: a version ends where the next one of its key starts."""
@@ -37,7 +37,7 @@ def check_no_overlap(
     valid_to: str = "valid_to",
     tie: Sequence[str] = (),
     *,
-    hot_rows: int = LIMITS.hot_rows,
+    hot_rows: int | None = LIMITS.hot_rows,
     cell_rows: int = LIMITS.cell_rows,
 ) -> DataFrame:
     """Versions that start before an earlier version of their key has ended.

@@ -1,38 +1,65 @@
 """Ordered per-key columns that survive a hot key.
 
 A plain window sends every row of a key to one task. Here a key with more than
-``hot_rows`` rows is cut along its order column into cells of about
-``cell_rows`` rows; windows run per (key, cell), and one small row per cell
-carries counts and border rows across. The result equals the plain window.
-
-Two bounds hold by construction, which is why both small sides are broadcast:
-there are at most N / hot_rows hot keys and at most N / cell_rows + N / hot_rows
-carry rows. With the defaults, 10^11 rows give under 130,000 of them. The rows
-themselves are shuffled once, as for the plain window.
+``hot_rows`` rows is cut along its order into cells of about ``cell_rows`` rows;
+windows run per (key, cell), and one small row per cell carries counts and border
+rows across. The result equals the plain window.
+
+Cuts are made in three rounds: equal widths of the first order column, the same
+again inside cells that are still too large (a burst), and equal widths of the
+second order column inside cells whose rows all share the first (mass ties).
+
+Two bounds hold by construction, which is why the small sides are broadcast: at
+most N / hot_rows groups are cut per round, and there are at most
+N / cell_rows + N / hot_rows carry rows per round. With the defaults, 10^11 rows
+give some 100,000 of them. The rows themselves are shuffled once, as for the
+plain window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderlens.functions.columns import clock_seconds, days_between
+from orderlens.functions.columns import clock_minutes, days_between
+
+# Cells of one round; three rounds fit into one 64-bit cell number.
+ROUND_BITS = 20
+
+
+def _shared_bytes(low: Column, high: Column) -> Column:
+    """Length of the common start of two binary values."""
+    shorter = F.least(F.length(low), F.length(high))
+    lengths = F.filter(
+        F.sequence(F.lit(0), shorter),
+        lambda n: F.substring(low, F.lit(1), n) == F.substring(high, F.lit(1), n),
+    )
+    return F.array_max(lengths)
+
 
-def _position(column: Column, kind: T.DataType) -> Column:
-    """A number that never decreases along the column; equal numbers share a cell."""
+def _position(column: Column, kind: T.DataType, skip: Column, fine: bool) -> Column:
+    """A number that never decreases along the column; equal numbers share a cell.
+
+    A clock time counts whole seconds, or with ``fine`` their fractions too. Text is
+    read as the number of the six bytes after the first ``skip``.
+    """
     if isinstance(kind, T.TimestampNTZType):
-        return clock_seconds(column).cast("double")
+        second = F.date_part(F.lit("SECOND"), column) if fine else F.second(column)
+        return clock_minutes(column).cast("double") * 60 + second.cast("double")
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(column).cast("double")
     if isinstance(kind, T.DateType):
         return F.unix_date(column).cast("double")
     if isinstance(kind, T.NumericType):
         return column.cast("double")
-    raise TypeError(f"order by a date, timestamp or number first, not {kind.simpleString()}")
+    if isinstance(kind, T.StringType):
+        part = F.hex(F.substring(column.cast("binary"), skip + 1, F.lit(6)))
+        return F.conv(F.rpad(part, 12, "0"), 16, 10).cast("double")
+    raise TypeError(f"cannot cut along a column of type {kind.simpleString()}")
 
 
 def _left_by_key(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -43,28 +70,93 @@ def _left_by_key(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Dat
     return left.join(other, reduce(lambda a, b: a & b, same), "left").drop(*renamed.values())
 
 
-def _with_cells(
-    df: DataFrame, keys: Sequence[str], by: str, hot_rows: int, cell_rows: int
+def _cut(
+    df: DataFrame,
+    group: Sequence[str],
+    by: str,
+    out: str,
+    hot_rows: int,
+    cell_rows: int,
+    mark: str | None = None,
+    only: str | None = None,
+    tied: str | None = None,
 ) -> DataFrame:
-    """Add ``_cell`` (zero unless the key is hot) and ``_width`` (NULL unless hot)."""
+    """Number the equal-width cells of every group that is too large.
+
+    NULLs are cell 1, values start at 2; rows of other groups get a NULL. ``mark``
+    names a flag to keep on the rows of large groups, ``only`` the flag of the rows
+    to look at, and with ``tied`` a group is cut only if that column is constant in
+    it.
+    """
     kind = df.schema[by].dataType
-    stats = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(by).alias("_low"), F.max(by).alias("_high")
-    )
-    low, high = (_position(F.col(c), kind) for c in ("_low", "_high"))
-    width = (high - low) / F.ceil(F.col("_n") / cell_rows)
-    hot = stats.filter(F.col("_n") > hot_rows).select(
-        *keys, low.alias("_from"), F.nullif(width, F.lit(0.0)).alias("_width")
-    )
-    cell = F.floor((_position(F.col(by), kind) - F.col("_from")) / F.col("_width"))
-    return (
-        _left_by_key(df, F.broadcast(hot), keys)
-        .withColumn(
-            "_cell",
-            F.when(F.col("_width").isNull(), F.lit(0)).otherwise(F.coalesce(cell, F.lit(-1))),
+    source = df if only is None else df.filter(only)
+    large_flag = mark or "_large"
+    found = {"_n": F.count(F.lit(1)), "_low": F.min(by), "_high": F.max(by)}
+    large = F.col("_n") > hot_rows
+    if tied:
+        found |= {"_t0": F.min(tied), "_t1": F.max(tied)}
+        large = large & F.col("_t0").eqNullSafe(F.col("_t1"))
+    skip = F.lit(0)
+    if isinstance(kind, T.StringType):
+        skip = _shared_bytes(F.col("_low").cast("binary"), F.col("_high").cast("binary"))
+
+    def position(column: str) -> Column:
+        return _position(F.col(column), kind, F.col("_skip"), fine=only is not None)
+
+    low, high = position("_low"), position("_high")
+    cells = F.least(F.ceil(F.col("_n") / cell_rows), F.lit(2**ROUND_BITS - 4))
+    hot = (
+        source.groupBy(*group)
+        .agg(*[v.alias(k) for k, v in found.items()])
+        .filter(large)
+        .withColumn("_skip", skip)
+        .select(
+            *group,
+            "_skip",
+            F.lit(True).alias(large_flag),
+            low.alias("_from"),
+            ((high - low) / cells).alias("_width"),
         )
-        .drop("_from")
     )
+    place = (position(by) - F.col("_from")) / F.col("_width")
+    cell = (
+        F.when(F.col(large_flag).isNull(), F.lit(None))
+        .when(F.col(by).isNull(), F.lit(1))
+        .when(F.col("_width") > 0, F.floor(place) + 2)
+        .otherwise(F.lit(2))
+    )
+    joined = _left_by_key(df, F.broadcast(hot), group).withColumn(out, cell.cast("bigint"))
+    return joined.drop("_skip", "_large", "_from", "_width")
+
+
+def _with_cells(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int, cell_rows: int
+) -> DataFrame:
+    """Add ``_cell``, zero unless the key is hot, and the flag ``_hot``, NULL unless so.
+
+    The flag comes straight from the hot-key list: a filter on it turns the join
+    with that list into an inner one, which an empty list ends at once.
+    """
+    limits = {"hot_rows": hot_rows, "cell_rows": cell_rows}
+    cut = _cut(df, keys, order[0], "_a", mark="_hot", **limits)
+    cut = _cut(cut, [*keys, "_a"], order[0], "_b", only="_hot", **limits)
+    rounds = ["_a", "_b"]
+    if len(order) > 1:
+        group = [*keys, *rounds]
+        cut = _cut(cut, group, order[1], "_c", only="_hot", tied=order[0], **limits)
+        rounds.append("_c")
+    cell = F.lit(0).cast("bigint")
+    for name in rounds:
+        cell = F.shiftleft(cell, ROUND_BITS) + F.coalesce(name, F.lit(0))
+    return cut.withColumn("_cell", cell).drop(*rounds)
+
+
+def hot_limit(stored: DataFrame, hot_rows: int) -> int | None:
+    """The limit, or None where a whole stored table is smaller than a hot key.
+
+    For written tables only: their count comes from the file footers.
+    """
+    return hot_rows if stored.count() > hot_rows else None
 
 
 def ordered_columns(
@@ -77,78 +169,99 @@ def ordered_columns(
     lead: Mapping[str, str] | None = None,
     lag: Mapping[str, str] | None = None,
     max_before: Mapping[str, str] | None = None,
-    hot_rows: int,
+    hot_rows: int | None,
     cell_rows: int,
 ) -> DataFrame:
     """Add row number, key total, next, previous and running maximum of prior rows.
 
-    ``order`` must be unique within a key; its first column is a date, timestamp
-    or number. ``lead``, ``lag`` and ``max_before`` map new names to columns.
+    ``order`` must be unique within a key; its first two columns are dates,
+    timestamps, numbers or text, without NaN. ``lead``, ``lag`` and ``max_before``
+    map new names to columns. Without ``hot_rows`` every key stays whole.
     """
     lead, lag, max_before = dict(lead or {}), dict(lag or {}), dict(max_before or {})
-    celled = _with_cells(df, keys, order[0], hot_rows, cell_rows)
+    if hot_rows is None:
+        celled, group = df, list(keys)
+    else:
+        celled, group = _with_cells(df, keys, order, hot_rows, cell_rows), [*keys, "_cell"]
 
-    group = [*keys, "_cell"]
     sequence = Window.partitionBy(*group).orderBy(*order)
     prior = sequence.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
-
-    def packed(names: Mapping[str, str]) -> Column:
-        return F.struct(*[F.col(c).alias(out) for out, c in names.items()])
-
-    local = {f"_next_{out}": F.lead(c).over(sequence) for out, c in lead.items()}
-    local |= {f"_prev_{out}": F.lag(c).over(sequence) for out, c in lag.items()}
-    local |= {f"_top_{out}": F.max(c).over(prior) for out, c in max_before.items()}
+    inside = {f"_next_{out}": F.lead(c).over(sequence) for out, c in lead.items()}
+    inside |= {f"_prev_{out}": F.lag(c).over(sequence) for out, c in lag.items()}
+    inside |= {f"_top_{out}": F.max(c).over(prior) for out, c in max_before.items()}
     if row_number or lag:
-        local["_seq"] = F.row_number().over(sequence).cast("bigint")
-    if lead:
-        local["_has_next"] = F.lead(F.lit(True)).over(sequence)
+        inside["_seq"] = F.row_number().over(sequence).cast("bigint")
+    if lead and hot_rows is not None:
+        inside["_has_next"] = F.lead(F.lit(True)).over(sequence)
+    if total:
+        inside["_n"] = F.count(F.lit(1)).over(Window.partitionBy(*group))
+    rows = celled.withColumns(inside)
+
+    added = {}
+    if row_number:
+        added[row_number] = F.col("_seq")
     if total:
-        local["_n"] = F.count(F.lit(1)).over(whole)
-    rows = celled.withColumns(local)
+        added[total] = F.col("_n")
+    added |= {out: F.col(f"_next_{out}") for out in lead}
+    added |= {out: F.col(f"_prev_{out}") for out in lag}
+    added |= {out: F.col(f"_top_{out}") for out in max_before}
+    if hot_rows is not None:
+        carry = _carry(celled, keys, order, lead, lag, max_before)
+        rows = _left_by_key(rows, F.broadcast(carry), group)
+        if row_number:
+            added[row_number] += F.coalesce("_c_before", F.lit(0))
+        if total:
+            added[total] = F.coalesce("_c_total", "_n")
+        for out in lead:
+            own = F.when(F.col("_has_next"), added[out])
+            added[out] = own.otherwise(F.col(f"_c_{out}"))
+        for out in lag:
+            own = F.when(F.col("_seq") > 1, added[out])
+            added[out] = own.otherwise(F.col(f"_c_{out}"))
+        for out in max_before:
+            added[out] = F.greatest(added[out], F.col(f"_c_{out}"))
+    return rows.select(*df.columns, *[v.alias(k) for k, v in added.items()])
 
-    # One row per cell of a hot key; empty when no key is hot.
+
+def _carry(
+    celled: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    lead: Mapping[str, str],
+    lag: Mapping[str, str],
+    max_before: Mapping[str, str],
+) -> DataFrame:
+    """What each cell of a hot key needs from its neighbours: one row per cell.
+
+    The first value of the leading order column is its minimum, a fixed-width
+    aggregate; other columns travel in a row compared by the whole order.
+    """
     rank = [F.col(c) for c in order]
-    carried = {"_c_n": F.count(F.lit(1))}
-    if lead:
-        carried["_first"] = F.min(F.struct(*rank, packed(lead).alias("_v")))
-    if lag:
-        carried["_last"] = F.max(F.struct(*rank, packed(lag).alias("_v")))
-    for out, c in max_before.items():
-        carried[f"_high_{out}"] = F.max(c)
+
+    def edge(c: str, pick: Callable[[Column], Column]) -> Column:
+        if c == order[0]:
+            return pick(F.col(c))
+        return pick(F.struct(*rank, F.col(c).alias("_v")))["_v"]
+
+    found = {"_c_n": F.count(F.lit(1))}
+    found |= {f"_first_{out}": edge(c, F.min) for out, c in lead.items()}
+    found |= {f"_last_{out}": edge(c, F.max) for out, c in lag.items()}
+    found |= {f"_high_{out}": F.max(c) for out, c in max_before.items()}
     cells = (
-        celled.filter(F.col("_width").isNotNull())
-        .groupBy(*group)
-        .agg(*[v.alias(k) for k, v in carried.items()])
+        celled.filter("_hot")
+        .groupBy(*keys, "_cell")
+        .agg(*[v.alias(k) for k, v in found.items()])
     )
     along = Window.partitionBy(*keys).orderBy("_cell")
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    border = [
-        F.coalesce(F.sum("_c_n").over(earlier), F.lit(0)).alias("_c_before"),
-        F.sum("_c_n").over(Window.partitionBy(*keys)).alias("_c_total"),
-    ]
-    if lead:
-        border.append(F.lead(F.col("_first")["_v"]).over(along).alias("_c_next"))
-    if lag:
-        border.append(F.lag(F.col("_last")["_v"]).over(along).alias("_c_prev"))
-    border += [F.max(f"_high_{out}").over(earlier).alias(f"_c_{out}") for out in max_before]
-    carry = cells.select(*group, *border)
-
-    joined = _left_by_key(rows, F.broadcast(carry), group)
-    added = {}
-    if row_number:
-        added[row_number] = F.col("_seq") + F.coalesce("_c_before", F.lit(0))
-    if total:
-        added[total] = F.coalesce("_c_total", "_n")
-    for out in lead:
-        border_value = F.col("_c_next")[out]
-        added[out] = F.when(F.col("_has_next"), F.col(f"_next_{out}")).otherwise(border_value)
-    for out in lag:
-        border_value = F.col("_c_prev")[out]
-        added[out] = F.when(F.col("_seq") > 1, F.col(f"_prev_{out}")).otherwise(border_value)
-    for out in max_before:
-        added[out] = F.greatest(f"_top_{out}", f"_c_{out}")
-    return joined.select(*df.columns, *[v.alias(k) for k, v in added.items()])
+    border = {
+        "_c_before": F.coalesce(F.sum("_c_n").over(earlier), F.lit(0)),
+        "_c_total": F.sum("_c_n").over(Window.partitionBy(*keys)),
+    }
+    border |= {f"_c_{out}": F.lead(f"_first_{out}").over(along) for out in lead}
+    border |= {f"_c_{out}": F.lag(f"_last_{out}").over(along) for out in lag}
+    border |= {f"_c_{out}": F.max(f"_high_{out}").over(earlier) for out in max_before}
+    return cells.select(*keys, "_cell", *[v.alias(k) for k, v in border.items()])
 
 
 def sequence(
@@ -157,7 +270,7 @@ def sequence(
     at: str = "ordered_at_gst",
     tie: str = "order_id",
     *,
-    hot_rows: int,
+    hot_rows: int | None,
     cell_rows: int,
 ) -> DataFrame:
     """Position of each order in its customer's timeline, and its neighbours."""

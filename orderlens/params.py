@@ -30,8 +30,9 @@ class Params:
         "Meat & Poultry",
     )
 
-    # A key with more rows than hot_rows is split into cells of about cell_rows.
-    hot_rows: int = 4_000_000
+    # A key with more rows than hot_rows is split into cells of about cell_rows;
+    # None keeps every key whole.
+    hot_rows: int | None = 4_000_000
     cell_rows: int = 1_000_000
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
 from orderlens.operators import staging
 from orderlens.operators.outliers import customer_activity, detect_test_accounts
+from orderlens.operators.timeline import hot_limit
 from orderlens.params import Params
 from orderlens.plans import marts
 from orderlens.sources.tables import write_fact, write_table
@@ -121,7 +123,10 @@ class Warehouse:
         return detect_test_accounts(self["int_customer_activity"], self.params.mad_k)
 
     def _int_customer_order_sequence(self) -> DataFrame:
-        return marts.customer_order_sequence(self["stg_orders"], self.params)
+        orders, p = self["stg_orders"], self.params
+        if self.root:
+            p = replace(p, hot_rows=hot_limit(orders, p.hot_rows))
+        return marts.customer_order_sequence(orders, p)
 
     # --- marts -------------------------------------------------------------
     def _dim_product(self) -> DataFrame:

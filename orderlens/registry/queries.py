@@ -254,12 +254,12 @@ def scd2_products(c: Context) -> DataFrame:
 @query
 def scd2_price_asof(c: Context) -> DataFrame:
     """Value by category and price version, priced as of the order date."""
-    w = c.lazy
+    w = c.stored
     placed = w["stg_order_items"].join(
         w["stg_orders"].select("order_id", "order_date_gst"), "order_id"
     )
     priced = scd2.scd2_join(
-        placed, w["stg_products"], "product_id", "order_date_gst",
+        placed, w["dim_product"], "product_id", "order_date_gst",
         ["category", "base_price_aed", "is_current"], fan_out_guard=True,
     )
     value = F.col("quantity") * F.col("base_price_aed")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orderlens.operators.staging import first_per_key, stage_orders
-from orderlens.operators.timeline import ordered_columns, sequence
+from orderlens.operators.timeline import _with_cells, ordered_columns, sequence
 from orderlens.params import Params
 
 SCHEMA = "k string, t timestamp_ntz, id long, v int"
@@ -77,8 +77,56 @@ def test_split_spreads_a_hot_key_over_partitions(spark):
     assert "hashpartitioning(k#" in text and "_cell" in text
 
 
-def test_order_column_must_be_orderable_as_a_number(spark):
-    df = spark.createDataFrame([("a", "x")], "k string, s string")
+def largest_cell(df, order, hot, cell):
+    cells = _with_cells(df, ["k"], order, hot, cell)
+    return cells.groupBy("k", "_cell").count().agg(F.max("count")).first()[0]
+
+
+def test_a_burst_is_cut_again(spark):
+    """A third of the rows within a minute, the others over ten years."""
+    start = F.lit("2016-01-01").cast("timestamp_ntz")
+    n = 30_000
+    df = spark.range(n).select(
+        F.lit("hot").alias("k"),
+        F.timestamp_add(
+            "SECOND",
+            F.when(F.col("id") < n // 3, 1000 + F.col("id") % 60).otherwise(F.col("id") * 15_000),
+            start,
+        ).alias("t"),
+        "id",
+    )
+    assert largest_cell(df, ["t", "id"], 1_000, 500) <= 1_000
+    assert largest_cell(df, ["t"], 1_000, 500) <= 1_000
+
+
+@pytest.mark.parametrize("tie", ["id", "name"])
+def test_rows_of_one_instant_are_cut_along_the_tie_breaker(spark, rows, tie):
+    df = spark.range(9_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"),
+        F.lit("2026-01-01 12:00:00").cast("timestamp_ntz").alias("t"),
+        "id",
+        F.concat(F.lit("ORDER-"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("name"),
+        (F.col("id") % 7).cast("int").alias("v"),
+    )
+    assert largest_cell(df, ["t", tie], 500, 100) <= 500
+    got = ordered_columns(df, ["k"], ["t", tie], row_number="seq", lead={"next_v": "v"},
+                          hot_rows=500, cell_rows=100)
+    w = Window.partitionBy("k").orderBy("t", "id")
+    want = df.select("*", F.row_number().over(w).alias("seq"), F.lead("v").over(w).alias("next_v"))
+    assert rows(got, *want.columns) == rows(want)
+
+
+def test_text_of_any_bytes_keeps_its_order(spark, rows):
+    names = ["", "a", "a\x00", "ab", "abc", "abd", "äb", "ä", "zz", "日本", "日", None, "a" * 40]
+    df = spark.createDataFrame(
+        [("k", n, i) for n in names for i in range(3)], "k string, name string, id long")
+    got = ordered_columns(df, ["k"], ["name", "id"], row_number="seq", hot_rows=2, cell_rows=1)
+    w = Window.partitionBy("k").orderBy("name", "id")
+    assert rows(got) == rows(df.withColumn("seq", F.row_number().over(w)))
+
+
+def test_order_column_must_have_a_position(spark):
+    df = spark.createDataFrame([("a", True)], "k string, s boolean")
     with pytest.raises(TypeError):
         ordered_columns(df, ["k"], ["s"], row_number="n", hot_rows=1, cell_rows=1)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.functions.columns import local_date, outcome_bool, safe_ratio
@@ -106,13 +106,13 @@ def substitution_by_type(orders: DataFrame) -> DataFrame:
     rows = population(orders, not_cancelled=True, exposed=True)
     kind = F.when(F.col("substitute_offered"), F.col("substitution_type"))
     counted = rows.groupBy(kind.alias("substitution_type")).agg(F.count(F.lit(1)).alias("n"))
-    total = counted.agg(F.sum("n")).scalar()
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
     return counted.withColumn("value", safe_ratio(F.col("n"), total))
 
 
 def provisional_days(orders: DataFrame, date: str = "order_date_gst", days: int = 1) -> DataFrame:
     """Lag and late share per day; the newest days are marked provisional."""
-    newest = orders.agg(F.max(date)).scalar()
+    newest = F.max(date).over(Window.partitionBy(F.lit(0)))
     daily = orders.groupBy(date).agg(
         F.avg("ingestion_lag_minutes").alias("mean_lag_minutes"),
         F.max("ingestion_lag_minutes").alias("max_lag_minutes"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import cached_property
@@ -48,6 +49,10 @@ class Context:
         app = spark.sparkContext.applicationId
         self.root = f"{work_dir(spark)}/orderlens/{app}/{hashlib.md5(folder.encode()).hexdigest()}"
 
+    def fresh(self, name: str) -> str:
+        """A new folder per call: an earlier result may not have been read yet."""
+        return f"{self.root}/{name}-{uuid.uuid4().hex[:12]}"
+
     @cached_property
     def raw(self) -> dict[str, DataFrame]:
         return self.sources.all()
@@ -116,10 +121,10 @@ def _csv_schemas(c: Context) -> dict[str, str]:
 
 @query
 def landing_counts(c: Context) -> DataFrame:
-    folder = f"{c.root}/csv"
+    folder = c.fresh("csv")
     for name, df in c.raw.items():
         raw.write_csv(df, folder, name)
-    return raw.landing_counts(raw.land_raw(c.spark, folder, f"{c.root}/raw", _csv_schemas(c)))
+    return raw.landing_counts(raw.land_raw(c.spark, folder, c.fresh("raw"), _csv_schemas(c)))
 
 
 @query
@@ -129,7 +134,7 @@ def source_catalog(c: Context) -> DataFrame:
 
 @query
 def fact_layout(c: Context) -> DataFrame:
-    path = f"{c.root}/fact_layout"
+    path = c.fresh("fact_layout")
     orders = c.stored["fct_orders"].withColumn("order_month", F.trunc("order_date_gst", "month"))
     tables.write_fact(orders, path, "order_month", ["darkstore_id", "order_date_gst"])
     stored = c.spark.read.parquet(path)
@@ -143,7 +148,7 @@ def fact_layout(c: Context) -> DataFrame:
 
 @query
 def lookback_overwrite(c: Context) -> DataFrame:
-    path = f"{c.root}/lookback"
+    path = c.fresh("lookback")
     orders = c.stored["fct_orders"].select(
         F.trunc("order_date_gst", "month").alias("order_month"), "order_id", "is_late_arriving"
     )
@@ -166,7 +171,7 @@ def metric_table(c: Context) -> DataFrame:
         metrics.metric_rows(by_tenure, "stockout", {"effect_pp": "effect_pp"},
                             F.coalesce("tenure", F.lit("all")), "ci_lo", "ci_hi", "n"),
     )
-    path = f"{c.root}/metric_table"
+    path = c.fresh("metric_table")
     tables.write_metrics(rows, path)
     return rounded(tables.read_metrics(c.spark, path)).withColumnRenamed("by", "group_by")
 
@@ -234,10 +239,10 @@ def dim_customer(c: Context) -> DataFrame:
 
 
 def _order_calendar(c: Context) -> DataFrame:
-    orders = c.stored["stg_orders"]
-    first = orders.agg(F.min("order_date_gst")).scalar()
-    stop = orders.agg(F.date_add(F.max("order_date_gst"), 1)).scalar()
-    return marts.calendar(c.spark, first, stop)
+    day = F.col("order_date_gst")
+    ends = F.struct(F.min(day).alias("first"), F.date_add(F.max(day), 1).alias("stop"))
+    bounds = c.stored["stg_orders"].agg(ends).scalar()
+    return marts.calendar(c.spark, bounds["first"], bounds["stop"])
 
 
 @query
@@ -656,7 +661,7 @@ def experiment_report(c: Context) -> DataFrame:
 @query
 def analysis_report(c: Context) -> DataFrame:
     """All four read-outs of the warehouse, stored as JSON lines and read back."""
-    path = f"{c.root}/analysis_report"
+    path = c.fresh("analysis_report")
     tables.write_metrics(reports.analysis_report(c.stored, P), path)
     return tables.read_metrics(c.spark, path)
 

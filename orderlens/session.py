@@ -48,5 +48,8 @@ def keep(df: DataFrame) -> DataFrame:
     For aggregates that several read-outs start from: without it each read-out
     would scan the facts again with its own columns.
     """
-    work_dir(df.sparkSession)
+    context = df.sparkSession.sparkContext
+    shared = work_dir(df.sparkSession)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared)
     return df.checkpoint()

@@ -183,3 +183,35 @@ def test_rollup_takes_the_worst_swap_and_counts_everything(spark):
     assert got[1].worst_sub_rank == 1 and got[1].had_high_intent_stockout
     assert not got[2].had_any_stockout and got[2].worst_sub_rank is None
     assert got[3].had_any_stockout and not got[3].had_high_intent_stockout
+
+
+def test_published_proxies_and_ranking(spark):
+    """Published group sizes and repeat rates in, published estimates out."""
+    accepted = {
+        "same_brand_diff_size": (5538, 0.6973636691946551),
+        "diff_brand_same_product": (4734, 0.671525137304605),
+        "diff_product_same_cat": (1523, 0.6513460275771503),
+    }
+    groups = [("accepted", kind, n, round(n * rate)) for kind, (n, rate) in accepted.items()]
+    pooled = sum(k for *_, k in groups) / 11795
+    groups.append(("declined", None, 9079, round(9079 * (pooled - 0.034944893537537047))))
+    groups.append(("not_offered", None, 12666, round(12666 * (pooled - 0.04067548366761054))))
+    rows = [(arm, kind, hit, k if hit else n - k)
+            for arm, kind, n, k in groups for hit in (True, False)]
+    cells = spark.createDataFrame(rows, SWAPS + ", weight long")
+
+    est = E.proxy_estimates(cells, 100, "weight")
+    got = {(r.proxy, r.substitution_type): r for r in est.collect()}
+    assert abs(got["A", None].effect_pp - 3.4944893537537047) < 1e-9
+    assert abs(got["A", None].ci_lo - 2.2002788123862578) < 1e-9
+    assert abs(got["B", None].ci_hi - 5.253282382715845) < 1e-9
+    assert abs(got["C", "diff_product_same_cat"].ci_lo + 1.4380698807729115) < 1e-9
+    assert abs(E.proxy_spread(est).first().spread_pp - 4.601764161750477) < 1e-9
+    typed = E.substitution_contrasts(cells, 100, "weight")
+    near = typed.filter("control = 'A_vs_declined' AND substitution_type LIKE 'same%'").first()
+    assert abs(near.effect_pp - 5.125726981146306) < 1e-9
+    ranked = E.ranking_stability(typed, "control", "substitution_type").collect()
+    assert all(r.is_stable for r in ranked) and len(ranked) == 2
+    assert ranked[0].ranking == " > ".join(accepted)
+    weakest = E.ci_verdict(typed).filter("substitution_type = 'diff_product_same_cat'")
+    assert {r.verdict for r in weakest.collect()} == {"indistinguishable"}

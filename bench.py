@@ -80,7 +80,8 @@ def main() -> None:
     seconds = {
         name: timed(lambda n=name: run(queries[n](spark, folder))) for name in HEADLINE
     }
-    full_run = round(sum(build.values()) + seconds["quality_checks"] + seconds["analysis_report"], 3)
+    after_build = seconds["quality_checks"] + seconds["analysis_report"]
+    full_run = round(sum(build.values()) + after_build, 3)
     spark.stop()
     print(
         json.dumps(

@@ -151,12 +151,14 @@ def _with_cells(
     return cut.withColumn("_cell", cell).drop(*rounds)
 
 
-def hot_limit(stored: DataFrame, hot_rows: int) -> int | None:
+def hot_limit(stored: DataFrame, hot_rows: int | None) -> int | None:
     """The limit, or None where a whole stored table is smaller than a hot key.
 
     For written tables only: their count comes from the file footers.
     """
-    return hot_rows if stored.count() > hot_rows else None
+    if hot_rows is None or stored.count() <= hot_rows:
+        return None
+    return hot_rows
 
 
 def ordered_columns(

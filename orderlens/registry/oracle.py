@@ -46,7 +46,8 @@ def _offers(o: str) -> str:
 def _gap(n1: str, k1: str, n0: str, k0: str, digits: int = 8) -> str:
     """Rates, difference in pp and 95% interval from counts."""
     p1, p0 = f"({k1} * 1.0 / nullif({n1}, 0))", f"({k0} * 1.0 / nullif({n0}, 0))"
-    half = f"(196 * sqrt({p1} * (1 - {p1}) / nullif({n1}, 0) + {p0} * (1 - {p0}) / nullif({n0}, 0)))"
+    v1, v0 = f"{p1} * (1 - {p1}) / nullif({n1}, 0)", f"{p0} * (1 - {p0}) / nullif({n0}, 0)"
+    half = f"(196 * sqrt({v1} + {v0}))"
     gap = f"(({p1} - {p0}) * 100)"
     return (
         f"round({p1}, {digits}) AS rate_treated, round({p0}, {digits}) AS rate_control, "

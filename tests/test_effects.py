@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from orderlens.operators import effects as E
 from orderlens.operators import grain as G
+from orderlens.operators.checks import check_fill_order
 from orderlens.operators.quantiles import quantile_bucket, quantile_profile
 from orderlens.operators.rollup import rollup_items
 
@@ -215,3 +216,22 @@ def test_published_proxies_and_ranking(spark):
     assert ranked[0].ranking == " > ".join(accepted)
     weakest = E.ci_verdict(typed).filter("substitution_type = 'diff_product_same_cat'")
     assert {r.verdict for r in weakest.collect()} == {"indistinguishable"}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_order_fill_never_exceeds_macro_item_fill(spark, seed):
+    r = random.Random(seed)
+    rows = []
+    for i in range(300):
+        n = r.randrange(1, 20)
+        out = sum(r.random() < 0.2 for _ in range(n))
+        rows.append((i % 17, n, out, (n - out) / n, out == 0))
+    df = spark.createDataFrame(
+        rows, "g int, n_items int, n_stocked_out int, item_fill_rate double,"
+        " is_clean_order boolean")
+    assert check_fill_order(df, ["g"]).count() == 0
+    banded = G.grain_by_band(df).collect()
+    assert sum(b.orders for b in banded) == 300
+    total = G.grain_with_total(df, (3, 6), ("s", "m", "l")).filter("ord IS NULL").first()
+    assert total.asDict() | {"basket_band": 0, "ord": 0} == G.grain_summary(df).first().asDict() | {
+        "basket_band": 0, "ord": 0}

@@ -156,6 +156,27 @@ def test_sparse_join_equals_a_left_join(spark, rows):
         left.join(right, "k", "left"), "i", "k", "v")
 
 
+def test_null_keys_spread_over_the_shuffle(spark):
+    n = 4_000
+    left = spark.range(n).select("id", F.when(F.col("id") % 4 == 0, F.col("id")).alias("k"))
+    right = spark.range(0, n, 4).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+               "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        joined = J.left_join_sparse(left, right, "k")
+        assert "_part" in joined._jdf.queryExecution().executedPlan().toString().split(
+            "hashpartitioning(", 1)[1].split(")")[0]
+        sizes = [r[1] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < n / 2  # three quarters of the rows have no key
+        assert joined.filter("k IS NOT NULL AND v = 2 * k").count() == n // 4
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_scalars_refuse_a_second_row(spark):
     df = spark.createDataFrame([(1,), (2,)], "x int")
     one = J.with_scalars(df, df.agg(F.max("x").alias("m"), F.min("x").alias("l")))

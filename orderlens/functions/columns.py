@@ -20,6 +20,18 @@ def clock_minutes(ts: Column) -> Column:
     return days * 1440 + F.hour(ts) * 60 + F.minute(ts)
 
 
+def utc_wall_clock(text: Column) -> Column:
+    """Text of an instant -> UTC clock without zone.
+
+    An offset or Z is honoured; text without one already is UTC. The instant goes
+    through its count of microseconds, so the session zone plays no part.
+    """
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    instant = F.timestamp_add("MICROSECOND", F.unix_micros(text.cast("timestamp")), epoch)
+    has_zone = text.rlike("(Z|[+-][0-9]{2}(:?[0-9]{2})?)$") & text.contains(":")
+    return F.when(has_zone, instant).otherwise(text.cast("timestamp_ntz"))
+
+
 def to_local(ts: Column, tz: str) -> Column:
     """UTC wall clock -> reporting wall clock, both without a zone."""
     return F.convert_timezone(F.lit("UTC"), F.lit(tz), ts)

@@ -9,6 +9,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderlens.functions.columns import utc_wall_clock
+
 # The eight source tables, their columns and their catalogue.
 SCHEMAS = {
     "raw_customers": (
@@ -46,6 +48,7 @@ SCHEMAS = {
     ),
 }
 SOURCES = tuple(SCHEMAS)
+CLOCK = "timestamp_ntz"
 
 # name, grain, latency, owner
 CATALOG = (
@@ -59,7 +62,8 @@ CATALOG = (
     ("raw_experiment_assignments", "one row per session", "real-time", "experimentation"),
 )
 
-CSV_OPTIONS = {"header": "true", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
+# The header must name the declared columns in their order.
+CSV_OPTIONS = {"header": "true", "enforceSchema": "false"}
 
 
 def source_path(folder: str, name: str) -> str:
@@ -86,17 +90,29 @@ def require_sources(spark: SparkSession, folder: str, names: tuple[str, ...] = S
 def read_raw(spark: SparkSession, folder: str, name: str, schema: str | None = None) -> DataFrame:
     """One source as CSV with a declared schema: one scan, no inference pass.
 
-    A value that does not fit its declared type fails the read instead of
-    becoming NULL.
+    Timestamps may carry an offset and become UTC clocks without zone. A value or
+    a header that does not fit the declaration fails the read.
     """
     if name not in SCHEMAS:
         raise KeyError(f"{name} is not a source; the sources are {', '.join(SOURCES)}")
-    reader = spark.read.options(**CSV_OPTIONS).option("mode", "FAILFAST")
-    return reader.schema(schema or SCHEMAS[name]).csv(source_path(folder, name))
+    declared = [f.strip().split(" ", 1) for f in (schema or SCHEMAS[name]).split(",")]
+    as_text = ", ".join(f"{c} {'string' if t == CLOCK else t}" for c, t in declared)
+    rows = (
+        spark.read.options(**CSV_OPTIONS)
+        .option("mode", "FAILFAST")
+        .schema(as_text)
+        .csv(source_path(folder, name))
+    )
+    return rows.select(
+        *[utc_wall_clock(F.col(c)).alias(c) if t == CLOCK else F.col(c) for c, t in declared]
+    )
 
 
 def write_csv(df: DataFrame, folder: str, name: str) -> None:
-    df.write.mode("overwrite").options(**CSV_OPTIONS).csv(source_path(folder, name))
+    """One source as CSV, clock times with their fractions."""
+    clock = {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+    path = source_path(folder, name)
+    df.write.mode("overwrite").options(header="true", **clock).csv(path)
 
 
 def land_raw(

@@ -66,6 +66,40 @@ def test_bad_value_fails_the_read(spark, tmp_path):
         raw.read_raw(spark, str(tmp_path), "raw_customers").collect()
 
 
+def test_export_with_offsets_and_capitals(spark, tmp_path):
+    """The way a data-frame library writes UTC instants, booleans and gaps."""
+    (tmp_path / "raw_order_events.csv").write_text(
+        "order_id,customer_id,darkstore_id,event_type,event_at_utc\n"
+        "O1,C1,DS1,order_placed,2026-01-04 20:00:00+00:00\n"
+        "O1,C1,DS1,order_placed,2026-01-04 20:00:00.250000+00:00\n"
+        "O2,C1,DS1,order_placed,2026-03-08T02:30:00Z\n"
+        "O3,C1,DS1,order_placed,2026-01-05 00:00:00+04:00\n"
+        "O4,C1,DS1,order_placed,2026-03-08 02:30:00\n")
+    (tmp_path / "raw_sessions.csv").write_text(
+        "session_id,customer_id,converted,order_id,started_at_utc\n"
+        "S1,C1,True,O1,2026-01-04 19:50:00+00:00\nS2,C1,False,,2026-01-04 19:50:00+00:00\n")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        events = raw.read_raw(spark, str(tmp_path), "raw_order_events")
+        got = [(r.order_id, r.event_at_utc) for r in events.collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    night = dt.datetime(2026, 1, 4, 20, 0)
+    gap = dt.datetime(2026, 3, 8, 2, 30)  # does not exist in that session zone
+    assert got == [("O1", night), ("O1", night + dt.timedelta(milliseconds=250)), ("O2", gap),
+                   ("O3", night), ("O4", gap)]
+    sessions = raw.read_raw(spark, str(tmp_path), "raw_sessions").collect()
+    assert [(r.converted, r.order_id) for r in sessions] == [(True, "O1"), (False, None)]
+
+
+def test_header_that_does_not_fit_fails(spark, tmp_path):
+    (tmp_path / "raw_sessions.csv").write_text(
+        "customer_id,session_id,converted,order_id,started_at_utc\nC1,S1,True,O1,2026-01-04\n")
+    with pytest.raises(Exception, match="header|Header"):
+        raw.read_raw(spark, str(tmp_path), "raw_sessions").collect()
+
+
 def test_warehouse_from_landed_files(spark, tmp_path):
     write_sources(spark, str(tmp_path / "src"))
     landed = raw.land_raw(spark, str(tmp_path / "src"), str(tmp_path / "raw"))

@@ -77,15 +77,13 @@ def yates_chi2(n1: Column, k1: Column, n0: Column, k0: Column) -> Column:
 def chi2_2x2(df: DataFrame, arm: str, outcome: str, by: Sequence[str] = ()) -> DataFrame:
     """Independence of a two-valued arm and a boolean outcome."""
     cells = crosstab2(df, arm, outcome, by)
+    n = F.col("n_with") + F.col("n_without")
+    side = F.struct(F.col(arm), n.alias("n"), F.col("n_with").alias("k"))
     sides = cells.groupBy(*by).agg(
-        F.sort_array(
-            F.collect_list(F.struct(arm, (F.col("n_with") + F.col("n_without")).alias("n"),
-                                    F.col("n_with").alias("k")))
-        ).alias("s")
+        F.min(side).alias("a"), F.max(side).alias("b"), F.count(F.lit(1)).alias("arms")
     )
-    first, second = F.get("s", F.lit(0)), F.get("s", F.lit(1))
-    chi2 = yates_chi2(second["n"], second["k"], first["n"], first["k"])
-    out = sides.select(*by, F.when(F.size("s") == 2, chi2).alias("chi2"), F.lit(1).alias("df"))
+    chi2 = yates_chi2(F.col("b.n"), F.col("b.k"), F.col("a.n"), F.col("a.k"))
+    out = sides.select(*by, F.when(F.col("arms") == 2, chi2).alias("chi2"), F.lit(1).alias("df"))
     return out.withColumn("p_value", chi2_p(F.col("chi2")))
 
 

@@ -151,12 +151,12 @@ def _with_cells(
     return cut.withColumn("_cell", cell).drop(*rounds)
 
 
-def hot_limit(stored: DataFrame, hot_rows: int | None) -> int | None:
-    """The limit, or None where a whole stored table is smaller than a hot key.
+def hot_limit(counts: DataFrame, column: str, hot_rows: int | None) -> int | None:
+    """The limit, or None where no key of a stored count table is above it.
 
-    For written tables only: their count comes from the file footers.
+    The filter reaches the scan, whose file statistics usually answer it.
     """
-    if hot_rows is None or stored.count() <= hot_rows:
+    if hot_rows is None or counts.filter(F.col(column) > hot_rows).isEmpty():
         return None
     return hot_rows
 

@@ -125,7 +125,8 @@ class Warehouse:
     def _int_customer_order_sequence(self) -> DataFrame:
         orders, p = self["stg_orders"], self.params
         if self.root:
-            p = replace(p, hot_rows=hot_limit(orders, p.hot_rows))
+            activity = self["int_customer_activity"]
+            p = replace(p, hot_rows=hot_limit(activity, "order_count", p.hot_rows))
         return marts.customer_order_sequence(orders, p)
 
     # --- marts -------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orderlens.operators.staging import first_per_key, stage_orders
-from orderlens.operators.timeline import _with_cells, ordered_columns, sequence
+from orderlens.operators.timeline import _with_cells, hot_limit, ordered_columns, sequence
 from orderlens.params import Params
 
 SCHEMA = "k string, t timestamp_ntz, id long, v int"
@@ -64,7 +64,8 @@ def test_split_spreads_a_hot_key_over_partitions(spark):
     n = 60_000
     df = spark.range(n).select(
         F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"),
-        F.timestamp_add("SECOND", F.col("id"), F.lit("2026-01-01").cast("timestamp_ntz")).alias("t"),
+        F.timestamp_add("SECOND", F.col("id"), F.lit("2026-01-01").cast("timestamp_ntz")).alias(
+            "t"),
         "id",
     )
     got = ordered_columns(df, ["k"], ["t", "id"], row_number="seq", lead={"next_id": "id"},
@@ -77,6 +78,15 @@ def test_split_spreads_a_hot_key_over_partitions(spark):
     assert "hashpartitioning(k#" in text and "_cell" in text
 
 
+def test_cutting_is_skipped_only_when_no_key_is_large(spark, tmp_path):
+    path = str(tmp_path / "counts")
+    spark.createDataFrame([(1, 5), (2, 9)], "k int, n long").write.parquet(path)
+    counts = spark.read.parquet(path)
+    assert hot_limit(counts, "n", 9) is None
+    assert hot_limit(counts, "n", 8) == 8
+    assert hot_limit(counts, "n", None) is None
+
+
 def largest_cell(df, order, hot, cell):
     cells = _with_cells(df, ["k"], order, hot, cell)
     return cells.groupBy("k", "_cell").count().agg(F.max("count")).first()[0]

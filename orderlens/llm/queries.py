@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import simhash
+from orderlens.llm import simhash, toxicity
 from orderlens.llm.common import read
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_simhash_near_dedup": op9_simhash_near_dedup}
+    return {f.__name__: f for f in (op1_toxicity, op9_simhash_near_dedup)}
 
 
 ORACLE_SQL: dict[str, str] = {}

@@ -5,9 +5,9 @@ of the training texts. The toxic one also holds forms (words or beginnings of wo
 that toxic training texts use in many different contexts and ordinary ones hardly
 ever; copies of a text repeat its contexts, so its own rare words don't qualify. A
 window that holds such a form compresses shorter with the toxic dictionary, any
-other window to nearly the same length with both. Forms come from one half of the
-training sample; on the other half a logistic model is fitted to the excess lengths
-and so calibrates the thresholds. Every window of a text is compared.
+other window to nearly the same length with both. A logistic model of the excess lengths
+calibrates the thresholds, fitted on texts measured with dictionaries that other texts
+gave. Every window of a text is compared.
 """
 
 from __future__ import annotations
@@ -159,27 +159,35 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
+def _dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+    counts = Counter(w for text in ordinary for w in WORD.findall(text.lower()))
+    usual = sorted(counts, key=lambda w: (-counts[w], w))[:300]
+    common = " ".join(reversed(usual)).encode()[-COMMON_BYTES:]
+    ending = [f + " " if len(f) == SHORTEST else f for f in forms(toxic, ordinary)]
+    extra = " ".join(ending).encode()[-TOXIC_BYTES:]
+    shared = (b" " + common + b" ").rjust(64)
+    return b" " + extra + shared, shared
+
+
 def fit(toxic: list[str], ordinary: list[str], weight: tuple[float, float] = (1.0, 1.0)) -> Model:
-    """Dictionaries from every other text, calibration on the rest.
+    """Dictionaries from all texts, calibrated on texts they were not made from.
 
-    ``weight`` says how many labelled documents a toxic and an ordinary text of the
-    sample stand for. Without texts of both kinds every score is 0.
+    Each half of the sample is measured with dictionaries of the other half; the
+    logistic weights come from these. ``weight`` says how many labelled documents a
+    toxic and an ordinary text of the sample stand for. Without two texts of each kind
+    every score is 0.
     """
     if len(toxic) < 2 or len(ordinary) < 2:
         return Model(b" " * 64, b" " * 64, (-50.0,) + (0.0,) * 6)
-    counts = Counter(w for text in ordinary[::2] for w in WORD.findall(text.lower()))
-    usual = sorted(counts, key=lambda w: (-counts[w], w))[:300]
-    common = " ".join(reversed(usual)).encode()[-COMMON_BYTES:]
-    ending = [f + " " if len(f) == SHORTEST else f for f in forms(toxic[::2], ordinary[::2])]
-    extra = " ".join(ending).encode()[-TOXIC_BYTES:]
-    ordinary_bytes = (b" " + common + b" ").rjust(64)
-    draft = Model(b" " + extra + ordinary_bytes, ordinary_bytes, (0.0,) * 7)
-    scorer = draft.scorer()
-    sample = toxic[1::2] + ordinary[1::2]
-    x = np.array([scorer.features(t) for t in sample])
-    y = np.array([1.0] * len(toxic[1::2]) + [0.0] * len(ordinary[1::2]))
-    weights = _logistic(x, y, np.where(y == 1, weight[0], weight[1]))
-    return Model(draft.toxic, draft.ordinary, tuple(float(w) for w in weights))
+    x, y = [], []
+    for half in (0, 1):
+        held = _dictionaries(toxic[1 - half :: 2], ordinary[1 - half :: 2])
+        scorer = Model(*held, (0.0,) * 7).scorer()
+        x += [scorer.features(t) for t in toxic[half::2] + ordinary[half::2]]
+        y += [1.0] * len(toxic[half::2]) + [0.0] * len(ordinary[half::2])
+    marks = np.array(y)
+    weights = _logistic(np.array(x), marks, np.where(marks == 1, *weight))
+    return Model(*_dictionaries(toxic, ordinary), tuple(float(w) for w in weights))
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (3, 1)) -> Model:

@@ -197,25 +197,34 @@ def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (3, 1)
     characters, those with the smallest hash of their id. A document labelled more
     than once counts as toxic if any label says so; null labels and texts are left out.
     """
-    folds, out = held_out
+    spark, (folds, out) = docs.sparkSession, held_out
     marks = labels.filter("toxic is not null and doc_id is not null")
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = (
-        docs.select("doc_id", "text")
-        .filter(F.col("text").isNotNull() & (fold(F.col("doc_id"), folds) != out))
-        .join(marks, "doc_id")
-    )
+    # Ids and lengths travel, not texts; the texts of the few chosen ids are fetched last.
+    known = docs.filter(F.col("text").isNotNull() & (fold(F.col("doc_id"), folds) != out))
+    known = known.select("doc_id", F.length("text").alias("chars")).join(marks, "doc_id")
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    short = known.filter(F.length("text") <= SAMPLE_CHARS)
+    short = known.filter(F.col("chars") <= SAMPLE_CHARS)
 
-    def sample(toxic: int, most: int) -> list[str]:
+    def chosen(toxic: int, most: int) -> list[tuple[int, int]]:
         order = F.xxhash64("doc_id")
-        rows = short.filter(F.col("toxic") == toxic).orderBy(order, "doc_id", "text").limit(most)
-        return [r["text"] for r in rows.select("text").toLocalIterator()]
+        rows = short.filter(F.col("toxic") == toxic).orderBy(order, "doc_id").limit(most)
+        return [(r["doc_id"], toxic) for r in rows.select("doc_id").collect()]
 
-    toxic, ordinary = sample(1, TOXIC_DOCS), sample(0, ORDINARY_DOCS)
+    ids = chosen(1, TOXIC_DOCS) + chosen(0, ORDINARY_DOCS)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    few = spark.createDataFrame(ids, f"doc_id {kind}, toxic int").distinct()
+    sample = (
+        docs.select("doc_id", "text")
+        .filter(F.length("text") <= SAMPLE_CHARS)
+        .join(F.broadcast(few), "doc_id")  # at most TOXIC_DOCS + ORDINARY_DOCS rows
+        .select("toxic", "doc_id", "text")
+    )
+    rows = sorted(tuple(r) for r in sample.collect())
+    toxic = [t for mark, _, t in rows if mark == 1][:TOXIC_DOCS]
+    ordinary = [t for mark, _, t in rows if mark == 0][:ORDINARY_DOCS]
     weight = (counts.get(1, 0) / max(1, len(toxic)), counts.get(0, 0) / max(1, len(ordinary)))
-    total = sum(weight[0] for _ in toxic) + sum(weight[1] for _ in ordinary)
+    total = len(toxic) * weight[0] + len(ordinary) * weight[1]
     scale = (len(toxic) + len(ordinary)) / max(1.0, total)
     return fit(toxic, ordinary, (weight[0] * scale, weight[1] * scale))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import bpe, editprint, linededup, packing, simhash, toxicity
+from orderlens.llm import bpe, editprint, language, linededup, packing, simhash, toxicity
 from orderlens.llm.common import read
 
 
@@ -30,12 +30,16 @@ def op5_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editprint.describe(read(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_bpe, op4_packing, op5_edit_embedding, op9_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_bpe, op4_packing, op5_edit_embedding, op8_language_id, op9_simhash_near_dedup)}
 
 
 ORACLE_SQL: dict[str, str] = {}

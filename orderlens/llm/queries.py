@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import bpe, editprint, language, linededup, neighbours, packing, simhash, toxicity
+from orderlens.llm import bpe, editprint, language, linededup, neighbours, packing, simhash, toxicity, warc
 from orderlens.llm.common import read
 
 
@@ -31,6 +31,10 @@ def op5_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editprint.describe(read(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 def op7_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -44,7 +48,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_bpe, op4_packing, op5_edit_embedding, op7_projected_neighbours, op8_language_id, op9_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_bpe, op4_packing, op5_edit_embedding, op6_warc, op7_projected_neighbours, op8_language_id, op9_simhash_near_dedup)}
 
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_warc": warc.ORACLE}

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.llm.common import groups, pieces, stored, tasks, texts
@@ -192,57 +192,79 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 def shard_links(
-    own: np.ndarray, guests: np.ndarray, radius: int
+    own: np.ndarray, guests: np.ndarray, radius: int, hubs: int = 0
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links (a, b, distance) within ``radius`` that span what a shard's rows link.
 
     Positions count the own fingerprints first, then the guests. Own ones are
-    compared with each other and with the guests, in steps of bounded size.
+    compared with each other and with the guests, in steps of bounded size. With
+    ``hubs``, all links are given where they are at most four per row; in a denser
+    shard each own row is also linked to its ``hubs`` neighbours with the most
+    neighbours, for links that a later check may reject.
     """
     every = np.concatenate([own, guests])
     n, m = len(every), len(own)
+    nothing = np.zeros(0, np.int64)
     if not m:
-        return (np.zeros(0, np.int64),) * 3
+        return nothing, nothing, nothing
     away = np.bitwise_count(every ^ every[0]).sum(axis=1, dtype=np.int64)
     home = np.argsort(away[:m], kind="stable")
     guest = m + np.argsort(away[m:], kind="stable")
     near_home, near_guest = away[home], away[guest]
-    a, b, d = (np.zeros(0, np.int64),) * 3
-    step, start = max(1, COMPARED // n), 0
-    while start < m:
-        end = min(m, start + step)
-        lo, hi = near_home[start], near_home[end - 1]
-        right = np.concatenate(
-            [
-                home[start : np.searchsorted(near_home, hi + radius, "right")],
-                guest[
-                    np.searchsorted(near_guest, lo - radius) : np.searchsorted(
-                        near_guest, hi + radius, "right"
-                    )
-                ],
-            ]
-        )
-        left = home[start:end]
-        far = sum(
-            np.bitwise_count(every[left, w][:, None] ^ every[right, w][None, :]).astype(np.int16)
-            for w in range(every.shape[1])
-        )
+
+    def compared(forward: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows, those the triangle bound leaves to compare them with, and the distances."""
+        step, start = max(1, COMPARED // n), 0
+        while start < m:
+            end = min(m, start + step)
+            lo, hi = near_home[start] - radius, near_home[end - 1] + radius
+            first = start if forward else np.searchsorted(near_home, lo)
+            mates = home[first : np.searchsorted(near_home, hi, "right")]
+            others = slice(np.searchsorted(near_guest, lo), np.searchsorted(near_guest, hi, "right"))
+            left, right = home[start:end], np.concatenate([mates, guest[others]])
+            far = sum(
+                np.bitwise_count(every[left, w][:, None] ^ every[right, w][None, :]).astype(np.int16)
+                for w in range(every.shape[1])
+            )
+            yield left, right, far
+            start = end
+
+    a, b, d, degree, seen = nothing, nothing, nothing, np.zeros(n, np.int64), 0
+    for left, right, far in compared(True):
         i, j = np.nonzero(far <= radius)
-        forward = j > i  # the first columns are the rows themselves
-        i, j = i[forward], j[forward]
+        ahead = j > i  # the first columns are the rows themselves
+        i, j = i[ahead], j[ahead]
         a = np.concatenate([a, left[i]])
         b = np.concatenate([b, right[j]])
         d = np.concatenate([d, far[i, j].astype(np.int64)])
+        degree += np.bincount(left[i], minlength=n) + np.bincount(right[j], minlength=n)
+        seen += len(i)
         if len(a) > 4 * n + COMPARED:
             pick = forest(n, a, b, d)
             a, b, d = a[pick], b[pick], d[pick]
-        start = end
+    if hubs and seen <= 4 * n:
+        return a, b, d
     pick = forest(n, a, b, d)
-    return a[pick], b[pick], d[pick]
+    a, b, d = a[pick], b[pick], d[pick]
+    for left, right, far in compared(False) if hubs else ():
+        known = np.where((far <= radius) & (left[:, None] != right[None, :]), degree[right] + 1, 0)
+        for _ in range(min(hubs, len(right))):
+            at = known.argmax(axis=1)
+            rows = np.flatnonzero(known[np.arange(len(left)), at])
+            a = np.concatenate([a, left[rows]])
+            b = np.concatenate([b, right[at[rows]]])
+            d = np.concatenate([d, far[rows, at[rows]].astype(np.int64)])
+            known[np.arange(len(left)), at] = 0
+    return a, b, d
 
 
 def links(
-    items: DataFrame, words: int, radius: int, segments: int, slack: int | None = None
+    items: DataFrame,
+    words: int,
+    radius: int,
+    segments: int,
+    slack: int | None = None,
+    hubs: int = 0,
 ) -> DataFrame:
     """(a, b, distance): links between distinct fingerprints that span the near ones.
 
@@ -294,7 +316,7 @@ def links(
                 continue
             every = _words(names.to_pylist(), words)
             at = np.concatenate([np.flatnonzero(home), np.flatnonzero(~home)])
-            a, b, d = shard_links(every[home], every[~home], radius)
+            a, b, d = shard_links(every[home], every[~home], radius, hubs)
             if len(a):
                 x, y = names.take(pa.array(at[a])), names.take(pa.array(at[b]))
                 yield pa.RecordBatch.from_arrays(
@@ -338,3 +360,93 @@ def near_duplicates(
     return printed.join(named, "fingerprint").select(
         F.col("key").alias(key), "fingerprint", "component_id"
     )
+
+
+# For similarity 0.8 of five-word shingles: 192 bits differ in about 29 places there, so
+# 42 leaves room for chance; the exact similarity decides. A tree of 16 bits with one bit of
+# slack misses such a pair with probability 0.72, twelve trees with 0.02, and less above.
+# Among many near copies the nearest fingerprint may belong to a text that is not similar
+# enough, so each is also compared with the three that most others are near to.
+HUBS = 3
+NEAR = {"shingle": 5, "words": 3, "radius": 42, "segments": 12, "slack": 1}
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sets of shingle hashes; 1 for two empty ones."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def similar(pairs: DataFrame, bodies: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have at least ``least`` in common."""
+    sides = pairs.join(bodies.toDF("a", "text_a"), "a").join(bodies.toDF("b", "text_b"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 256):
+            held: dict[str, np.ndarray] = {}
+            keep = []
+            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                for node, text in ((a, x), (b, y)):
+                    if node not in held:
+                        held[node] = np.unique(shingle_hashes(text, shingle))
+                keep.append(jaccard(held[a], held[b]) >= least)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return sides.select("a", "b", "text_a", "text_b").mapInArrow(run, "a string, b string")
+
+
+def keep_one(
+    docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` without near copies: one document of each group stays.
+
+    Two texts are near when at least ``least`` of their five-word shingles, as sets, are
+    the same; groups are what near pairs connect, and equal texts are always together.
+    Links are looked for with NEAR and then verified by the exact similarity. Of a group
+    the row with the smallest key stays (null keys last, then by a digest of the text);
+    of rows that repeat it, the one whose columns have the smallest hash. Null, empty and
+    blank texts are one group.
+    """
+    names = docs.columns
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    node = F.md5(body)
+    plain = docs.select(F.struct(F.col(key).alias("id"), node.alias("node")).alias("key"), body.alias("text"))
+    printed = fingerprints(plain, "key", "text", NEAR["shingle"], NEAR["words"])
+    nodes = stored(
+        printed.groupBy(F.col("key.node").alias("node"), "fingerprint").agg(
+            F.min("key.id").alias("id")
+        ),
+        "nodes",
+    )
+    heads = nodes.groupBy("fingerprint").agg(F.min("node").alias("head"))
+    heads = stored(heads, "heads")
+    near = links(heads, NEAR["words"], NEAR["radius"], NEAR["segments"], NEAR["slack"], HUBS)
+    across = near.join(heads.toDF("a", "head_a"), "a").join(heads.toDF("b", "head_b"), "b")
+    within = nodes.join(heads, "fingerprint").filter("node != head")
+    pairs = stored(
+        across.select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+        .unionByName(within.select(F.col("head").alias("a"), F.col("node").alias("b")))
+        .distinct(),
+        "pairs",
+    )
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    bodies = docs.select(node.alias("node"), body.alias("text")).join(ends, "node", "left_semi")
+    bodies = stored(bodies.dropDuplicates(["node"]), "bodies")
+    found = components(similar(pairs, bodies, NEAR["shingle"], least))
+    placed = nodes.join(found, "node", "left").withColumn(
+        "component", F.coalesce("component", "node")
+    )
+    best = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("node"))).alias("best")
+    chosen = placed.groupBy("component").agg(best).select(
+        F.col("best.id").alias("kept_id"), F.col("best.node").alias("kept_node")
+    )
+    marked = docs.select(
+        F.struct(*[F.col(n) for n in names]).alias("row"), F.col(key).alias("id"), node.alias("node")
+    )
+    kept = marked.join(
+        chosen,
+        (marked["node"] == chosen["kept_node"]) & marked["id"].eqNullSafe(chosen["kept_id"]),
+    )
+    same = Window.partitionBy("kept_node", "kept_id").orderBy(F.xxhash64("row"))
+    first = kept.withColumn("place", F.row_number().over(same)).filter("place = 1")
+    return first.select("row.*")

@@ -260,3 +260,16 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
         "score",
         (F.col("score") >= REJECT).cast("int").alias("predicted"),
     )
+
+
+def keep_ordinary(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores below REJECT."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = model.scorer()
+        for batch in pieces(batches, 512):
+            many = [str(t) for t in texts(batch.column(at))]
+            yield batch.filter(pa.array([s < REJECT for s in scores(many, scorer)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -1,19 +1,16 @@
 """Ordered per-key columns that survive a hot key.
 
-A plain window sends every row of a key to one task. Here a key with more than
-``hot_rows`` rows is cut along its order into cells of about ``cell_rows`` rows;
-windows run per (key, cell), and one small row per cell carries counts and border
-rows across. The result equals the plain window.
-
-Cuts are made in three rounds: equal widths of the first order column, the same
-again inside cells that are still too large (a burst), and equal widths of the
-second order column inside cells whose rows all share the first (mass ties).
-
-Two bounds hold by construction, which is why the small sides are broadcast: at
-most N / hot_rows groups are cut per round, and there are at most
-N / cell_rows + N / hot_rows carry rows per round. With the defaults, 10^11 rows
-give some 100,000 of them. The rows themselves are shuffled once, as for the
-plain window.
+A plain window sends every row of a key to one task. Here the keys with more than
+``hot_rows`` rows are found by an exact count first; if there are none, the plain
+window runs over everything. Otherwise only the rows of those keys are cut: they are
+range-partitioned by the key and the whole order, including the tie-breaker, into cells
+of about ``cell_rows`` rows. The edges are quantiles of the rows themselves, so a batch
+stamped with one instant among ordinary rows is cut as evenly as any other stretch.
+
+The rows are stored together with their cell, once, so that the windows per (key, cell)
+and the one small row per cell that carries counts and border rows across see the same
+cells, also when a task runs again. The result equals the plain window. Rows of the other
+keys take the plain window; hot keys and carries are joined without a hint.
 """
 
 from __future__ import annotations
@@ -23,132 +20,32 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from orderlens.functions.columns import clock_minutes, days_between
-
-# Cells of one round; three rounds fit into one 64-bit cell number.
-ROUND_BITS = 20
 
-
-def _shared_bytes(low: Column, high: Column) -> Column:
-    """Length of the common start of two binary values."""
-    shorter = F.least(F.length(low), F.length(high))
-    lengths = F.filter(
-        F.sequence(F.lit(0), shorter),
-        lambda n: F.substring(low, F.lit(1), n) == F.substring(high, F.lit(1), n),
-    )
-    return F.array_max(lengths)
+from orderlens.functions.columns import days_between
+from orderlens.session import keep
 
 
-def _position(column: Column, kind: T.DataType, skip: Column, fine: bool) -> Column:
-    """A number that never decreases along the column; equal numbers share a cell.
-
-    A clock time counts whole seconds, or with ``fine`` their fractions too. Text is
-    read as the number of the six bytes after the first ``skip``.
-    """
-    if isinstance(kind, T.TimestampNTZType):
-        second = F.date_part(F.lit("SECOND"), column) if fine else F.second(column)
-        return clock_minutes(column).cast("double") * 60 + second.cast("double")
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(column).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(column).cast("double")
-    if isinstance(kind, T.NumericType):
-        return column.cast("double")
-    if isinstance(kind, T.StringType):
-        part = F.hex(F.substring(column.cast("binary"), skip + 1, F.lit(6)))
-        return F.conv(F.rpad(part, 12, "0"), 16, 10).cast("double")
-    raise TypeError(f"cannot cut along a column of type {kind.simpleString()}")
+def _same(names: Sequence[str], prefix: str) -> Column:
+    """Equality of each column with its prefixed copy, NULL matching NULL."""
+    equal = [F.col(n).eqNullSafe(F.col(f"{prefix}{n}")) for n in names]
+    return reduce(lambda a, b: a & b, equal)
 
 
-def _left_by_key(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Left join on equal keys, NULL matching NULL; right key columns are dropped."""
-    renamed = {n: f"_right_{n}" for n in names}
-    same = [F.col(n).eqNullSafe(F.col(r)) for n, r in renamed.items()]
-    other = right.withColumnsRenamed(renamed)
-    return left.join(other, reduce(lambda a, b: a & b, same), "left").drop(*renamed.values())
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
+    """keys..., _n: the keys with more than ``hot_rows`` rows, stored."""
+    return keep(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows))
 
 
-def _cut(
-    df: DataFrame,
-    group: Sequence[str],
-    by: str,
-    out: str,
-    hot_rows: int,
-    cell_rows: int,
-    mark: str | None = None,
-    only: str | None = None,
-    tied: str | None = None,
+def stored_cells(
+    df: DataFrame, hot: DataFrame, keys: Sequence[str], order: Sequence[str], cell_rows: int
 ) -> DataFrame:
-    """Number the equal-width cells of every group that is too large.
-
-    NULLs are cell 1, values start at 2; rows of other groups get a NULL. ``mark``
-    names a flag to keep on the rows of large groups, ``only`` the flag of the rows
-    to look at, and with ``tied`` a group is cut only if that column is constant in
-    it.
-    """
-    kind = df.schema[by].dataType
-    source = df if only is None else df.filter(only)
-    large_flag = mark or "_large"
-    found = {"_n": F.count(F.lit(1)), "_low": F.min(by), "_high": F.max(by)}
-    large = F.col("_n") > hot_rows
-    if tied:
-        found |= {"_t0": F.min(tied), "_t1": F.max(tied)}
-        large = large & F.col("_t0").eqNullSafe(F.col("_t1"))
-    skip = F.lit(0)
-    if isinstance(kind, T.StringType):
-        skip = _shared_bytes(F.col("_low").cast("binary"), F.col("_high").cast("binary"))
-
-    def position(column: str) -> Column:
-        return _position(F.col(column), kind, F.col("_skip"), fine=only is not None)
-
-    low, high = position("_low"), position("_high")
-    cells = F.least(F.ceil(F.col("_n") / cell_rows), F.lit(2**ROUND_BITS - 4))
-    hot = (
-        source.groupBy(*group)
-        .agg(*[v.alias(k) for k, v in found.items()])
-        .filter(large)
-        .withColumn("_skip", skip)
-        .select(
-            *group,
-            "_skip",
-            F.lit(True).alias(large_flag),
-            low.alias("_from"),
-            ((high - low) / cells).alias("_width"),
-        )
-    )
-    place = (position(by) - F.col("_from")) / F.col("_width")
-    cell = (
-        F.when(F.col(large_flag).isNull(), F.lit(None))
-        .when(F.col(by).isNull(), F.lit(1))
-        .when(F.col("_width") > 0, F.floor(place) + 2)
-        .otherwise(F.lit(2))
+    """The rows of the hot keys with ``_cell``, which grows along key and order."""
+    listed = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+    rows = df.join(listed, _same(keys, "_hot_"), "left_semi")
+    cells = hot.agg(F.ceil(F.sum("_n") / cell_rows).cast("int")).first()[0]
+    return keep(
+        rows.repartitionByRange(cells, *keys, *order).withColumn("_cell", F.spark_partition_id())
     )
-    joined = _left_by_key(df, F.broadcast(hot), group).withColumn(out, cell.cast("bigint"))
-    return joined.drop("_skip", "_large", "_from", "_width")
-
-
-def _with_cells(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int, cell_rows: int
-) -> DataFrame:
-    """Add ``_cell``, zero unless the key is hot, and the flag ``_hot``, NULL unless so.
-
-    The flag comes straight from the hot-key list: a filter on it turns the join
-    with that list into an inner one, which an empty list ends at once.
-    """
-    limits = {"hot_rows": hot_rows, "cell_rows": cell_rows}
-    cut = _cut(df, keys, order[0], "_a", mark="_hot", **limits)
-    cut = _cut(cut, [*keys, "_a"], order[0], "_b", only="_hot", **limits)
-    rounds = ["_a", "_b"]
-    if len(order) > 1:
-        group = [*keys, *rounds]
-        cut = _cut(cut, group, order[1], "_c", only="_hot", tied=order[0], **limits)
-        rounds.append("_c")
-    cell = F.lit(0).cast("bigint")
-    for name in rounds:
-        cell = F.shiftleft(cell, ROUND_BITS) + F.coalesce(name, F.lit(0))
-    return cut.withColumn("_cell", cell).drop(*rounds)
 
 
 def hot_limit(counts: DataFrame, column: str, hot_rows: int | None) -> int | None:
@@ -176,16 +73,49 @@ def ordered_columns(
 ) -> DataFrame:
     """Add row number, key total, next, previous and running maximum of prior rows.
 
-    ``order`` must be unique within a key; its first two columns are dates,
-    timestamps, numbers or text, without NaN. ``lead``, ``lag`` and ``max_before``
-    map new names to columns. Without ``hot_rows`` every key stays whole.
+    ``order`` must be unique within a key. ``lead``, ``lag`` and ``max_before`` map new
+    names to columns. Without ``hot_rows`` every key stays whole and nothing runs here;
+    with it the rows per key are counted at once, and only hot keys are cut and stored.
     """
     lead, lag, max_before = dict(lead or {}), dict(lag or {}), dict(max_before or {})
-    if hot_rows is None:
-        celled, group = df, list(keys)
-    else:
-        celled, group = _with_cells(df, keys, order, hot_rows, cell_rows), [*keys, "_cell"]
+    columns = (row_number, total, lead, lag, max_before)
+    hot = None if hot_rows is None else hot_keys(df, keys, hot_rows)
+    if hot is None or hot.isEmpty():
+        return _windows(df, keys, order, *columns, None).select(*df.columns, *_names(*columns))
+    listed = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+    others = df.join(listed, _same(keys, "_hot_"), "left_anti")
+    celled = stored_cells(df, hot, keys, order, cell_rows)
+    carry = _carry(celled, keys, order, lead, lag, max_before)
+    parts = [
+        _windows(others, keys, order, *columns, None),
+        _windows(celled, keys, order, *columns, carry),
+    ]
+    return reduce(DataFrame.unionByName, [p.select(*df.columns, *_names(*columns)) for p in parts])
+
+
+def _names(
+    row_number: str | None,
+    total: str | None,
+    lead: Mapping[str, str],
+    lag: Mapping[str, str],
+    max_before: Mapping[str, str],
+) -> list[str]:
+    return [n for n in (row_number, total) if n] + [*lead, *lag, *max_before]
 
+
+def _windows(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    row_number: str | None,
+    total: str | None,
+    lead: Mapping[str, str],
+    lag: Mapping[str, str],
+    max_before: Mapping[str, str],
+    carry: DataFrame | None,
+) -> DataFrame:
+    """The new columns by windows per key, or per cell with what ``carry`` adds to them."""
+    group = list(keys) if carry is None else [*keys, "_cell"]
     sequence = Window.partitionBy(*group).orderBy(*order)
     prior = sequence.rowsBetween(Window.unboundedPreceding, -1)
     inside = {f"_next_{out}": F.lead(c).over(sequence) for out, c in lead.items()}
@@ -193,11 +123,11 @@ def ordered_columns(
     inside |= {f"_top_{out}": F.max(c).over(prior) for out, c in max_before.items()}
     if row_number or lag:
         inside["_seq"] = F.row_number().over(sequence).cast("bigint")
-    if lead and hot_rows is not None:
+    if lead and carry is not None:
         inside["_has_next"] = F.lead(F.lit(True)).over(sequence)
     if total:
         inside["_n"] = F.count(F.lit(1)).over(Window.partitionBy(*group))
-    rows = celled.withColumns(inside)
+    rows = df.withColumns(inside)
 
     added = {}
     if row_number:
@@ -207,9 +137,9 @@ def ordered_columns(
     added |= {out: F.col(f"_next_{out}") for out in lead}
     added |= {out: F.col(f"_prev_{out}") for out in lag}
     added |= {out: F.col(f"_top_{out}") for out in max_before}
-    if hot_rows is not None:
-        carry = _carry(celled, keys, order, lead, lag, max_before)
-        rows = _left_by_key(rows, F.broadcast(carry), group)
+    if carry is not None:
+        other = carry.withColumnsRenamed({n: f"_right_{n}" for n in group})
+        rows = rows.join(other, _same(group, "_right_"), "left")
         if row_number:
             added[row_number] += F.coalesce("_c_before", F.lit(0))
         if total:
@@ -250,8 +180,7 @@ def _carry(
     found |= {f"_last_{out}": edge(c, F.max) for out, c in lag.items()}
     found |= {f"_high_{out}": F.max(c) for out, c in max_before.items()}
     cells = (
-        celled.filter("_hot")
-        .groupBy(*keys, "_cell")
+        celled.groupBy(*keys, "_cell")
         .agg(*[v.alias(k) for k, v in found.items()])
     )
     along = Window.partitionBy(*keys).orderBy("_cell")

@@ -572,6 +572,17 @@ _BODIES = {
         round(item_fill_rate, 8) AS item_fill_rate) FROM fct_orders""",
     "customer_sequence": _SEQUENCE,
     "customer_sequence_split": _SEQUENCE,
+    "customer_sequence_batch": """WITH moved AS (SELECT order_id,
+          CASE WHEN customer_id % 3 = 0 THEN -1 ELSE customer_id END AS customer_id,
+          CASE WHEN customer_id % 3 = 0 AND order_id % 2 = 0
+               THEN TIMESTAMP '2026-02-01 12:00:00' ELSE ordered_at_gst END AS ordered_at_gst
+        FROM stg_orders WHERE NOT is_cancelled)
+      SELECT order_id, customer_id, row_number() OVER s AS order_seq,
+        count(*) OVER (PARTITION BY customer_id) AS customer_lifetime_orders,
+        lead(ordered_at_gst) OVER s AS next_ordered_at_gst,
+        lag(ordered_at_gst) OVER s AS prev_ordered_at_gst,
+        date_diff('day', ordered_at_gst, lead(ordered_at_gst) OVER s) AS days_to_next_order
+      FROM moved WINDOW s AS (PARTITION BY customer_id ORDER BY ordered_at_gst, order_id)""",
     "customer_orders_fact": """SELECT * REPLACE (round(gross_value_aed, 8) AS gross_value_aed,
         round(item_fill_rate, 8) AS item_fill_rate) FROM fct_customer_orders""",
     "sessions_fact": """SELECT * REPLACE (round(gross_value_aed, 8) AS gross_value_aed)

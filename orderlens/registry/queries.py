@@ -19,6 +19,7 @@ from orderlens.operators import experiment as X
 from orderlens.operators import grain as G
 from orderlens.operators import joins as J
 from orderlens.operators.quantiles import quantile_bucket, quantile_profile
+from orderlens.operators.timeline import sequence
 from orderlens.plans import marts, reports
 from orderlens.plans.warehouse import Warehouse
 from orderlens.session import configure, keep, work_dir
@@ -310,10 +311,32 @@ def customer_sequence_split(c: Context) -> DataFrame:
     """
     orders = c.stored["stg_orders"]
     limit = max(orders.count() // 1000, 1)
-    split = replace(P, hot_rows=limit, cell_rows=max(limit // 4, 1))
+    split = replace(P, hot_rows=limit, cell_rows=10 * limit)
     return marts.customer_order_sequence(orders, split)
 
 
+@query
+def customer_sequence_batch(c: Context) -> DataFrame:
+    """One key with a third of the orders, half of them stamped with one instant."""
+    orders = c.stored["stg_orders"]
+    large = F.col("customer_id") % 3 == 0
+    stamped = large & (F.col("order_id") % 2 == 0)
+    orders = orders.withColumns(
+        {
+            "ordered_at_gst": F.when(stamped, F.lit("2026-02-01 12:00:00").cast("timestamp_ntz"))
+            .otherwise(F.col("ordered_at_gst")),
+            "customer_id": F.when(large, F.lit(-1)).otherwise(F.col("customer_id")).cast(
+                orders.schema["customer_id"].dataType),
+        }
+    )
+    kept = orders.filter("NOT is_cancelled").select("order_id", "customer_id", "ordered_at_gst")
+    share = max(kept.count() // 50, 1)
+    split = sequence(kept, hot_rows=share, cell_rows=max(share // 4, 1))
+    return split.select(
+        "order_id", "customer_id", "order_seq", "customer_lifetime_orders", "next_ordered_at_gst",
+        "prev_ordered_at_gst", "days_to_next_order")
+
+
 @query
 def customer_orders_fact(c: Context) -> DataFrame:
     return rounded(c.stored["fct_customer_orders"])

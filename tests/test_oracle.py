@@ -9,6 +9,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from orderlens.registry.oracle import TWINS
+from orderlens.registry.queries import callables
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TYPES = {
@@ -40,17 +42,18 @@ def plain(value):
 
 
 def test_registry_and_twins_name_the_same_queries():
-    queries, twins = set(entry.queries()), set(entry.oracle_sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    queries, twins = set(callables()), set(TWINS)
     assert twins <= queries
     # Only tail probabilities have no SQL form.
     assert queries - twins == {"analysis_report", "experiment_report"}
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(TWINS))
 def test_query_equals_its_sql_twin(spark, duck, name):
-    df = entry.queries()[name](spark, FOLDER)
+    df = callables()[name](spark, FOLDER)
     columns = sorted(df.columns)
-    relation = duck.sql(entry.oracle_sql()[name])
+    relation = duck.sql(TWINS[name])
     assert sorted(relation.columns) == columns
     kinds = dict(zip(relation.columns, [str(t) for t in relation.types]))
     assert kinds == {f.name: TYPES[f.dataType.simpleString()] for f in df.schema.fields}

@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orderlens.operators.staging import first_per_key, stage_orders
-from orderlens.operators.timeline import _with_cells, hot_limit, ordered_columns, sequence
+from orderlens.operators.timeline import (
+    hot_keys,
+    hot_limit,
+    ordered_columns,
+    sequence,
+    stored_cells,
+)
 from orderlens.params import Params
 
 SCHEMA = "k string, t timestamp_ntz, id long, v int"
@@ -74,8 +80,9 @@ def test_split_spreads_a_hot_key_over_partitions(spark):
     assert hot.select(F.max("seq"), F.count_distinct("seq")).first()[:] == (n // 3, n // 3)
     assert hot.filter("next_id - id <> 3").count() == 0
     assert hot.filter("next_id is null").count() == 1
-    text = got._jdf.queryExecution().toString()
-    assert "hashpartitioning(k#" in text and "_cell" in text
+    cells = stored_cells(df, hot_keys(df, ["k"], 5_000), ["k"], ["t", "id"], 1_000)
+    sizes = [r["count"] for r in cells.groupBy("k", "_cell").count().collect()]
+    assert sum(sizes) == n // 3 and max(sizes) <= 5_000 and len(sizes) >= 10
 
 
 def test_cutting_is_skipped_only_when_no_key_is_large(spark, tmp_path):
@@ -88,7 +95,7 @@ def test_cutting_is_skipped_only_when_no_key_is_large(spark, tmp_path):
 
 
 def largest_cell(df, order, hot, cell):
-    cells = _with_cells(df, ["k"], order, hot, cell)
+    cells = stored_cells(df, hot_keys(df, ["k"], hot), ["k"], order, cell)
     return cells.groupBy("k", "_cell").count().agg(F.max("count")).first()[0]
 
 
@@ -106,7 +113,6 @@ def test_a_burst_is_cut_again(spark):
         "id",
     )
     assert largest_cell(df, ["t", "id"], 1_000, 500) <= 1_000
-    assert largest_cell(df, ["t"], 1_000, 500) <= 1_000
 
 
 @pytest.mark.parametrize("tie", ["id", "name"])
@@ -135,10 +141,35 @@ def test_text_of_any_bytes_keeps_its_order(spark, rows):
     assert rows(got) == rows(df.withColumn("seq", F.row_number().over(w)))
 
 
-def test_order_column_must_have_a_position(spark):
-    df = spark.createDataFrame([("a", True)], "k string, s boolean")
-    with pytest.raises(TypeError):
-        ordered_columns(df, ["k"], ["s"], row_number="n", hot_rows=1, cell_rows=1)
+@pytest.mark.parametrize("seconds", [0, 1])
+def test_a_batch_among_steady_rows_is_cut(spark, rows, seconds):
+    """20,000 rows at one instant, or within a second, and as many over 90 days."""
+    n = 20_000
+    instant = F.lit("2026-02-01 12:00:00").cast("timestamp_ntz")
+    batch = F.timestamp_add("MICROSECOND", F.col("id") % 1_000_000 * seconds, instant)
+    steady = F.timestamp_add("SECOND", F.col("id") * 388, F.lit("2026-01-01").cast("timestamp_ntz"))
+    df = spark.range(2 * n).select(
+        F.lit("hot").alias("k"),
+        F.when(F.col("id") < n, batch).otherwise(
+            F.timestamp_add("SECOND", (F.col("id") - 2 * n) * 388, steady)).alias("t"),
+        F.xxhash64("id").alias("id"),
+        (F.col("id") % 7).cast("int").alias("v"),
+    )
+    assert largest_cell(df, ["t", "id"], 1_000, 250) <= 1_000
+    got = ordered_columns(df, ["k"], ["t", "id"], row_number="seq", total="total",
+                          lead={"next_v": "v"}, lag={"prev_t": "t"}, max_before={"top": "v"},
+                          hot_rows=1_000, cell_rows=250)
+    want = plain(df)
+    assert rows(got, *want.columns) == rows(want)
+
+
+def test_without_a_hot_key_the_plan_is_the_plain_window(spark, tmp_path):
+    path = str(tmp_path / "log")
+    spark.range(1_000).selectExpr("id % 50 AS k", "id AS t").write.parquet(path)
+    got = ordered_columns(spark.read.parquet(path), ["k"], ["t"], lead={"next": "t"},
+                          hot_rows=100, cell_rows=10)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
 
 
 def test_sequence_counts_days_between_orders(spark):

@@ -20,9 +20,15 @@ def main() -> None:
     parser.add_argument(
         "--partition-by-date", action="store_true", help="lay the facts out by date"
     )
+    parser.add_argument("--calendar-start", help="first day; the first order date if left out")
+    parser.add_argument("--calendar-end", help="day after the last; from the orders if left out")
     args = parser.parse_args()
     params = Params(
-        reporting_tz=args.tz, retention_window_days=args.window_days, mad_k=args.mad_k
+        reporting_tz=args.tz,
+        retention_window_days=args.window_days,
+        mad_k=args.mad_k,
+        calendar_start=args.calendar_start,
+        calendar_end=args.calendar_end,
     )
     spark = SparkSession.builder.appName("orderlens").getOrCreate()
     run_all(spark, args.source, args.target, params, args.partition_by_date)

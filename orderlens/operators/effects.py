@@ -17,6 +17,7 @@ from orderlens.functions.columns import (
     safe_ratio,
     split_offer,
 )
+from orderlens.operators.joins import with_scalars
 from orderlens.operators.quantiles import quantile_bucket
 
 # Fixed value: the normal quantile used for every 95% interval.
@@ -236,10 +237,9 @@ def contrast_by_type(
         count_where(F.lit(True), weight).alias("n"),
         count_where(F.col(outcome), weight).alias("k"),
     )
-    everything = Window.partitionBy(F.lit(0))
 
     def total(of: str, name: str) -> Column:
-        return F.sum(F.when(F.col("arm") == name, F.col(of)).otherwise(0)).over(everything)
+        return F.coalesce(F.sum(F.when(F.col("arm") == name, F.col(of))), F.lit(0))
 
     against = F.array(
         *[
@@ -252,7 +252,7 @@ def contrast_by_type(
         ]
     )
     return with_gap(
-        cells.withColumn("against", against)
+        with_scalars(cells, cells.agg(against.alias("against")))
         .filter((F.col("arm") == treated) & (F.col("n") >= min_n) & F.col("kind").isNotNull())
         .select(
             F.col("kind").alias(kind),

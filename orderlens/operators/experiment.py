@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.columns import outcome_bool, safe_ratio
-from orderlens.functions.tails import chi2_p, student_p
+from orderlens.functions.tails import chi2_critical, chi2_p, student_p
 from orderlens.operators.effects import rate_gap
 from orderlens.operators.joins import left_join_sparse
 from orderlens.operators.stats import mde, split_statistics, welch_columns, yates_chi2
@@ -129,7 +129,7 @@ def srm(
         *[v.alias(k) for k, v in parts.items()],
     )
     tested = out.withColumn("p_value", chi2_p(F.col("chi2")))
-    return tested.withColumn("srm_detected", F.col("p_value") < threshold)
+    return tested.withColumn("srm_detected", F.col("chi2") > chi2_critical(threshold))
 
 
 def selection_evidence(wide: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -8,17 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def left_join_sparse(
-    left: DataFrame, right: DataFrame, key: str, spread: int = 1024
-) -> DataFrame:
+def left_join_sparse(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Left join on a key that is NULL for a large share of the left rows.
 
     NULL never matches, yet a shuffled join sends every such row to one task.
-    Those rows get a second key part drawn from their own content, which spreads
-    them over ``spread`` groups; known keys get the same constant on both sides.
+    Those rows get the hash of their whole content as a second key part, so there are
+    as many groups as different rows; known keys get the same constant on both sides.
     """
     same = F.pmod(F.xxhash64(key), F.lit(1))
-    own = F.pmod(F.xxhash64(*left.columns), F.lit(spread))
+    own = F.xxhash64(*left.columns)
     spread_left = left.withColumn("_part", F.when(F.col(key).isNull(), own).otherwise(same))
     return spread_left.join(right.withColumn("_part", same), [key, "_part"], "left").select(
         *left.columns, *[c for c in right.columns if c != key]

@@ -14,10 +14,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.session import keep
-
-# Up to this many groups, their bucket edges are broadcast.
-BROADCAST_GROUPS = 100_000
 
 
 def frequencies(
@@ -68,12 +64,8 @@ def quantile_bucket(
         return df.withColumn("_inner", edges.select(inner).scalar()).withColumn(
             out, bucket(F.col("_inner"))
         ).drop("_inner")
-    # One row per group, kept so that its size is known before the join: a shuffle
-    # of all rows by a handful of groups would be the slowest way to attach them.
-    bounds = keep(edges.select(*by, inner))
-    if bounds.count() <= BROADCAST_GROUPS:
-        bounds = F.broadcast(bounds)
-    joined = df.join(bounds, list(by), "left")
+    # No hint: at run time the planner knows the size of the aggregated side.
+    joined = df.join(edges.select(*by, inner), list(by), "left")
     return joined.withColumn(out, bucket(F.col("_inner"))).drop("_inner")
 
 

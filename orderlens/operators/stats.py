@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.functions.columns import safe_ratio
-from orderlens.functions.tails import chi2_p, student_p
+from orderlens.functions.tails import chi2_critical, chi2_p, student_p
 
 
 def split_statistics(n_a: Column, n_b: Column, expected: float) -> dict[str, Column]:
@@ -47,7 +47,7 @@ def srm_from_counts(
     """The same test on rows that already hold n_control and n_treatment."""
     parts = split_statistics(F.col("n_control"), F.col("n_treatment"), expected)
     tested = counts.withColumns(parts).withColumn("p_value", chi2_p(F.col("chi2")))
-    return tested.withColumn("srm_detected", F.col("p_value") < threshold)
+    return tested.withColumn("srm_detected", F.col("chi2") > chi2_critical(threshold))
 
 
 def crosstab2(df: DataFrame, arm: str, outcome: str, by: Sequence[str] = ()) -> DataFrame:

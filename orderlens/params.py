@@ -21,8 +21,9 @@ class Params:
     srm_threshold: float = 0.001
     min_cell: int = 100
     unmapped_label: str = "Unmapped"
-    calendar_start: str = "2026-01-01"
-    calendar_end: str = "2026-04-01"
+    # Without them the calendar spans the order dates of the data; the end is left out.
+    calendar_start: str | None = None
+    calendar_end: str | None = None
     high_intent_categories: tuple[str, ...] = (
         "Dairy & Eggs",
         "Fresh Produce",

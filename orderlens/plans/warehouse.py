@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import replace
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orderlens.operators import staging
 from orderlens.operators.outliers import customer_activity, detect_test_accounts
@@ -140,8 +142,12 @@ class Warehouse:
         return marts.dim_customer(self["stg_customers"], self["int_test_accounts"])
 
     def _dim_date(self) -> DataFrame:
-        p = self.params
-        return marts.calendar(self.spark, p.calendar_start, p.calendar_end)
+        p, orders = self.params, self["stg_orders"]
+        first, last = orders.agg(F.min("order_date_gst"), F.max("order_date_gst")).first()
+        if first is None and not (p.calendar_start and p.calendar_end):
+            return marts.calendar(self.spark, "1970-01-01", "1970-01-02").limit(0)
+        start = p.calendar_start or str(first)
+        return marts.calendar(self.spark, start, p.calendar_end or str(last + timedelta(days=1)))
 
     def _fct_order_items(self) -> DataFrame:
         return marts.fct_order_items(

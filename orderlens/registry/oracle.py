@@ -453,6 +453,14 @@ def _store_metrics(source: str) -> str:
 
 
 _SEQUENCE = "SELECT * FROM order_sequence"
+_CALENDAR = """SELECT d AS date_gst, year(d) AS year, month(d) AS month, day(d)
+        AS day_of_month, dayofweek(d) AS day_of_week, dayname(d) AS day_name,
+        CAST(date_trunc('week', d) AS DATE) AS week_start,
+        CAST(date_trunc('month', d) AS DATE) AS month_start,
+        dayname(d) IN ('Saturday', 'Sunday') AS is_weekend,
+        day(d) >= 25 OR day(d) <= 2 AS is_payday_window
+      FROM (SELECT CAST(unnest(generate_series(min(order_date_gst), max(order_date_gst),
+              INTERVAL 1 DAY)) AS DATE) AS d FROM stg_orders)"""
 _TRUE_TENURE = ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in TRUE_EFFECTS.items())
 _TRUE_SWAP = ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in TRUE_REPAIR.items())
 _NEAR = f"""SELECT tenure, effect_pp, ci_lo, ci_hi, true_pp,
@@ -505,6 +513,11 @@ _BODIES = {
       WHERE NOT is_late_arriving OR m > (SELECT CAST(date_trunc('month', max(order_date_gst))
         AS DATE) FROM fct_orders) - {LOOKBACK_DAYS}
       GROUP BY m""",
+    "lookback_lost_day": """SELECT m AS order_month, count(*) AS orders
+      FROM (SELECT CAST(date_trunc('month', order_date_gst) AS DATE) AS m FROM fct_orders)
+      WHERE m <> (SELECT CAST(date_trunc('month', max(order_date_gst)) AS DATE)
+        FROM fct_orders) - INTERVAL 1 MONTH
+      GROUP BY m""",
     "metric_table": f"""
       WITH b AS (SELECT {_BAND} AS band, {_FILL} FROM clean_orders GROUP BY band),
       t AS (SELECT coalesce(tenure, 'all') AS band, n, effect_pp, ci_lo, ci_hi
@@ -540,14 +553,8 @@ _BODIES = {
       FROM dim_product""",
     "dim_darkstore": "SELECT * FROM dim_darkstore",
     "dim_customer": "SELECT * FROM dim_customer",
-    "calendar": """SELECT d AS date_gst, year(d) AS year, month(d) AS month, day(d)
-        AS day_of_month, dayofweek(d) AS day_of_week, dayname(d) AS day_name,
-        CAST(date_trunc('week', d) AS DATE) AS week_start,
-        CAST(date_trunc('month', d) AS DATE) AS month_start,
-        dayname(d) IN ('Saturday', 'Sunday') AS is_weekend,
-        day(d) >= 25 OR day(d) <= 2 AS is_payday_window
-      FROM (SELECT CAST(unnest(generate_series(min(order_date_gst), max(order_date_gst),
-              INTERVAL 1 DAY)) AS DATE) AS d FROM stg_orders)""",
+    "calendar": _CALENDAR,
+    "dim_date": _CALENDAR,
     "scd2_products": """SELECT product_id, category, moment AS valid_from,
         round(base_price_aed, 8) AS base_price_aed,
         lead(moment) OVER (PARTITION BY product_id ORDER BY moment) AS valid_to,

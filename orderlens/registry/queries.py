@@ -161,6 +161,21 @@ def lookback_overwrite(c: Context) -> DataFrame:
     )
 
 
+@query
+def lookback_lost_day(c: Context) -> DataFrame:
+    """The newest months again, one of which has lost all its rows meanwhile."""
+    path = c.fresh("lookback_lost")
+    orders = c.stored["fct_orders"].select(
+        F.trunc("order_date_gst", "month").alias("order_month"), "order_id"
+    )
+    newest = orders.agg(F.max("order_month")).scalar()
+    tables.write_fact(orders, path, "order_month")
+    kept = orders.filter(F.col("order_month") != F.add_months(newest, -1))
+    tables.overwrite_lookback(kept, path, "order_month", LOOKBACK_DAYS)
+    stored = tables.read_mart(c.spark, *path.rsplit("/", 1))
+    return stored.groupBy("order_month").agg(F.count(F.lit(1)).alias("orders"))
+
+
 @query
 def metric_table(c: Context) -> DataFrame:
     names = ("order_fill", "item_fill_macro", "item_fill_micro", "mean_basket")
@@ -251,6 +266,11 @@ def calendar(c: Context) -> DataFrame:
     return _order_calendar(c)
 
 
+@query
+def dim_date(c: Context) -> DataFrame:
+    return c.stored["dim_date"]
+
+
 @query
 def scd2_products(c: Context) -> DataFrame:
     changes = c.sources.product_changes()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings the operators are written for. A join whose key is hot is
@@ -25,21 +23,13 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder for written tables: ``spark.checkpoint.dir``.
-
-    Only a local-mode session without the setting gets a temporary folder; on a
-    cluster a machine-local path would not be visible to the other machines.
-    """
+    """The shared folder for written tables: ``spark.checkpoint.dir``, always set outside."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         shared = spark.sparkContext.getCheckpointDir()
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not shared:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    shared = tempfile.mkdtemp(prefix="orderlens-")
-    spark.sparkContext.setCheckpointDir(shared)
-    return shared
+    return shared.rstrip("/")
 
 
 def keep(df: DataFrame) -> DataFrame:

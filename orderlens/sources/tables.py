@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,13 +50,26 @@ def write_fact(
 def overwrite_lookback(
     df: DataFrame, path: str, date_col: str, days: int = 2, cluster_by: Sequence[str] = ()
 ) -> None:
-    """Replace only the partitions of the last ``days`` dates of ``df``.
+    """Replace the partitions after the cut: ``days`` before the newest date of ``df``.
 
-    Late rows land in recent dates; older partitions are neither read nor written.
+    Late rows land in recent dates; older partitions are neither read nor written. A
+    recent date that has no row any more, or lies after the newest one, is removed.
     """
-    newest = df.agg(F.max(date_col).alias("newest")).scalar()
-    recent = df.filter(F.col(date_col) > F.date_sub(newest, days))
+    newest = df.agg(F.max(date_col)).first()[0]
+    if newest is None:
+        return
+    cut = newest - timedelta(days=days)
+    recent = df.filter(F.col(date_col) > F.lit(cut))
     write_fact(recent, path, date_col, cluster_by, whole_table=False)
+    written = {str(r[0]) for r in recent.select(date_col).distinct().collect()}
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for entry in files.listStatus(folder):
+        name = entry.getPath().getName().removeprefix(f"{date_col}=")
+        stale = re.fullmatch(r"\d{4}-\d\d-\d\d", name) and name > str(cut)
+        if stale and name not in written:
+            files.delete(entry.getPath(), True)
 
 
 def write_metrics(df: DataFrame, path: str, fmt: str = "json") -> None:

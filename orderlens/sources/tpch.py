@@ -16,8 +16,6 @@ from orderlens.params import Params
 # Parameters under which this data exercises every rule (see FIXTURES.md).
 TPCH_PARAMS = Params(
     retention_window_days=90,
-    calendar_start="1995-01-01",
-    calendar_end="2001-09-01",
     mad_k=2.0,
     high_intent_categories=("ECONOMY", "PROMO"),
     min_cell=5,

@@ -185,3 +185,42 @@ def test_zero_conversions_in_one_arm(spark):
     rows = [("control", True, 3, True, True)] * 5 + [("treatment", False, None, None, None)] * 5
     got = X.conversion_effect(arms(spark, rows)).first()
     assert got.relative_loss == -1.0 and got.rate_treated == 0.0
+
+
+def test_student_tail_over_all_degrees_of_freedom(monkeypatch):
+    from orderlens.functions import tails
+
+    for t in (0.01, 1.0, 4.0, 40.0):
+        one = 2 / math.pi * math.atan2(1, t)
+        assert tails.student_two_sided(t, 1) == pytest.approx(one, rel=1e-9)
+        two = 2 / (2 + t * t + t * math.sqrt(2 + t * t))
+        assert tails.student_two_sided(t, 2) == pytest.approx(two, rel=1e-9)
+    # Both ways agree where they meet.
+    for df in (3e4, 1e5, 1e6):
+        for t in (0.1, 1.0, 3.0, 10.0, 30.0):
+            through_normal, through_beta = [], []
+            monkeypatch.setattr(tails, "NORMAL_FROM", 0)
+            through_normal = tails.student_two_sided(t, df)
+            monkeypatch.setattr(tails, "NORMAL_FROM", 1e300)
+            through_beta = tails.student_two_sided(t, df)
+            monkeypatch.undo()
+            assert through_normal == pytest.approx(through_beta, rel=1e-9)
+    for df in (1e8, 1e10, 1e12, 1e15):
+        for t in (0.5, 1.0, 5.0):
+            density = math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+            want = tails.normal_two_sided(t) + density * (t**3 + t) / (2 * df)
+            assert tails.student_two_sided(t, df) == pytest.approx(want, rel=1e-9)
+
+
+def test_tail_that_does_not_converge_is_refused(monkeypatch):
+    from orderlens.functions import tails
+
+    monkeypatch.setattr(tails, "STEPS", 3)
+    with pytest.raises(ArithmeticError):
+        tails.student_two_sided(3.0, 5000.0)
+
+
+def test_critical_value():
+    from orderlens.functions import tails
+
+    assert tails.chi2_critical(0.001) == pytest.approx(10.827566170662733, rel=1e-12)

@@ -150,6 +150,17 @@ def test_lookback_replaces_recent_days_only(spark, tmp_path):
     assert spark.read.parquet(path).count() == 1
 
 
+def test_lookback_removes_a_recent_day_without_rows(spark, tmp_path):
+    path = str(tmp_path / "fact")
+    tables.write_fact(days(spark, [(D(2026, 1, d), d) for d in (1, 2, 3, 4)]), path, "day")
+    again = days(spark, [(D(2026, 1, 1), 9), (D(2026, 1, 3), 9)])
+    tables.overwrite_lookback(again, path, "day", 2)
+    got = sorted((r.day.day, r.id) for r in spark.read.parquet(path).collect())
+    assert got == [(1, 1), (3, 9)]
+    tables.overwrite_lookback(again.limit(0), path, "day", 2)
+    assert spark.read.parquet(path).count() == 2
+
+
 def test_date_filter_reads_one_partition(spark, tmp_path):
     path = str(tmp_path / "fact")
     tables.write_fact(days(spark, [(D(2026, 1, d), d) for d in range(1, 9)]), path, "day")

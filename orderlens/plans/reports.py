@@ -84,11 +84,12 @@ def stockout_report(cells: DataFrame) -> DataFrame:
         "stockout_share": "treated_share",
         "stockout_repeat": "rate_treated",
         "clean_repeat": "rate_control",
+        "population_at_risk": "n_treated",
     }
     tenure = F.coalesce("tenure", F.lit("all"))
     moved = {n: n for n in ("stratified_pp", "naive_pp", "shift_pp")}
     slope = {n: n for n in ("mean_size", "exposure_rate", "baseline_rate")}
-    pp = {"effect_pp": "effect_pp"}
+    pp = {"effect_pp": "effect_pp", "n_high_intent": "n_treated", "n_other": "n_control"}
     return stack(
         metric_rows(groups, "stockout", shown, tenure, "ci_lo", "ci_hi", "n"),
         metric_rows(adjusted, "stockout_by_basket", moved),
@@ -106,9 +107,11 @@ def substitution_report(cells: DataFrame, p: Params) -> DataFrame:
     stable = ranked.withColumn("s", F.col("is_stable").cast("int"))
     label = F.concat_ws(":", "proxy", "substitution_type")
     spread = {n: n for n in ("spread_pp", "best_pp", "worst_pp")}
-    pp = {"effect_pp": "effect_pp"}
+    pp = {"effect_pp": "effect_pp", "n_control": "n_control", "repeat_rate": "rate_treated"}
+    pair = F.concat_ws(":", "control", "substitution_type")
     return stack(
         metric_rows(proxies, "proxy", pp, label, "ci_lo", "ci_hi", "n_treated"),
+        metric_rows(typed, "swap_contrast", pp, pair, "ci_lo", "ci_hi", "n_treated"),
         metric_rows(E.proxy_spread(proxies), "proxy_spread", spread),
         metric_rows(stable, "ranking", {"is_stable": "s"}, F.concat_ws("=", "control", "ranking")),
     )
@@ -122,12 +125,17 @@ def experiment_report(frame: DataFrame, p: Params) -> DataFrame:
         "effect_pp": "effect_pp",
         "control": "rate_control",
         "treatment": "rate_treated",
+        "n_control": "n_control",
+        "n_treatment": "n_treatment",
         "p_value": "p_value",
     }
     split = {
         "chi2": "chi2",
         "p_value": "p_value",
         "control_share": "observed_share",
+        "expected_share": "expected_share",
+        "n_control": "n_control",
+        "n_treatment": "n_treatment",
         "detected": "d",
     }
     moved = {n: n for n in ("welch_t", "df", "p_value", "mean_control", "mean_treatment")}

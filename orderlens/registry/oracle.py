@@ -831,6 +831,14 @@ _BODIES = {
     "scorecard": f"""WITH s AS (
         SELECT 'effects_near_truth' AS "check", bool_and(within_tolerance) AS passed
         FROM ({_NEAR})
+        UNION ALL SELECT 'tenure_order', bool_and(a = b) FROM (SELECT
+          row_number() OVER (ORDER BY effect_pp DESC) AS a,
+          row_number() OVER (ORDER BY true_pp DESC) AS b FROM ({_NEAR}))
+        UNION ALL SELECT 'swap_order', bool_and(a = b) FROM (SELECT
+          row_number() OVER (ORDER BY pp DESC) AS a,
+          row_number() OVER (ORDER BY repair DESC) AS b
+          FROM swap_effects JOIN (VALUES {_TRUE_SWAP}) t(substitution_type, repair)
+            USING (substitution_type) WHERE control = 'B_vs_not_offered')
         UNION ALL SELECT 'ranking_stable', count(DISTINCT ranking) = 1 AND count(*) > 1
         FROM rankings
         UNION ALL SELECT 'zero_covered', 0 BETWEEN ci_lo AND ci_hi FROM ({_EXPOSED_GAP})
@@ -847,6 +855,86 @@ _BODIES = {
 
 
 
+def _long(
+    section: str,
+    body: str,
+    shown: dict[str, str],
+    by: str = "'all'",
+    n: str = "NULL",
+    interval: bool = False,
+) -> str:
+    """One row per metric of a read-out that another twin states; see the metric table."""
+    rows = []
+    for i, (metric, column) in enumerate(shown.items()):
+        lo, hi = ("ci_lo", "ci_hi") if interval and not i else ("NULL", "NULL")
+        rows.append(
+            f"""SELECT {section} AS section, {metric} AS metric, CAST({by} AS VARCHAR) AS group_by,
+              round(CAST({column} AS DOUBLE), 4) AS value, round(CAST({lo} AS DOUBLE), 4) AS ci_lo,
+              round(CAST({hi} AS DOUBLE), 4) AS ci_hi, CAST({n} AS BIGINT) AS n FROM ({body})"""
+        )
+    return " UNION ALL ".join(rows)
+
+
+def _shown(*names: str, **renamed: str) -> dict[str, str]:
+    return {f"'{n}'": n for n in names} | {f"'{k}'": v for k, v in renamed.items()}
+
+
+def _experiment_twin(b: dict[str, str]) -> str:
+    gap = _shown("effect_pp", "n_control", "n_treatment", control="rate_control",
+                 treatment="rate_treated")
+    split = _shown("chi2", "n_control", "n_treatment", "expected_share",
+                   control_share="observed_share", detected="CAST(srm_detected AS INT)")
+    readouts = [
+        _long(f"'readout_{who}'", b[name], gap, interval=True)
+        for who, name in (("assigned", "itt_readout"), ("exposed", "exposed_readout"))
+    ]
+    return " UNION ALL ".join([
+        _long("'power'", b["mde"], _shown("mde_pp", "n_per_arm", "baseline_rate"), n="n_per_arm"),
+        _long("'conversion'", b["conversion_effect"], gap | _shown("relative_loss"),
+              interval=True),
+        _long("'selection'", b["welch_t_stat"],
+              _shown("welch_t", "df", "mean_control", "mean_treatment")),
+        _long("'srm_' || stage", b["srm_counts_chi2"], split),
+        *readouts,
+    ])
+
+
+def _analysis_twin(b: dict[str, str]) -> str:
+    rates = ("orders", "mean_basket", "item_fill_macro", "item_fill_micro", "order_fill")
+    stockout = _shown("effect_pp", stockout_share="treated_share", stockout_repeat="rate_treated",
+                      clean_repeat="rate_control", population_at_risk="n_treated")
+    swaps = _shown("effect_pp", "n_control", repeat_rate="rate_treated")
+    effects = f"({b['effect_by_tenure']})"
+    pooled = f"SELECT 'all' AS tenure, * FROM ({b['effect_pooled']})"
+    groups = f"SELECT * FROM {effects} WHERE tenure IS NOT NULL UNION ALL {pooled}"
+    return " UNION ALL ".join([
+        _long("'grain'", b["grain_summary"], _shown(*rates, "items", "item_miss_rate", "gap_pp"),
+              n="orders"),
+        _long("'grain_by_band'", b["grain_by_band"], _shown(*rates), "basket_band", "orders"),
+        _long("'grain'", b["spearman_rho"], {"rate || '_vs_basket_rho'": "rho"}),
+        _long("'stockout'", groups, stockout, "tenure", "n", True),
+        _long("'stockout_by_basket'", b["stratified_effect"],
+              _shown("stratified_pp", "naive_pp", "shift_pp")),
+        _long("'exposure_gradient'", b["exposure_gradient"],
+              _shown("mean_size", "exposure_rate", "baseline_rate"), "basket_q + 1", "n"),
+        _long("'high_intent'", b["high_intent_effect"],
+              _shown("effect_pp", n_high_intent="n_treated", n_other="n_control"), n="n",
+              interval=True),
+        _long("'proxy'", b["proxy_contrasts"], swaps,
+              "concat_ws(':', proxy, substitution_type)", "n_treated", True),
+        _long("'swap_contrast'", b["contrast_by_type"], swaps,
+              "concat_ws(':', control, substitution_type)", "n_treated", True),
+        _long("'proxy_spread'", b["proxy_spread"], _shown("spread_pp", "best_pp", "worst_pp")),
+        _long("'ranking'", b["ranking_stability"], _shown(is_stable="CAST(is_stable AS INT)"),
+              "concat_ws('=', control, ranking)"),
+        _experiment_twin(b),
+    ])
+
+
+_BODIES["experiment_report"] = _experiment_twin(_BODIES)
+_BODIES["analysis_report"] = _analysis_twin(_BODIES)
+
+
 def _statement(body: str) -> str:
     """Shared names first; a body with names of its own continues the list."""
     text = body.strip()

@@ -45,8 +45,7 @@ def test_registry_and_twins_name_the_same_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     queries, twins = set(callables()), set(TWINS)
     assert twins <= queries
-    # Only tail probabilities have no SQL form.
-    assert queries - twins == {"analysis_report", "experiment_report"}
+    assert queries == twins
 
 
 @pytest.mark.parametrize("name", sorted(TWINS))
@@ -63,12 +62,21 @@ def test_query_equals_its_sql_twin(spark, duck, name):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("name", ["analysis_report", "experiment_report"])
-def test_reports_have_values_and_probabilities(spark, name):
-    found = {(r.section, r.metric, r.by): r.value for r in
-             entry.queries()[name](spark, FOLDER).collect()}
-    tails = [v for (_, metric, _), v in found.items() if metric.endswith("p_value")]
-    assert tails and all(0 <= p <= 1 for p in tails)
+def test_reports_hold_the_probabilities_of_their_statistics(spark):
+    """What the twins leave out: each p-value is the tail of the statistic beside it."""
+    from orderlens.functions import tails
+    from orderlens.plans import reports
+    from orderlens.registry.queries import P, context
+
+    c = context(spark, FOLDER)
+    found = {(r.section, r.metric): r.value for r in reports.experiment_report(c.frame, P).collect()}
+    for section in ("srm_assigned", "srm_checkout"):
+        want = tails.chi2_tail(found[section, "chi2"])
+        assert found[section, "p_value"] == pytest.approx(want, rel=1e-9)
+    t, df = found["selection", "welch_t"], found["selection", "df"]
+    assert found["selection", "p_value"] == pytest.approx(tails.student_two_sided(t, df), rel=1e-9)
+    shown = [v for (_, metric), v in found.items() if metric.endswith("p_value")]
+    assert len(shown) == 6 and all(0 <= p <= 1 for p in shown)
 
 
 def test_entry_runs(spark):

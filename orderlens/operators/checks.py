@@ -16,14 +16,26 @@ from orderlens.functions.columns import safe_ratio
 from orderlens.operators.scd2 import check_no_overlap
 
 
+def null_in(cols: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
+
+
+def outside(col: str, values: Sequence[str]) -> Column:
+    """A value that is not in the list; NULL is not a value."""
+    return ~F.col(col).isin(*values)
+
+
+def beyond(col: str, lo: float, hi: float) -> Column:
+    return (F.col(col) < lo) | (F.col(col) > hi)
+
+
 def check_unique(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     counts = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
     return counts.filter(F.col("n") > 1)
 
 
 def check_not_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    missing = [F.col(c).isNull() for c in cols]
-    return df.filter(reduce(lambda a, b: a | b, missing))
+    return df.filter(null_in(cols))
 
 
 def check_accepted(
@@ -31,7 +43,7 @@ def check_accepted(
 ) -> DataFrame:
     """Values outside a list; NULL is not a value."""
     scope = df if where is None else df.filter(where)
-    return scope.filter(~F.col(col).isin(*values))
+    return scope.filter(outside(col, values))
 
 
 def check_relationship(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
@@ -41,7 +53,7 @@ def check_relationship(child: DataFrame, fk: str, parent: DataFrame, pk: str) ->
 
 
 def check_range(df: DataFrame, col: str, lo: float, hi: float) -> DataFrame:
-    return df.filter((F.col(col) < lo) | (F.col(col) > hi))
+    return df.filter(beyond(col, lo, hi))
 
 
 def check_any(df: DataFrame, col: str) -> DataFrame:
@@ -70,7 +82,7 @@ def check_not_censored(
 
 def check_version_found(df: DataFrame, key: str) -> DataFrame:
     """Fact rows for which no dimension version was live."""
-    return df.filter(F.col(key).isNull())
+    return df.filter(null_in([key]))
 
 
 def _result(check: str, table: str, column: str, violations: DataFrame) -> DataFrame:
@@ -111,14 +123,11 @@ def _row_checks() -> dict[str, list[tuple[str, str, Column]]]:
     """table -> (check, column, violating condition), for checks of single rows."""
     rows: dict[str, list[tuple[str, str, Column]]] = {}
     for table, column in NOT_NULL:
-        rows.setdefault(table, []).append(("not_null", column, F.col(column).isNull()))
+        rows.setdefault(table, []).append(("not_null", column, null_in([column])))
     for table, column, values in ACCEPTED:
-        rows[table].append(("accepted_values", column, ~F.col(column).isin(*values)))
-    rate = F.col("item_fill_rate")
-    rows["fct_orders"].append(("range", "item_fill_rate", (rate < 0) | (rate > 1)))
-    rows["fct_order_items"].append(
-        ("version_found", "product_key", F.col("product_key").isNull())
-    )
+        rows[table].append(("accepted_values", column, outside(column, values)))
+    rows["fct_orders"].append(("range", "item_fill_rate", beyond("item_fill_rate", 0, 1)))
+    rows["fct_order_items"].append(("version_found", "product_key", null_in(["product_key"])))
     return rows
 
 

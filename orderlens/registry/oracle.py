@@ -401,44 +401,95 @@ def _check(check: str, table: str, column: str, violations: str) -> str:
     )
 
 
-def _quality() -> str:
-    from orderlens.operators.checks import ACCEPTED, NOT_NULL, UNIQUE
+# The declared checks, stated here once more so that a lost one shows.
+_UNIQUE = (
+    ("fct_orders", "order_id"),
+    ("dim_product", "product_key"),
+    ("dim_darkstore", "darkstore_key"),
+    ("dim_customer", "customer_key"),
+    ("fct_customer_orders", "order_id"),
+    ("fct_sessions", "session_id"),
+)
+_PRESENT = (
+    *_UNIQUE,
+    ("fct_orders", "customer_id"),
+    ("fct_orders", "darkstore_key"),
+    ("fct_orders", "n_items"),
+    ("fct_order_items", "product_key"),
+    ("fct_order_items", "category"),
+)
 
+
+def _quality(of: str = "") -> str:
+    """All checks over the tables whose names start with ``of``."""
     parts = [
-        _check("unique", t, c, f"SELECT {c} FROM {t} GROUP BY {c} HAVING count(*) > 1")
-        for t, c in UNIQUE
-    ]
-    parts += [
-        _check("not_null", t, c, f"SELECT 1 FROM {t} WHERE {c} IS NULL") for t, c in NOT_NULL
+        _check("unique", t, c, f"SELECT {c} FROM {of}{t} GROUP BY {c} HAVING count(*) > 1")
+        for t, c in _UNIQUE
     ]
     parts += [
-        _check("accepted_values", t, c, f"SELECT 1 FROM {t} WHERE {c} NOT IN {values}")
-        for t, c, values in ACCEPTED
+        _check("not_null", t, c, f"SELECT 1 FROM {of}{t} WHERE {c} IS NULL") for t, c in _PRESENT
     ]
     parts += [
+        _check("accepted_values", "fct_customer_orders", "tenure",
+               f"SELECT 1 FROM {of}fct_customer_orders WHERE tenure NOT IN ('new', 'established')"),
+        _check("accepted_values", "fct_sessions", "variant",
+               f"SELECT 1 FROM {of}fct_sessions WHERE variant NOT IN ('control', 'treatment')"),
         _check("relationship", "fct_orders", "customer_id",
-               "SELECT 1 FROM fct_orders WHERE customer_id NOT IN "
-               "(SELECT customer_id FROM dim_customer)"),
+               f"SELECT DISTINCT customer_id FROM {of}fct_orders WHERE customer_id NOT IN "
+               f"(SELECT customer_id FROM {of}dim_customer)"),
         _check("range", "fct_orders", "item_fill_rate",
-               "SELECT 1 FROM fct_orders WHERE item_fill_rate NOT BETWEEN 0 AND 1"),
+               f"SELECT 1 FROM {of}fct_orders WHERE item_fill_rate NOT BETWEEN 0 AND 1"),
         _check("any_flagged", "dim_customer", "is_test_account",
-               "SELECT 1 WHERE NOT EXISTS (FROM dim_customer WHERE is_test_account)"),
+               f"SELECT 1 WHERE NOT EXISTS (FROM {of}dim_customer WHERE is_test_account)"),
         _check("fill_order", "fct_orders", "order_date_gst",
-               "SELECT order_date_gst FROM fct_orders GROUP BY order_date_gst HAVING "
+               f"SELECT order_date_gst FROM {of}fct_orders GROUP BY order_date_gst HAVING "
                "avg(CAST(is_clean_order AS INT)) > avg(item_fill_rate) + 1e-9"),
         _check("not_censored", "fct_customer_orders", "is_observable_30d",
-               "SELECT 1 FROM fct_customer_orders WHERE is_observable_30d AND order_date_gst > "
-               f"(SELECT max(order_date_gst) FROM fct_orders) - {_W}"),
+               f"SELECT 1 FROM {of}fct_customer_orders WHERE is_observable_30d AND "
+               f"order_date_gst > (SELECT max(order_date_gst) FROM {of}fct_orders) - {_W}"),
         _check("no_overlap", "dim_product", "product_id",
-               "SELECT 1 FROM dim_product a JOIN dim_product b ON a.product_id = b.product_id "
-               "AND a.product_key < b.product_key AND a.valid_from < b.valid_to "
-               "AND b.valid_from < a.valid_to"),
+               "SELECT 1 FROM (SELECT valid_from, max(valid_to) OVER (PARTITION BY product_id "
+               "ORDER BY valid_from, valid_to ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) "
+               f"AS covered FROM {of}dim_product WHERE valid_from < valid_to) "
+               "WHERE valid_from < covered"),
         _check("version_found", "fct_order_items", "product_key",
-               "SELECT 1 FROM fct_order_items WHERE product_key IS NULL"),
+               f"SELECT 1 FROM {of}fct_order_items WHERE product_key IS NULL"),
     ]
     return " UNION ALL ".join(parts)
 
 
+def _spoil(table: str, number: str, change: str, repeat: int, key: str, lose: int) -> str:
+    changed = f"SELECT * REPLACE ({change}) FROM {table}" if change else f"SELECT * FROM {table}"
+    return f"""bad_{table} AS ({changed}
+      UNION ALL SELECT * FROM {table} WHERE {number} % {repeat} = 0
+      UNION ALL SELECT * REPLACE (NULL AS {key}) FROM {table} WHERE {number} % {lose} = 0)"""
+
+
+def _broken() -> str:
+    tables = [
+        _spoil("fct_orders", "order_id", """CASE WHEN order_id % 11 = 0 THEN NULL
+            WHEN order_id % 13 = 0 THEN -1 - customer_id % 5 ELSE customer_id END AS customer_id,
+          CASE WHEN order_id % 17 <> 0 THEN darkstore_key END AS darkstore_key,
+          CASE WHEN order_id % 19 <> 0 THEN n_items END AS n_items,
+          CASE WHEN order_id % 23 = 0 THEN 2.0 ELSE item_fill_rate END AS item_fill_rate,
+          is_clean_order OR day(order_date_gst) = 3 AS is_clean_order""", 7, "order_id", 29),
+        _spoil("fct_customer_orders", "order_id", """CASE WHEN order_id % 3 = 0 THEN 'old'
+            ELSE tenure END AS tenure, true AS is_observable_30d""", 7, "order_id", 29),
+        _spoil("fct_sessions", "session_id", """CASE WHEN session_id % 3 = 0 THEN 'x'
+            ELSE variant END AS variant""", 7, "session_id", 29),
+        _spoil("dim_product", "product_id", "", 5, "product_key", 31),
+        _spoil("dim_darkstore", "darkstore_id", "", 5, "darkstore_key", 7),
+        _spoil("(SELECT * REPLACE (false AS is_test_account) FROM dim_customer)", "customer_id",
+               "", 9, "customer_key", 10).replace(
+            "bad_(SELECT * REPLACE (false AS is_test_account) FROM dim_customer)",
+            "bad_dim_customer"),
+        """bad_fct_order_items AS (SELECT * REPLACE (
+          CASE WHEN order_id % 11 <> 0 THEN product_key END AS product_key,
+          CASE WHEN order_id % 13 <> 0 THEN category END AS category) FROM fct_order_items)""",
+    ]
+    return f"WITH {', '.join(tables)} {_quality('bad_')}"
+
+
 _STORE_FILL = """(SELECT darkstore_id, count(*) AS orders,
     round(avg(CAST(is_clean_order AS INT)), 8) AS order_fill FROM {} GROUP BY darkstore_id)"""
 _UNFLAGGED = """(SELECT * FROM clean_orders WHERE customer_id IN
@@ -813,6 +864,7 @@ _BODIES = {
         {_FILL_GAP} FROM clean_orders GROUP BY store_years""",
     # --- checks and scoring
     "quality_checks": _quality(),
+    "quality_checks_broken": _broken(),
     "within_tolerance": _NEAR,
     "rank_matches": f"""WITH r AS (SELECT substitution_type, round(pp, 8) AS effect_pp, repair,
           CAST(row_number() OVER (ORDER BY pp DESC) AS INT) AS estimated_rank,

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -752,6 +752,54 @@ def quality_checks(c: Context) -> DataFrame:
     return checks.run_checks(c.stored.build(), P.retention_window_days)
 
 
+def _spoiled(
+    df: DataFrame, id_col: str, change: dict[str, Column], repeat: int, key: str, lose: int
+) -> DataFrame:
+    """Changed rows, and unchanged copies of some and others without their key."""
+    number = F.col(id_col)
+    lost = df.filter(number % lose == 0).withColumn(key, F.lit(None).cast(df.schema[key].dataType))
+    return df.withColumns(change).unionByName(df.filter(number % repeat == 0)).unionByName(lost)
+
+
+@query
+def quality_checks_broken(c: Context) -> DataFrame:
+    """The same checks on marts in which every one of them must find something."""
+    w, order = c.stored, F.col("order_id")
+
+    def lose(column: str, every: int) -> Column:
+        return F.when(order % every != 0, F.col(column))
+
+    def strange(column: str, of: str, value: str) -> Column:
+        return F.when(F.col(of) % 3 == 0, F.lit(value)).otherwise(F.col(column))
+
+    unknown = F.when(order % 13 == 0, -1 - F.col("customer_id") % 5).otherwise(F.col("customer_id"))
+    orders = {
+        "customer_id": F.when(order % 11 != 0, unknown),
+        "darkstore_key": lose("darkstore_key", 17),
+        "n_items": lose("n_items", 19),
+        "item_fill_rate": F.when(order % 23 == 0, 2.0).otherwise(F.col("item_fill_rate")),
+        "is_clean_order": F.col("is_clean_order") | (F.dayofmonth("order_date_gst") == 3),
+    }
+    repeats = {
+        "tenure": strange("tenure", "order_id", "old"), "is_observable_30d": F.lit(True)}
+    lines = {"product_key": lose("product_key", 11), "category": lose("category", 13)}
+    broken = {
+        "fct_orders": _spoiled(w["fct_orders"], "order_id", orders, 7, "order_id", 29),
+        "fct_customer_orders": _spoiled(
+            w["fct_customer_orders"], "order_id", repeats, 7, "order_id", 29),
+        "fct_sessions": _spoiled(
+            w["fct_sessions"], "session_id",
+            {"variant": strange("variant", "session_id", "x")}, 7, "session_id", 29),
+        "dim_product": _spoiled(w["dim_product"], "product_id", {}, 5, "product_key", 31),
+        "dim_darkstore": _spoiled(w["dim_darkstore"], "darkstore_id", {}, 5, "darkstore_key", 7),
+        "dim_customer": _spoiled(
+            w["dim_customer"], "customer_id", {"is_test_account": F.lit(False)}, 9,
+            "customer_key", 10).withColumn("is_test_account", F.lit(False)),
+        "fct_order_items": w["fct_order_items"].withColumns(lines),
+    }
+    return checks.run_checks(broken, P.retention_window_days)
+
+
 def _tenure_truth(c: Context) -> DataFrame:
     return c.spark.createDataFrame(list(TRUE_EFFECTS.items()), "tenure string, true_pp double")
 

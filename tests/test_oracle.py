@@ -97,3 +97,8 @@ def test_fixture_regression_values(spark):
     assert c.clean_orders.count() == 1438
     arms = c.arms.first()
     assert (arms.c_n_assigned, arms.t_n_assigned, arms.t_n_converted) <= (738, 735, 655)
+
+
+def test_every_check_finds_something_on_broken_rows(spark):
+    rows = callables()["quality_checks_broken"](spark, FOLDER).collect()
+    assert len(rows) == 26 and not [r.check for r in rows if r.passed]

@@ -208,7 +208,8 @@ def fct_customer_orders(
         "store_age_days_at_order",
     )
     who = customers.select("customer_id", "segment", "is_test_account")
-    joined = placed.join(facts, "order_id").join(who, "customer_id", "left")
+    # The customer first: the rows still lie by customer from the window before.
+    joined = placed.join(who, "customer_id", "left").join(facts, "order_id")
     labelled = with_outcome(joined, staged, p.retention_window_days).withColumn(
         "tenure", tenure(F.col("prior_order_count"), p.tenure_new_max_prior_orders)
     )

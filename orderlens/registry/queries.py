@@ -45,11 +45,11 @@ TRUE_REPAIR = {
 class Context:
     """The tables of one folder: lazy, and as a stored warehouse."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, state: str):
         self.spark = spark
         self.sources = TpchSources(spark, folder)
         app = spark.sparkContext.applicationId
-        self.root = f"{work_dir(spark)}/orderlens/{app}/{hashlib.md5(folder.encode()).hexdigest()}"
+        self.root = f"{work_dir(spark)}/orderlens/{app}/{state}"
 
     def fresh(self, name: str) -> str:
         """A new folder per call: an earlier result may not have been read yet."""
@@ -866,11 +866,23 @@ def metrics_drift(c: Context) -> DataFrame:
 _contexts: dict[tuple[str, str], Context] = {}
 
 
+def folder_state(spark: SparkSession, folder: str) -> str:
+    """A digest of the names, sizes and times of all files below a folder."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+    seen = []
+    while files.hasNext():
+        f = files.next()
+        seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.md5("\n".join(sorted(seen)).encode()).hexdigest()
+
+
 def context(spark: SparkSession, folder: str) -> Context:
-    """One context per application and folder, so stored tables are shared."""
-    key = (spark.sparkContext.applicationId, folder)
+    """One context per application and state of a folder, so stored tables are shared; a
+    folder whose files have changed gets new ones."""
+    key = (spark.sparkContext.applicationId, folder_state(spark, folder))
     if key not in _contexts:
-        _contexts[key] = Context(configure(spark), folder)
+        _contexts[key] = Context(configure(spark), folder, key[1])
     return _contexts[key]
 
 

@@ -102,3 +102,13 @@ def test_fixture_regression_values(spark):
 def test_every_check_finds_something_on_broken_rows(spark):
     rows = callables()["quality_checks_broken"](spark, FOLDER).collect()
     assert len(rows) == 26 and not [r.check for r in rows if r.passed]
+
+
+def test_changed_files_get_a_new_context(spark, tmp_path):
+    from orderlens.registry.queries import context
+
+    spark.range(3).write.parquet(str(tmp_path / "a.parquet"))
+    first = context(spark, str(tmp_path))
+    assert context(spark, str(tmp_path)) is first
+    spark.range(4).write.mode("overwrite").parquet(str(tmp_path / "a.parquet"))
+    assert context(spark, str(tmp_path)) is not first

@@ -330,3 +330,26 @@ def test_event_log_profiles(spark):
     row = metrics.duplicate_share(df, ["k"]).first()
     assert (row.n_rows, row.n_keys) == (3, 2)
     assert metrics.day_shift_share(df, "t", "Asia/Dubai").first().n_moved == 2
+
+
+def test_customer_orders_move_twice(spark):
+    """From the window by customer to the facts by order, with the customer joined first."""
+    import os
+
+    from orderlens.registry.queries import context
+
+    c = context(spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        from orderlens.plans import marts
+
+        w = c.stored
+        df = marts.fct_customer_orders(
+            w["int_customer_order_sequence"], w["stg_orders"], w["fct_orders"], w["dim_customer"],
+            w.params)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # The sequence by customer and by order, the facts by order, the customers.
+    assert plan.count("Exchange hashpartitioning") == 4

@@ -3,8 +3,8 @@
 A line ends at a line break or at the end of a sentence, so a passage pasted into a
 longer line is seen too. A rolling hash over the hashes of neighbouring lines chooses
 chunk boundaries; they depend on nearby lines only, so chunks of a repeated passage
-fall into step wherever it stands. Chunks of at least MIN_LINES lines and MIN_WORDS
-words are counted over all documents by their bytes, not by their hash. Where a chunk
+fall into step wherever it stands. Chunks of at least MIN_LINES lines and MIN_BYTES
+bytes are counted over all documents by their bytes, not by their hash. Where a chunk
 occurs more than once, its first occurrence in the document with the smallest doc_id
 stays; everywhere else it is removed after its bytes were compared with the kept ones.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -21,39 +22,55 @@ from pyspark.sql import functions as F
 
 from orderlens.llm.common import pieces, stored
 
-CUT = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
+CUT = re.compile(rb"(?<=[.!?])[ \t\r\f\v]+|[ \t\r\f\v]*\n[ \t\r\n\f\v]*")
+SPACE = b" \t\r\n\f\v"
 MASK = (1 << 64) - 1
 DIVISOR = 2  # a boundary after every second line on average, once MIN_LINES are reached
-MIN_LINES, MAX_LINES, MIN_WORDS = 2, 16, 10
+MIN_LINES, MAX_LINES, MIN_BYTES = 2, 16, 50
+
+
+def cuts(data: bytes) -> list[tuple[int, int, int]]:
+    """Chunks as (start, end of content, end with white space); the content end is -1 for a
+    chunk too small to be a repeat. Together they are the data."""
+    out, start, at, before, size = [], 0, 0, 0, 0
+    digest = xxhash.xxh64_intdigest
+    for found in CUT.finditer(data):
+        stop, after = found.span()
+        if stop == at:  # white space before any line
+            continue
+        now = digest(data[at:stop])
+        size += 1
+        if size >= MAX_LINES or (
+            size >= MIN_LINES and not ((before * 0x9E3779B97F4A7C15 + now & MASK) >> 32) % DIVISOR
+        ):
+            counts = size >= MIN_LINES and stop - start >= MIN_BYTES
+            out.append((start, stop if counts else -1, after))
+            start, size = after, 0
+        before, at = now, after
+    if start < len(data):
+        stop = len(data.rstrip(SPACE))
+        size += at < stop
+        counts = size >= MIN_LINES and stop - start >= MIN_BYTES
+        out.append((start, stop if counts else -1, len(data)))
+    return out
 
 
-def lines(text: str) -> list[str]:
-    """The text in lines, each with the white space after it; joined they are the text."""
-    ends = [m.end() for m in CUT.finditer(text)]
-    cuts = [0, *[e for e in ends if e < len(text)], len(text)]
-    return [text[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
+def chunks(text: str) -> list[tuple[str, str | None]]:
+    """(chunk with its white space, its content if it can be a repeat, else None)."""
+    data = text.encode("utf-8", "surrogatepass")
+    return [
+        (data[a:c].decode("utf-8", "surrogatepass"), data[a:b].decode("utf-8", "surrogatepass") if b >= 0 else None)
+        for a, b, c in cuts(data)
+    ]
 
 
-def chunks(text: str) -> list[tuple[str, str | None]]:
-    """(chunk with its white space, its bare content if it can be a repeat, else None)."""
-    out, start, before = [], 0, 0
-    cut = lines(text)
-    for at, line in enumerate(cut):
-        now = xxhash.xxh64_intdigest(line.strip().encode("utf-8", "surrogatepass"))
-        rolling = (before * 0x9E3779B97F4A7C15 + now) & MASK
-        before, size = now, at + 1 - start
-        full = size >= MIN_LINES and (rolling >> 32) % DIVISOR == 0
-        if full or size >= MAX_LINES or at + 1 == len(cut):
-            whole = "".join(cut[start : at + 1])
-            bare = whole.strip()
-            counts = size >= MIN_LINES and len(bare.split()) >= MIN_WORDS
-            out.append((whole, bare if counts else None))
-            start = at + 1
-    return out
+def _digest(content: bytes) -> int:
+    return xxhash.xxh64_intdigest(content) - (1 << 63)
 
 
-def _digest(content: str) -> int:
-    return xxhash.xxh64_intdigest(content.encode("utf-8", "surrogatepass")) - (1 << 63)
+def _bytes(column: pa.Array) -> list[bytes]:
+    """The UTF-8 of a string column, null as empty."""
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
 def _listed(plain: DataFrame, with_content: bool) -> DataFrame:
@@ -61,35 +78,37 @@ def _listed(plain: DataFrame, with_content: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 256):
-            rows = batch.to_pylist()
-            held = [(r["id"], r["print"], c) for r in rows for _, c in chunks(r["text"] or "") if c]
-            ids = pa.array([h[0] for h in held], batch.schema.field("id").type)
+            rows, found = [], []
+            for row, data in enumerate(_bytes(batch.column(2))):
+                own = [data[a:b] for a, b, _ in cuts(data) if b >= 0]
+                own = own if with_content else list({_digest(c) for c in own})
+                rows += [row] * len(own)
+                found += own
+            at = pa.array(rows, pa.int64())
             if with_content:
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([h[2] for h in held], pa.string())], ["id", "content"]
-                )
+                columns = [batch.column(0).take(at), pa.array(found, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "content"])
             else:
-                seen = pa.array([_digest(h[2]) for h in held], pa.int64())
-                prints = pa.array([h[1] for h in held], pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, prints, seen], ["id", "print", "digest"])
+                columns = [batch.column(0).take(at), batch.column(1).take(at)]
+                columns.append(pa.array(found, pa.int64()))
+                yield pa.RecordBatch.from_arrays(columns, ["id", "print", "digest"])
 
     kind = plain.schema["id"].dataType.simpleString()
-    wanted = "content string" if with_content else "print bigint, digest bigint"
+    wanted = "content binary" if with_content else "print bigint, digest bigint"
     return plain.mapInArrow(run, f"id {kind}, {wanted}")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with repeated chunks cut out of ``text``, plus three columns.
+    """The rows of ``docs`` with repeated chunks cut out of ``text``, plus two columns.
 
-    n_chunks counts a text's chunks, n_removed those cut out, removed_chars their
-    characters with the white space after them; columns of ``docs`` with these names
-    are replaced. Every row comes back: a null text stays null, an empty one empty,
+    n_removed counts the chunks cut out, removed_chars their characters with the white
+    space after them; columns of ``docs`` with these names are replaced. Every row comes back: a null text stays null, an empty one empty,
     and a text that only repeats others becomes empty. Rows with one doc_id count as
     one document, so repeated rows come back alike. A null doc_id never keeps a chunk
     that a document with an id also has; chunks that only documents without id share
     stay in all of them.
     """
-    added = ["n_chunks", "n_removed", "removed_chars"]
+    added = ["n_removed", "removed_chars"]
     docs = docs.drop(*added)
     names = docs.columns
     plain = docs.select(
@@ -111,9 +130,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     kind = plain.schema["id"].dataType.simpleString()
     repeated = counted.filter("n > 1").select("content", "keeper")
     repeated = stored(
-        repeated.mapInArrow(digests, f"digest bigint, content string, keeper {kind}"), "repeats"
+        repeated.mapInArrow(digests, f"digest bigint, content binary, keeper {kind}"), "repeats"
     )
-    where = _listed(plain, False).distinct().join(repeated, "digest")
+    where = _listed(plain, False).join(repeated, "digest")
     found = where.groupBy("id", "print").agg(
         F.collect_list(
             F.struct(
@@ -132,25 +151,27 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 256):
             at = batch.schema.get_field_index(text)
-            old, known = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1)
-            new, counts = [], []
-            for body, marks in zip(old, known.to_pylist()):
-                own = {m["content"]: m["own"] for m in marks or ()}
-                kept, cut = [], [0, 0, 0]
-                for piece, bare in chunks("" if body is None else str(body)):
-                    cut[0] += 1
-                    if bare is not None and bare in own:  # compares the bytes
-                        if not own[bare]:
-                            cut[1] += 1
-                            cut[2] += len(piece)
-                            continue
+            known = batch.column(batch.num_columns - 1)
+            new, counts = batch.column(at).to_pylist(), [(0, 0)] * batch.num_rows
+            for row in np.flatnonzero(known.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                own = {m["content"]: m["own"] for m in known[row].as_py()}
+                data = str(new[row]).encode("utf-8", "surrogatepass")
+                kept, removed = [], []
+                for a, b, c in cuts(data):
+                    bare = data[a:b] if b >= 0 else None
+                    if bare is None or bare not in own or own[bare]:  # compares the bytes
+                        kept.append(data[a:c])
+                    else:
+                        removed.append(data[a:c])
+                    if bare in own:
                         own[bare] = False
-                    kept.append(piece)
-                new.append(None if body is None else "".join(kept) if cut[1] else body)
-                counts.append(cut)
+                if removed:
+                    new[row] = b"".join(kept).decode("utf-8", "surrogatepass")
+                    gone = b"".join(removed).decode("utf-8", "surrogatepass")
+                    counts[row] = (len(removed), len(gone))
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             columns[at] = pa.array(new, batch.schema.field(at).type)
-            columns += [pa.array([c[i] for c in counts], pa.int64()) for i in range(3)]
+            columns += [pa.array([c[i] for c in counts], pa.int64()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays(columns, [*names, *added])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -169,7 +190,6 @@ def report(docs: DataFrame) -> DataFrame:
     """(doc_id, counts, digest of the kept text) of every document."""
     return remove_repeats(docs.select("doc_id", "text")).select(
         "doc_id",
-        "n_chunks",
         "n_removed",
         "removed_chars",
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),

@@ -19,13 +19,12 @@ def plain(rows):
                     keeper[c] = min(keeper.get(c, key), key)
     out = []
     for key, text in rows:
-        kept, done, cut = "", set(), [0, 0, 0]
+        kept, done, cut = "", set(), [0, 0]
         for piece, c in linededup.chunks(text or ""):
-            cut[0] += 1
             own = c is not None and (keeper.get(c) == key or c not in keeper) and c not in done
             if c is not None and seen[c] > 1 and not own:
-                cut[1] += 1
-                cut[2] += len(piece)
+                cut[0] += 1
+                cut[1] += len(piece)
             else:
                 kept += piece
             done.add(c)
@@ -68,11 +67,13 @@ def test_a_shifted_passage_is_caught_and_the_rest_stays(frame):
         assert got[i].startswith(own[i][0].split("\n")[0]) and got[i].endswith(own[i][1][-40:])
 
 
-def test_lines_keep_every_character():
+def test_chunks_keep_every_character():
     text = "One. Two!  Three?\n\n Four\nfive 3.14 six. \n"
-    assert "".join(linededup.lines(text)) == text
-    assert "".join(w for w, _ in linededup.chunks(text * 50)) == text * 50
+    for whole in (text, text * 50, "\n\n" + text, "x", " \n ", "é. ü.\n日本。"):
+        assert "".join(w for w, _ in linededup.chunks(whole)) == whole
     assert linededup.chunks("") == []
+    longer = "A line of some words. Another line of more words.\n" * 9
+    assert {c for _, c in linededup.chunks(longer)} != {None}
 
 
 def test_edges_nulls_repeats_and_clashing_columns(frame):

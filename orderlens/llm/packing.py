@@ -16,6 +16,8 @@ per task and source; no text or token is shuffled, however large one source is.
 
 from __future__ import annotations
 
+import base64
+import json
 import os
 import zlib
 from collections import defaultdict
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from orderlens.llm.common import pieces, stored, texts
 
 VOCABULARY = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"  # the same vocabulary as ranks, for a faster encoder
 LENGTH = 1024
 WINDOW = 16 * LENGTH  # tokens over which the mixture holds
 END = 0  # the id after each document
@@ -47,6 +50,30 @@ def load(path: str):
     return tokenizer
 
 
+class Coder:
+    """Ids as the tokenizers library gives them for VOCABULARY, special strings included."""
+
+    def __init__(self, vocabulary: str, ranks: str) -> None:
+        import tiktoken
+
+        with open(ranks, "rb") as file:
+            known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        with open(vocabulary, encoding="utf-8") as file:
+            special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+        self.size = max([*known.values(), *special.values()]) + 1
+        self.vocabulary, self.library = vocabulary, None
+        self.fast = tiktoken.Encoding(
+            "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens=special
+        )
+
+    def ids(self, text: str) -> np.ndarray:
+        try:
+            return self.fast.encode_to_numpy(text, allowed_special="all")
+        except Exception:  # its pattern can run out of stack on endless runs of one class
+            self.library = self.library or load(self.vocabulary)
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 @dataclass(frozen=True)
 class Phase:
     """Windows during which the same queues are served."""
@@ -105,19 +132,20 @@ class Mixture:
                 start = stop
 
 
-def tokenized(docs: DataFrame, vocabulary: str, key: str, text: str, source: str) -> DataFrame:
+def tokenized(
+    docs: DataFrame, vocabulary: str, ranks: str, key: str, text: str, source: str
+) -> DataFrame:
     """(task, source, key, start, ids): the tokens, and where in the task's share of its
     source they start. Written once, so that every reader sees the same order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(vocabulary)
+        coder = Coder(vocabulary, ranks)
         task, count = TaskContext.get().partitionId(), defaultdict(int)
         for batch in pieces(batches, 128):
-            coded = tokenizer.encode_batch_fast(texts(batch.column(1)), add_special_tokens=False)
             names, starts, data = batch.column(2).to_pylist(), [], []
-            for name, code in zip(names, coded):
+            for name, body in zip(names, texts(batch.column(1))):
                 starts.append(count[name])
-                ids = np.array([*code.ids, END], "<u4")
+                ids = np.append(coder.ids(body), np.uint32(END))
                 count[name] += len(ids)
                 data.append(ids.astype("<u2" if wide == 2 else "<u4").tobytes())
             yield pa.RecordBatch.from_arrays(
@@ -132,7 +160,7 @@ def tokenized(docs: DataFrame, vocabulary: str, key: str, text: str, source: str
                 ["task", "source", "key", "start", "ids", "tokens"],
             )
 
-    wide = 2 if load(vocabulary).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+    wide = 2 if Coder(vocabulary, ranks).size <= 1 << 16 else 4
     plain = docs.select(
         F.col(key).alias("key"),
         F.col(text).cast("string").alias("text"),
@@ -149,6 +177,7 @@ def pack(
     length: int = LENGTH,
     window: int = WINDOW,
     vocabulary: str | None = None,
+    ranks: str | None = None,
     key: str = "doc_id",
     text: str = "text",
     source: str = "source",
@@ -163,7 +192,8 @@ def pack(
     The schedule has one number per source and is meant for up to some thousand sources.
     """
     spark = docs.sparkSession
-    coded = tokenized(docs, vocabulary or public_tokenizers.path(VOCABULARY), key, text, source)
+    vocabulary = vocabulary or public_tokenizers.path(VOCABULARY)
+    coded = tokenized(docs, vocabulary, ranks or public_tokenizers.path(RANKS), key, text, source)
     parts = coded.groupBy("task", "source").agg(F.sum("tokens").alias("tokens"))
     order = Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     parts = stored(

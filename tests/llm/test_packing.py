@@ -114,3 +114,12 @@ def test_edges_nulls_repeats(spark, frame):
 def test_empty_table(frame):
     got = packing.pack(frame([]))
     assert got.collect() == [] and got.columns[0] == "doc_id"
+
+
+def test_ids_equal_the_library():
+    path = public_tokenizers.path(packing.VOCABULARY)
+    coder, tokenizer = packing.Coder(path, public_tokenizers.path(packing.RANKS)), packing.load(path)
+    hard = ["", "It's <|endoftext|> I'LL", "a  b\n\n c \u00a0\u2003x", "12 345 \u0663", "\U0001f469\u200d\U0001f467 \u65e5\u672c"]
+    hard += ["x" * 3000, " " * 3000, "ab " * 3000, "\n" * 500 + "z"]
+    for text in hard:
+        assert coder.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids

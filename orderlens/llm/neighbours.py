@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,12 @@ def chi_square_quantile(p: float, half: int) -> float:
     return (low + high) / 2
 
 
+@lru_cache
+def stopping_ratio(certain: float) -> float:
+    """The quantile of the stopping test, computed once in each task's process."""
+    return chi_square_quantile(certain, PROJECTED // 2)
+
+
 def usable(vector: Column) -> Column:
     """Not null, not zero, every component there and finite."""
     plain = F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))
@@ -86,7 +93,7 @@ class Tree:
         gap = np.maximum(np.maximum(self.least - low, low - self.most), 0)
         far = (gap**2).sum(axis=1)
         leaves = np.argsort(far, kind="stable")
-        size, limit = float(query @ query), chi_square_limit()
+        size, limit = float(query @ query), stopping_ratio(CERTAIN)
         found, scores = np.zeros(0, np.int64), np.zeros(0)
         for at in range(0, len(leaves), 4):
             worst = max(bound, scores[-1] if len(scores) == count else -np.inf)
@@ -109,13 +116,6 @@ class Tree:
         return self.order[found], exact
 
 
-def chi_square_limit(held: dict[float, float] = {}) -> float:  # noqa: B006
-    """The quantile of the stopping test, computed once."""
-    if CERTAIN not in held:
-        held[CERTAIN] = chi_square_quantile(CERTAIN, PROJECTED // 2)
-    return held[CERTAIN]
-
-
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)

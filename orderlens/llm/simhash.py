@@ -255,6 +255,9 @@ def shard_links(
             b = np.concatenate([b, right[at[rows]]])
             d = np.concatenate([d, far[rows, at[rows]].astype(np.int64)])
             known[np.arange(len(left)), at] = 0
+    if hubs:  # a hub link is often one of the forest, or the same from both ends
+        _, pick = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_index=True)
+        a, b, d = a[pick], b[pick], d[pick]
     return a, b, d
 
 
@@ -265,15 +268,18 @@ def links(
     segments: int,
     slack: int | None = None,
     hubs: int = 0,
+    shard: int = SHARD,
 ) -> DataFrame:
     """(a, b, distance): links between distinct fingerprints that span the near ones.
 
     With ``slack`` left out, or (slack + 1) * segments above ``radius``, no near pair
-    is missed; a smaller one trades completeness for fewer comparisons.
+    is missed; a smaller one trades completeness for fewer comparisons. ``shard`` is the
+    size that shards should have on average: larger ones take more comparisons, smaller
+    ones more levels, and with each level a fingerprint visits twice as many.
     """
     spark = items.sparkSession
     slack = radius // segments if slack is None else slack
-    levels = max(1, math.ceil(math.log(max(1, items.count()) / SHARD, 5)))
+    levels = max(1, math.ceil(math.log(max(1, items.count()) / shard, 5)))
     routed = route(items, words, segments, slack, min(levels, LEVELS))
     crowds = routed.filter("home").groupBy("cell").agg(F.count("*").alias("n"))
     crowds = crowds.filter(F.col("n") > HOT).select(
@@ -366,8 +372,10 @@ def near_duplicates(
 # 42 leaves room for chance; the exact similarity decides. A tree of 16 bits with one bit of
 # slack misses such a pair with probability 0.72, twelve trees with 0.02, and less above.
 # Among many near copies the nearest fingerprint may belong to a text that is not similar
-# enough, so each is also compared with the three that most others are near to.
-HUBS = 3
+# enough, so each is also compared with the two that most others are near to.
+HUBS = 2
+# Twelve trees send twelve times what one does, so their shards are larger.
+NEAR_SHARD = 16384
 NEAR = {"shingle": 5, "words": 3, "radius": 42, "segments": 12, "slack": 1}
 
 
@@ -420,7 +428,7 @@ def keep_one(
     )
     heads = nodes.groupBy("fingerprint").agg(F.min("node").alias("head"))
     heads = stored(heads, "heads")
-    near = links(heads, NEAR["words"], NEAR["radius"], NEAR["segments"], NEAR["slack"], HUBS)
+    near = links(heads, NEAR["words"], NEAR["radius"], NEAR["segments"], NEAR["slack"], HUBS, NEAR_SHARD)
     across = near.join(heads.toDF("a", "head_a"), "a").join(heads.toDF("b", "head_b"), "b")
     within = nodes.join(heads, "fingerprint").filter("node != head")
     pairs = stored(

@@ -1,9 +1,10 @@
-"""Line dedup by content-defined chunks: repeated multi-line chunks go, the first stays.
+"""Line dedup by content-defined chunks: repeated chunks go, the first stays.
 
-A line ends at a line break or at the end of a sentence, so a passage pasted into a
-longer line is seen too. A rolling hash over the hashes of neighbouring lines chooses
-chunk boundaries; they depend on nearby lines only, so chunks of a repeated passage
-fall into step wherever it stands. Chunks of at least MIN_LINES lines and MIN_BYTES
+A chunk may end after a word, or after a character of three bytes or more (scripts
+without spaces). A rolling hash over the WINDOW bytes before ranks these places, ends of
+lines and sentences before all others; a chunk ends where no place within REACH bytes
+ranks lower. So chunks depend on nearby bytes only, and those of a repeated passage fall
+into step wherever it stands, within a longer line too. Chunks of at least MIN_BYTES
 bytes are counted over all documents by their bytes, not by their hash. Where a chunk
 occurs more than once, its first occurrence in the document with the smallest doc_id
 stays; everywhere else it is removed after its bytes were compared with the kept ones.
@@ -11,7 +12,6 @@ stays; everywhere else it is removed after its bytes were compared with the kept
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,36 +22,63 @@ from pyspark.sql import functions as F
 
 from orderlens.llm.common import pieces, stored
 
-CUT = re.compile(rb"(?<=[.!?])[ \t\r\f\v]+|[ \t\r\f\v]*\n[ \t\r\n\f\v]*")
 SPACE = b" \t\r\n\f\v"
-MASK = (1 << 64) - 1
-DIVISOR = 2  # a boundary after every second line on average, once MIN_LINES are reached
-MIN_LINES, MAX_LINES, MIN_BYTES = 2, 16, 50
-
-
-def cuts(data: bytes) -> list[tuple[int, int, int]]:
-    """Chunks as (start, end of content, end with white space); the content end is -1 for a
-    chunk too small to be a repeat. Together they are the data."""
-    out, start, at, before, size = [], 0, 0, 0, 0
-    digest = xxhash.xxh64_intdigest
-    for found in CUT.finditer(data):
-        stop, after = found.span()
-        if stop == at:  # white space before any line
-            continue
-        now = digest(data[at:stop])
-        size += 1
-        if size >= MAX_LINES or (
-            size >= MIN_LINES and not ((before * 0x9E3779B97F4A7C15 + now & MASK) >> 32) % DIVISOR
-        ):
-            counts = size >= MIN_LINES and stop - start >= MIN_BYTES
-            out.append((start, stop if counts else -1, after))
-            start, size = after, 0
-        before, at = now, after
-    if start < len(data):
-        stop = len(data.rstrip(SPACE))
-        size += at < stop
-        counts = size >= MIN_LINES and stop - start >= MIN_BYTES
-        out.append((start, stop if counts else -1, len(data)))
+BLANK, STOP = (np.isin(np.arange(256), list(marks)) for marks in (SPACE, b".!?"))
+WINDOW, REACH = 8, 50
+MIN_BYTES, MAX_BYTES = 50, 1024
+GAP = b" " * 64  # between texts that are cut together; more than WINDOW and REACH
+
+
+def cuts_of(many: list[bytes]) -> list[list[tuple[int, int, int]]]:
+    """Per text its chunks as (start, end of content, end with white space); the content end
+    is -1 for a chunk too small to be a repeat. Together they are the text."""
+    data = np.frombuffer(GAP + GAP.join(many) + GAP, np.uint8)
+    sizes = np.fromiter(map(len, many), np.int64, len(many))
+    first = np.cumsum(sizes + len(GAP)) - sizes
+    blank, tail = BLANK[data], (data & 0xC0) == 0x80
+    word = ~blank[1:-1] & blank[2:]
+    ends = np.flatnonzero(word | (tail[:-2] & tail[1:-1] & ~tail[2:])) + 2
+    owner = np.searchsorted(first, ends, "right") - 1
+    solid, breaks = np.flatnonzero(~blank), np.flatnonzero(data == 10)
+    after = np.append(solid, len(data))[np.searchsorted(solid, ends)]
+    after = np.minimum(after, (first + sizes)[owner])
+    line = np.searchsorted(breaks, ends) < np.searchsorted(breaks, after)
+    line |= STOP[data[ends - 1]] & blank[ends]
+    seen = np.lib.stride_tricks.sliding_window_view(np.where(blank, np.uint8(32), data), WINDOW)
+    rank = seen[ends - WINDOW].view("<u8").ravel() * np.uint64(0x9E3779B97F4A7C15)
+    rank = ((rank ^ (rank >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(1)
+    rank |= (~line).astype(np.uint64) << np.uint64(63)
+    beaten = np.zeros(len(ends), bool)
+    for step in range(1, len(ends)):
+        near = ends[step:] - ends[:-step] <= REACH
+        if not near.any():
+            break
+        beaten[step:] |= near & (rank[:-step] <= rank[step:])
+        beaten[:-step] |= near & (rank[step:] < rank[:-step])
+    beaten[np.flatnonzero(np.diff(owner, append=-1))] = False  # the end of each text
+    stays = np.flatnonzero(~beaten)
+    out: list[list[tuple[int, int, int]]] = [[] for _ in many]
+    before = -1
+    for at, row, stop, new in zip(
+        stays.tolist(), owner[stays].tolist(), ends[stays].tolist(), after[stays].tolist()
+    ):
+        base, own = int(first[row]), out[row]
+        if row != before:
+            before, start = row, int(solid[np.searchsorted(solid, base)])
+            if start > base:
+                own.append((0, -1, start - base))
+        while stop - start > MAX_BYTES:  # no boundary, as in a short line many times over
+            cut = int(np.searchsorted(ends, start + MAX_BYTES))
+            if cut >= at:
+                break
+            own.append((start - base, int(ends[cut]) - base, int(after[cut]) - base))
+            start = int(after[cut])
+        counts = stop - start >= MIN_BYTES
+        own.append((start - base, stop - base if counts else -1, new - base))
+        start = new
+    for row, size in enumerate(sizes.tolist()):
+        if size and not out[row]:
+            out[row].append((0, -1, size))
     return out
 
 
@@ -60,7 +87,7 @@ def chunks(text: str) -> list[tuple[str, str | None]]:
     data = text.encode("utf-8", "surrogatepass")
     return [
         (data[a:c].decode("utf-8", "surrogatepass"), data[a:b].decode("utf-8", "surrogatepass") if b >= 0 else None)
-        for a, b, c in cuts(data)
+        for a, b, c in cuts_of([data])[0]
     ]
 
 
@@ -79,8 +106,9 @@ def _listed(plain: DataFrame, with_content: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 256):
             rows, found = [], []
-            for row, data in enumerate(_bytes(batch.column(2))):
-                own = [data[a:b] for a, b, _ in cuts(data) if b >= 0]
+            many = _bytes(batch.column(2))
+            for row, (data, cut) in enumerate(zip(many, cuts_of(many))):
+                own = [data[a:b] for a, b, _ in cut if b >= 0]
                 own = own if with_content else list({_digest(c) for c in own})
                 rows += [row] * len(own)
                 found += own
@@ -153,11 +181,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             at = batch.schema.get_field_index(text)
             known = batch.column(batch.num_columns - 1)
             new, counts = batch.column(at).to_pylist(), [(0, 0)] * batch.num_rows
-            for row in np.flatnonzero(known.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            rows = np.flatnonzero(known.is_valid().to_numpy(zero_copy_only=False)).tolist()
+            many = [str(new[row]).encode("utf-8", "surrogatepass") for row in rows]
+            for row, data, cut in zip(rows, many, cuts_of(many)):
                 own = {m["content"]: m["own"] for m in known[row].as_py()}
-                data = str(new[row]).encode("utf-8", "surrogatepass")
                 kept, removed = [], []
-                for a, b, c in cuts(data):
+                for a, b, c in cut:
                     bare = data[a:b] if b >= 0 else None
                     if bare is None or bare not in own or own[bare]:  # compares the bytes
                         kept.append(data[a:c])

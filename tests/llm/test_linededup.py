@@ -94,3 +94,43 @@ def test_edges_nulls_repeats_and_clashing_columns(frame):
 
 def test_empty_table(frame):
     assert linededup.remove_repeats(frame([])).collect() == []
+
+
+def test_passages_of_one_line_and_inside_a_line_are_cut(frame):
+    draw = random.Random(6)
+
+    def words(n):
+        return " ".join(f"{draw.choice('abcdefgh')}{draw.randrange(90000)}" for _ in range(n))
+
+    rows, planted = [], {}
+    for i in range(60):
+        passage = words(draw.randrange(50, 61))  # no line break, no end of a sentence
+        glue = "\n" if i % 2 else " "
+        for k in (0, 100):
+            before, after = words(40 + k // 5 + i), words(30 + i)
+            planted[i + k] = (before, passage, after)
+            rows.append((i + k, before + glue + passage + glue + after))
+    got = {r.doc_id: r for r in linededup.remove_repeats(frame(rows)).collect()}
+    whole, gone = 0, []
+    for i in range(60):
+        assert got[i].text == rows[2 * i][1]
+        before, passage, after = planted[100 + i]
+        new = got[100 + i].text
+        assert new.startswith(before) and new.endswith(after)  # only the passage is touched
+        whole += len(passage)
+        gone.append(got[100 + i].removed_chars)
+    assert sum(g > 0 for g in gone) >= 54 and sum(gone) > 0.45 * whole
+
+
+def test_cutting_depends_on_nearby_bytes_only():
+    draw = random.Random(7)
+    many = [" ".join(sentences(draw, n)).encode() for n in range(12)]
+    many += [b" \n ", b"", "\u65e5\u672c\u8a9e".encode() * 300, b"la " * 3000, b"x" * 5000]
+    assert linededup.cuts_of(many) == [linededup.cuts_of([m])[0] for m in many]
+    for m, cut in zip(many, linededup.cuts_of(many)):
+        assert b"".join(m[a:c] for a, _, c in cut) == m
+    a, b = (many[i] + b" " + many[11] + b" " + many[i + 1] for i in (4, 8))
+    same = {d[x:y] for d in (many[11],) for x, y, _ in linededup.cuts_of([d])[0][2:-2] if y >= 0}
+    assert same
+    for d in (a, b):
+        assert same <= {d[x:y] for x, y, _ in linededup.cuts_of([d])[0]}

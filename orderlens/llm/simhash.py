@@ -80,13 +80,20 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> str:
 
 
 def fingerprints(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, words: int = 1
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    shingle: int = 4,
+    words: int = 1,
+    unique: bool = False,
 ) -> DataFrame:
-    """(key, fingerprint, n_shingles) of every row; a null text counts as empty."""
+    """(key, fingerprint, n_shingles) of every row; a null text counts as empty. With
+    ``unique`` each shingle counts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 512):
             hashed = [shingle_hashes(t, shingle) for t in texts(batch.column(1))]
+            hashed = [np.unique(h) for h in hashed] if unique else hashed
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -419,7 +426,7 @@ def keep_one(
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     node = F.md5(body)
     plain = docs.select(F.struct(F.col(key).alias("id"), node.alias("node")).alias("key"), body.alias("text"))
-    printed = fingerprints(plain, "key", "text", NEAR["shingle"], NEAR["words"])
+    printed = fingerprints(plain, "key", "text", NEAR["shingle"], NEAR["words"], True)
     nodes = stored(
         printed.groupBy(F.col("key.node").alias("node"), "fingerprint").agg(
             F.min("key.id").alias("id")

@@ -68,6 +68,25 @@ def test_near_copies_of_a_large_group_edges_and_nulls(frame):
     assert simhash.keep_one(frame([])).collect() == []
 
 
+def test_near_copies_that_differ_by_a_repeated_line(frame):
+    draw = random.Random(9)
+
+    def words(n):
+        return " ".join(f"w{draw.randrange(10**6)}" for _ in range(n))
+
+    rows = []
+    for i in range(30):
+        body, line = words(200), words(9)
+        rows += [(i, f"{body}\n{line}\n"), (100 + i, f"{body}\n" + f"{line}\n" * 30)]
+    rows += [(200 + i, words(200)) for i in range(20)]
+    assert set(kept_ids(rows)) == {*range(30), *range(200, 220)}
+    prints = simhash.fingerprints(frame(rows), "doc_id", "text", 5, 3, True).collect()
+    bits = {r.key: int(r.fingerprint, 16) for r in prints}
+    assert max((bits[i] ^ bits[100 + i]).bit_count() for i in range(30)) <= simhash.NEAR["radius"]
+    got = sorted((r.doc_id for r in simhash.keep_one(frame(rows)).collect()), key=repr)
+    assert got == kept_ids(rows)
+
+
 def test_stages_equal_brute_force(spark):
     """Each stage against plain Python over its whole input, which the one before made."""
     docs, seen = read(spark, FOLDER, "documents"), []

@@ -379,8 +379,10 @@ def near_duplicates(
 # 42 leaves room for chance; the exact similarity decides. A tree of 16 bits with one bit of
 # slack misses such a pair with probability 0.72, twelve trees with 0.02, and less above.
 # Among many near copies the nearest fingerprint may belong to a text that is not similar
-# enough, so each is also compared with the two that most others are near to.
+# enough, so each is also compared with the two that most others are near to. What is missed
+# so is found by leading shingles (apart), whose order is taken from about SAMPLE texts.
 HUBS = 2
+SAMPLE, COMMON = 4000, 50000
 # Twelve trees send twelve times what one does, so their shards are larger.
 NEAR_SHARD = 16384
 NEAR = {"shingle": 5, "words": 3, "radius": 42, "segments": 12, "slack": 1}
@@ -410,6 +412,94 @@ def similar(pairs: DataFrame, bodies: DataFrame, shingle: int, least: float) ->
     return sides.select("a", "b", "text_a", "text_b").mapInArrow(run, "a string, b string")
 
 
+def common_shingles(bodies: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes, ascending, that several of about SAMPLE texts have, and in how many.
+
+    They only order shingles, so the sample decides how much is compared, not what is found.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 256):
+            for text in texts(batch.column(1)):
+                own = np.unique(shingle_hashes(text, shingle)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own)], ["token"])
+
+    every = max(1, bodies.count() // SAMPLE)
+    few = bodies.filter(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).dropDuplicates(["node"])
+    counts = few.mapInArrow(run, "token bigint").groupBy("token").agg(F.count("*").alias("n"))
+    rows = counts.filter("n > 2").orderBy(F.desc("n"), "token").limit(COMMON).collect()
+    token = np.array([r["token"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(token)
+    return token[order], np.array([r["n"] for r in rows], np.int64)[order]
+
+
+def leading(own: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The first shingles of a set in an order that all sets share, rare ones before common
+    ones; as many that two sets of similarity ``least`` must have one of them in common."""
+    if not len(own):
+        return np.zeros(1, np.int64)  # empty sets are similar to each other
+    known, n = common
+    often = np.zeros(len(own), np.int64)
+    if len(known):
+        place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        often = np.where(known[place] == own, n[place], 0)
+    order = np.lexsort((own, often))
+    return own[order[: len(own) - math.ceil(least * len(own) - 1e-9) + 1]].view(np.int64)
+
+
+def profiles(plain: DataFrame, least: float) -> DataFrame:
+    """(key, fingerprint, size, lead) of rows (key, text): the fingerprint over the set of
+    shingles, the size of the set, and its leading shingles."""
+    common = common_shingles(plain.select("key.node", "text"), NEAR["shingle"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 512):
+            sets = [np.unique(shingle_hashes(t, NEAR["shingle"])) for t in texts(batch.column(1))]
+            leads = [leading(own, common, least) for own in sets]
+            edges = np.cumsum([0, *map(len, leads)])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([fingerprint(own, NEAR["words"]) for own in sets], pa.string()),
+                    pa.array([len(own) for own in sets], pa.int64()),
+                    pa.ListArray.from_arrays(
+                        pa.array(edges, pa.int32()), pa.array(np.concatenate(leads), pa.int64())
+                    ),
+                ],
+                ["key", "fingerprint", "size", "lead"],
+            )
+
+    kind = plain.schema["key"].dataType.simpleString()
+    return plain.mapInArrow(run, f"key {kind}, fingerprint string, size bigint, lead array<bigint>")
+
+
+def apart(placed: DataFrame, least: float) -> DataFrame:
+    """(a, b): every pair of nodes of different classes that may have similarity ``least``.
+
+    ``placed`` has node, component, size and lead. Two similar sets share a leading shingle,
+    so only shingles that lead in several classes are looked at. The sets of a pair whose
+    leads share n have at most n and what follows the lead of one of them in common.
+    """
+    led = placed.select(
+        "node",
+        F.xxhash64("component").alias("class"),
+        "size",
+        F.greatest(F.col("size") - F.size("lead"), F.lit(0)).alias("rest"),
+        F.explode("lead").alias("token"),
+    )
+    shared = led.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    shared = shared.filter("low < high").select("token")
+    led = stored(led.join(shared, "token"), "led")
+    a, b = (led.select("token", *[F.col(c).alias(f"{c}_{s}") for c in led.columns if c != "token"]) for s in "ab")
+    fits = "class_a < class_b and least(size_a, size_b) >= {0} * greatest(size_a, size_b) - 1e-9"
+    both = a.join(b, "token").filter(fits.format(least))
+    both = both.groupBy("node_a", "node_b", "size_a", "size_b", "rest_a", "rest_b").agg(
+        F.count("*").alias("n")
+    )
+    enough = f"n + greatest(rest_a, rest_b) >= (size_a + size_b) * {least / (1 + least)!r} - 1e-9"
+    return both.filter(enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
 def keep_one(
     docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -417,7 +507,9 @@ def keep_one(
 
     Two texts are near when at least ``least`` of their five-word shingles, as sets, are
     the same; groups are what near pairs connect, and equal texts are always together.
-    Links are looked for with NEAR and then verified by the exact similarity. Of a group
+    Links are looked for with NEAR and then verified by the exact similarity. That may miss
+    pairs; so all pairs between the classes found that leading shingles do not rule out are
+    verified too, which leaves none out. Of a group
     the row with the smallest key stays (null keys last, then by a digest of the text);
     of rows that repeat it, the one whose columns have the smallest hash. Null, empty and
     blank texts are one group.
@@ -426,11 +518,10 @@ def keep_one(
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     node = F.md5(body)
     plain = docs.select(F.struct(F.col(key).alias("id"), node.alias("node")).alias("key"), body.alias("text"))
-    printed = fingerprints(plain, "key", "text", NEAR["shingle"], NEAR["words"], True)
     nodes = stored(
-        printed.groupBy(F.col("key.node").alias("node"), "fingerprint").agg(
-            F.min("key.id").alias("id")
-        ),
+        profiles(plain, least)
+        .groupBy(F.col("key.node").alias("node"), "fingerprint", "size")
+        .agg(F.min("key.id").alias("id"), F.first("lead").alias("lead")),
         "nodes",
     )
     heads = nodes.groupBy("fingerprint").agg(F.min("node").alias("head"))
@@ -444,13 +535,25 @@ def keep_one(
         .distinct(),
         "pairs",
     )
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    bodies = docs.select(node.alias("node"), body.alias("text")).join(ends, "node", "left_semi")
-    bodies = stored(bodies.dropDuplicates(["node"]), "bodies")
-    found = components(similar(pairs, bodies, NEAR["shingle"], least))
-    placed = nodes.join(found, "node", "left").withColumn(
-        "component", F.coalesce("component", "node")
-    )
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        bodies = docs.select(node.alias("node"), body.alias("text")).join(ends, "node", "left_semi")
+        bodies = stored(bodies.dropDuplicates(["node"]), "bodies")
+        return similar(pairs, bodies, NEAR["shingle"], least)
+
+    def joined(placed: DataFrame, links: DataFrame) -> DataFrame:
+        """Each node's component, moved by links between components."""
+        found = components(links).toDF("component", "least")
+        moved = placed.join(found, "component", "left")
+        return moved.withColumn("component", F.coalesce("least", "component")).drop("least")
+
+    placed = joined(nodes.withColumn("component", F.col("node")), verified(pairs))
+    placed = stored(placed, "placed")
+    more = verified(stored(apart(placed, least), "apart"))
+    of = placed.select("node", "component")
+    more = more.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select("x", "y").distinct()
+    placed = joined(placed, more.toDF("a", "b"))
     best = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("node"))).alias("best")
     chosen = placed.groupBy("component").agg(best).select(
         F.col("best.id").alias("kept_id"), F.col("best.node").alias("kept_node")

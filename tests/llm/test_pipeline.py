@@ -87,6 +87,19 @@ def test_near_copies_that_differ_by_a_repeated_line(frame):
     assert got == kept_ids(rows)
 
 
+def test_drifting_copies_in_a_large_group_equal_brute_force(frame):
+    draw = random.Random(12)
+    many = [[f"w{draw.randrange(10**6)}" for _ in range(124)]]
+    while len(many) < 400:  # each drifts from any earlier one, some just below the bound
+        words, size = list(draw.choice(many[-60:])), draw.randrange(4, 14)
+        at = draw.randrange(124 - size)
+        words[at : at + size] = [f"w{draw.randrange(10**6)}" for _ in range(size)]
+        many.append(words)
+    rows = [(i, " ".join(words)) for i, words in enumerate(many)]
+    got = sorted((r.doc_id for r in simhash.keep_one(frame(rows)).collect()), key=repr)
+    assert got == kept_ids(rows)
+
+
 def test_stages_equal_brute_force(spark):
     """Each stage against plain Python over its whole input, which the one before made."""
     docs, seen = read(spark, FOLDER, "documents"), []

@@ -100,6 +100,37 @@ def test_drifting_copies_in_a_large_group_equal_brute_force(frame):
     assert got == kept_ids(rows)
 
 
+def test_pairs_at_the_bound_are_all_found(frame):
+    draw = random.Random(13)
+    rows = []
+    for i in range(400):
+        words = [f"w{draw.randrange(10**7)}" for _ in range(204)]
+        for key, cut in ((i, 0), (1000 + i, draw.randrange(20, 23))):  # 0.818 to 0.802
+            own = words[: 204 - cut] + [f"x{draw.randrange(10**7)}" for _ in range(cut)]
+            rows.append((key, " ".join(own)))
+        other = words[: 204 - 23] + [f"y{draw.randrange(10**7)}" for _ in range(23)]
+        if i % 8 == 0:  # 0.793 of the first, farther from the second
+            rows.append((2000 + i, " ".join(other)))
+    got = sorted((r.doc_id for r in simhash.keep_one(frame(rows)).collect()), key=repr)
+    want = {*range(400), *range(2000, 2400, 8)}
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_leading_shingles_leave_no_similar_pair_out(spark, frame):
+    draw = np.random.default_rng(14)
+    common = np.unique(draw.integers(0, 2**63, 40, dtype=np.uint64))
+    for _ in range(300):
+        own = np.unique(np.append(draw.integers(0, 2**63, draw.integers(1, 60), dtype=np.uint64), common[: draw.integers(0, 40)]))
+        other = np.unique(np.append(draw.choice(own, max(1, int(len(own) * 0.9)), replace=False), draw.integers(0, 2**63, draw.integers(0, 8), dtype=np.uint64)))
+        if simhash.jaccard(own, other) < 0.8:
+            continue
+        order = (common, np.arange(len(common)) + 3)
+        a, b = (simhash.leading(x, order, 0.8) for x in (own, other))
+        n = len(np.intersect1d(a, b))
+        rest = max(len(own) - len(a), len(other) - len(b))
+        assert n and n + rest >= len(np.intersect1d(own, other))
+
+
 def test_stages_equal_brute_force(spark):
     """Each stage against plain Python over its whole input, which the one before made."""
     docs, seen = read(spark, FOLDER, "documents"), []

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.llm.common import groups, pieces, stored, tasks, texts
@@ -85,15 +85,12 @@ def fingerprints(
     text: str = "text",
     shingle: int = 4,
     words: int = 1,
-    unique: bool = False,
 ) -> DataFrame:
-    """(key, fingerprint, n_shingles) of every row; a null text counts as empty. With
-    ``unique`` each shingle counts once."""
+    """(key, fingerprint, n_shingles) of every row; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 512):
             hashed = [shingle_hashes(t, shingle) for t in texts(batch.column(1))]
-            hashed = [np.unique(h) for h in hashed] if unique else hashed
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -199,15 +196,12 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 def shard_links(
-    own: np.ndarray, guests: np.ndarray, radius: int, hubs: int = 0
+    own: np.ndarray, guests: np.ndarray, radius: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links (a, b, distance) within ``radius`` that span what a shard's rows link.
 
     Positions count the own fingerprints first, then the guests. Own ones are
-    compared with each other and with the guests, in steps of bounded size. With
-    ``hubs``, all links are given where they are at most four per row; in a denser
-    shard each own row is also linked to its ``hubs`` neighbours with the most
-    neighbours, for links that a later check may reject.
+    compared with each other and with the guests, in steps of bounded size.
     """
     every = np.concatenate([own, guests])
     n, m = len(every), len(own)
@@ -219,14 +213,13 @@ def shard_links(
     guest = m + np.argsort(away[m:], kind="stable")
     near_home, near_guest = away[home], away[guest]
 
-    def compared(forward: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def compared() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Rows, those the triangle bound leaves to compare them with, and the distances."""
         step, start = max(1, COMPARED // n), 0
         while start < m:
             end = min(m, start + step)
             lo, hi = near_home[start] - radius, near_home[end - 1] + radius
-            first = start if forward else np.searchsorted(near_home, lo)
-            mates = home[first : np.searchsorted(near_home, hi, "right")]
+            mates = home[start : np.searchsorted(near_home, hi, "right")]
             others = slice(np.searchsorted(near_guest, lo), np.searchsorted(near_guest, hi, "right"))
             left, right = home[start:end], np.concatenate([mates, guest[others]])
             far = sum(
@@ -236,36 +229,19 @@ def shard_links(
             yield left, right, far
             start = end
 
-    a, b, d, degree, seen = nothing, nothing, nothing, np.zeros(n, np.int64), 0
-    for left, right, far in compared(True):
+    a = b = d = nothing
+    for left, right, far in compared():
         i, j = np.nonzero(far <= radius)
         ahead = j > i  # the first columns are the rows themselves
         i, j = i[ahead], j[ahead]
         a = np.concatenate([a, left[i]])
         b = np.concatenate([b, right[j]])
         d = np.concatenate([d, far[i, j].astype(np.int64)])
-        degree += np.bincount(left[i], minlength=n) + np.bincount(right[j], minlength=n)
-        seen += len(i)
         if len(a) > 4 * n + COMPARED:
             pick = forest(n, a, b, d)
             a, b, d = a[pick], b[pick], d[pick]
-    if hubs and seen <= 4 * n:
-        return a, b, d
     pick = forest(n, a, b, d)
-    a, b, d = a[pick], b[pick], d[pick]
-    for left, right, far in compared(False) if hubs else ():
-        known = np.where((far <= radius) & (left[:, None] != right[None, :]), degree[right] + 1, 0)
-        for _ in range(min(hubs, len(right))):
-            at = known.argmax(axis=1)
-            rows = np.flatnonzero(known[np.arange(len(left)), at])
-            a = np.concatenate([a, left[rows]])
-            b = np.concatenate([b, right[at[rows]]])
-            d = np.concatenate([d, far[rows, at[rows]].astype(np.int64)])
-            known[np.arange(len(left)), at] = 0
-    if hubs:  # a hub link is often one of the forest, or the same from both ends
-        _, pick = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_index=True)
-        a, b, d = a[pick], b[pick], d[pick]
-    return a, b, d
+    return a[pick], b[pick], d[pick]
 
 
 def links(
@@ -274,7 +250,6 @@ def links(
     radius: int,
     segments: int,
     slack: int | None = None,
-    hubs: int = 0,
     shard: int = SHARD,
 ) -> DataFrame:
     """(a, b, distance): links between distinct fingerprints that span the near ones.
@@ -329,7 +304,7 @@ def links(
                 continue
             every = _words(names.to_pylist(), words)
             at = np.concatenate([np.flatnonzero(home), np.flatnonzero(~home)])
-            a, b, d = shard_links(every[home], every[~home], radius, hubs)
+            a, b, d = shard_links(every[home], every[~home], radius)
             if len(a):
                 x, y = names.take(pa.array(at[a])), names.take(pa.array(at[b]))
                 yield pa.RecordBatch.from_arrays(
@@ -375,196 +350,28 @@ def near_duplicates(
     )
 
 
-# For similarity 0.8 of five-word shingles: 192 bits differ in about 29 places there, so
-# 42 leaves room for chance; the exact similarity decides. A tree of 16 bits with one bit of
-# slack misses such a pair with probability 0.72, twelve trees with 0.02, and less above.
-# Among many near copies the nearest fingerprint may belong to a text that is not similar
-# enough, so each is also compared with the two that most others are near to. What is missed
-# so is found by leading shingles (apart), whose order is taken from about SAMPLE texts.
-HUBS = 2
-SAMPLE, COMMON = 4000, 50000
-# Twelve trees send twelve times what one does, so their shards are larger.
-NEAR_SHARD = 16384
-NEAR = {"shingle": 5, "words": 3, "radius": 42, "segments": 12, "slack": 1}
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sets of shingle hashes; 1 for two empty ones."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
-
-
-def similar(pairs: DataFrame, bodies: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have at least ``least`` in common."""
-    sides = pairs.join(bodies.toDF("a", "text_a"), "a").join(bodies.toDF("b", "text_b"), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 256):
-            held: dict[str, np.ndarray] = {}
-            keep = []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                for node, text in ((a, x), (b, y)):
-                    if node not in held:
-                        held[node] = np.unique(shingle_hashes(text, shingle))
-                keep.append(jaccard(held[a], held[b]) >= least)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return sides.select("a", "b", "text_a", "text_b").mapInArrow(run, "a string, b string")
-
-
-def common_shingles(bodies: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes, ascending, that several of about SAMPLE texts have, and in how many.
-
-    They only order shingles, so the sample decides how much is compared, not what is found.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 256):
-            for text in texts(batch.column(1)):
-                own = np.unique(shingle_hashes(text, shingle)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own)], ["token"])
-
-    every = max(1, bodies.count() // SAMPLE)
-    few = bodies.filter(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).dropDuplicates(["node"])
-    counts = few.mapInArrow(run, "token bigint").groupBy("token").agg(F.count("*").alias("n"))
-    rows = counts.filter("n > 2").orderBy(F.desc("n"), "token").limit(COMMON).collect()
-    token = np.array([r["token"] for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(token)
-    return token[order], np.array([r["n"] for r in rows], np.int64)[order]
-
-
-def leading(own: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
-    """The first shingles of a set in an order that all sets share, rare ones before common
-    ones; as many that two sets of similarity ``least`` must have one of them in common."""
-    if not len(own):
-        return np.zeros(1, np.int64)  # empty sets are similar to each other
-    known, n = common
-    often = np.zeros(len(own), np.int64)
-    if len(known):
-        place = np.minimum(np.searchsorted(known, own), len(known) - 1)
-        often = np.where(known[place] == own, n[place], 0)
-    order = np.lexsort((own, often))
-    return own[order[: len(own) - math.ceil(least * len(own) - 1e-9) + 1]].view(np.int64)
-
-
-def profiles(plain: DataFrame, least: float) -> DataFrame:
-    """(key, fingerprint, size, lead) of rows (key, text): the fingerprint over the set of
-    shingles, the size of the set, and its leading shingles."""
-    common = common_shingles(plain.select("key.node", "text"), NEAR["shingle"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 512):
-            sets = [np.unique(shingle_hashes(t, NEAR["shingle"])) for t in texts(batch.column(1))]
-            leads = [leading(own, common, least) for own in sets]
-            edges = np.cumsum([0, *map(len, leads)])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([fingerprint(own, NEAR["words"]) for own in sets], pa.string()),
-                    pa.array([len(own) for own in sets], pa.int64()),
-                    pa.ListArray.from_arrays(
-                        pa.array(edges, pa.int32()), pa.array(np.concatenate(leads), pa.int64())
-                    ),
-                ],
-                ["key", "fingerprint", "size", "lead"],
-            )
-
-    kind = plain.schema["key"].dataType.simpleString()
-    return plain.mapInArrow(run, f"key {kind}, fingerprint string, size bigint, lead array<bigint>")
-
-
-def apart(placed: DataFrame, least: float) -> DataFrame:
-    """(a, b): every pair of nodes of different classes that may have similarity ``least``.
-
-    ``placed`` has node, component, size and lead. Two similar sets share a leading shingle,
-    so only shingles that lead in several classes are looked at. The sets of a pair whose
-    leads share n have at most n and what follows the lead of one of them in common.
-    """
-    led = placed.select(
-        "node",
-        F.xxhash64("component").alias("class"),
-        "size",
-        F.greatest(F.col("size") - F.size("lead"), F.lit(0)).alias("rest"),
-        F.explode("lead").alias("token"),
-    )
-    shared = led.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-    shared = shared.filter("low < high").select("token")
-    led = stored(led.join(shared, "token"), "led")
-    a, b = (led.select("token", *[F.col(c).alias(f"{c}_{s}") for c in led.columns if c != "token"]) for s in "ab")
-    fits = "class_a < class_b and least(size_a, size_b) >= {0} * greatest(size_a, size_b) - 1e-9"
-    both = a.join(b, "token").filter(fits.format(least))
-    both = both.groupBy("node_a", "node_b", "size_a", "size_b", "rest_a", "rest_b").agg(
-        F.count("*").alias("n")
-    )
-    enough = f"n + greatest(rest_a, rest_b) >= (size_a + size_b) * {least / (1 + least)!r} - 1e-9"
-    return both.filter(enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-
-
-def keep_one(
-    docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text"
-) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: one document of each group stays.
 
-    Two texts are near when at least ``least`` of their five-word shingles, as sets, are
-    the same; groups are what near pairs connect, and equal texts are always together.
-    Links are looked for with NEAR and then verified by the exact similarity. That may miss
-    pairs; so all pairs between the classes found that leading shingles do not rule out are
-    verified too, which leaves none out. Of a group
-    the row with the smallest key stays (null keys last, then by a digest of the text);
-    of rows that repeat it, the one whose columns have the smallest hash. Null, empty and
-    blank texts are one group.
+    Groups are the components of ``near_duplicates`` with its own shingles and radius.
+    Of a group the row with the smallest key stays (null keys last, then by a digest of
+    the text); of rows that repeat it, the one whose columns have the smallest hash.
+    Null, empty and blank texts have fingerprint zero and link like any other.
     """
-    names = docs.columns
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    node = F.md5(body)
-    plain = docs.select(F.struct(F.col(key).alias("id"), node.alias("node")).alias("key"), body.alias("text"))
-    nodes = stored(
-        profiles(plain, least)
-        .groupBy(F.col("key.node").alias("node"), "fingerprint", "size")
-        .agg(F.min("key.id").alias("id"), F.first("lead").alias("lead")),
-        "nodes",
-    )
-    heads = nodes.groupBy("fingerprint").agg(F.min("node").alias("head"))
-    heads = stored(heads, "heads")
-    near = links(heads, NEAR["words"], NEAR["radius"], NEAR["segments"], NEAR["slack"], HUBS, NEAR_SHARD)
-    across = near.join(heads.toDF("a", "head_a"), "a").join(heads.toDF("b", "head_b"), "b")
-    within = nodes.join(heads, "fingerprint").filter("node != head")
-    pairs = stored(
-        across.select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
-        .unionByName(within.select(F.col("head").alias("a"), F.col("node").alias("b")))
-        .distinct(),
-        "pairs",
+    name = F.struct(
+        F.col(key).isNull().alias("unnamed"), F.col(key).alias("id"), F.md5(body).alias("digest")
     )
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        bodies = docs.select(node.alias("node"), body.alias("text")).join(ends, "node", "left_semi")
-        bodies = stored(bodies.dropDuplicates(["node"]), "bodies")
-        return similar(pairs, bodies, NEAR["shingle"], least)
-
-    def joined(placed: DataFrame, links: DataFrame) -> DataFrame:
-        """Each node's component, moved by links between components."""
-        found = components(links).toDF("component", "least")
-        moved = placed.join(found, "component", "left")
-        return moved.withColumn("component", F.coalesce("least", "component")).drop("least")
-
-    placed = joined(nodes.withColumn("component", F.col("node")), verified(pairs))
-    placed = stored(placed, "placed")
-    more = verified(stored(apart(placed, least), "apart"))
-    of = placed.select("node", "component")
-    more = more.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select("x", "y").distinct()
-    placed = joined(placed, more.toDF("a", "b"))
-    best = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("node"))).alias("best")
-    chosen = placed.groupBy("component").agg(best).select(
-        F.col("best.id").alias("kept_id"), F.col("best.node").alias("kept_node")
-    )
+    def label(of: Column) -> Column:
+        return F.concat_ws("\n", of["digest"], of["id"].cast("string"))
+
+    named = near_duplicates(docs.select(name.alias("name"), body.alias("text")), "name", "text")
+    heads = named.select("component_id").distinct()
+    chosen = heads.select(label(F.col("component_id")).alias("label"))
     marked = docs.select(
-        F.struct(*[F.col(n) for n in names]).alias("row"), F.col(key).alias("id"), node.alias("node")
-    )
-    kept = marked.join(
-        chosen,
-        (marked["node"] == chosen["kept_node"]) & marked["id"].eqNullSafe(chosen["kept_id"]),
+        F.struct(*[F.col(n) for n in docs.columns]).alias("row"), label(name).alias("label")
     )
-    same = Window.partitionBy("kept_node", "kept_id").orderBy(F.xxhash64("row"))
-    first = kept.withColumn("place", F.row_number().over(same)).filter("place = 1")
-    return first.select("row.*")
+    same = Window.partitionBy("label").orderBy(F.xxhash64("row"))
+    kept = marked.join(chosen, "label", "left_semi").withColumn("place", F.row_number().over(same))
+    return kept.filter("place = 1").select("row.*")

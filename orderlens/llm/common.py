@@ -83,3 +83,21 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         held.append(batch.slice(cuts[-2], cuts[-1] - cuts[-2]))
     if held:
         yield pa.Table.from_batches(held)
+
+
+# CRC-32 in DuckDB: a table of 256 remainders from the reflected polynomial, then byte by byte.
+CRC_TABLE = """
+remainders AS (
+  SELECT i, list_reduce(
+    range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i
+  ) AS remainder
+  FROM range(256) numbers(i)
+),
+crc_table AS (SELECT list(remainder ORDER BY i) AS crcs FROM remainders)"""
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes, in a query that reads ``crc_table``."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    step = "lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])"
+    return f"xor(4294967295, list_reduce({octets}, {step}, 4294967295::BIGINT))"

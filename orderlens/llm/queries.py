@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import bpe, editprint, language, linededup, neighbours, packing, pii, sharding, simhash, toxicity, warc, whitening
+from orderlens.llm import bpe, editprint, language, linededup, neighbours, packing, pii, resampling, sharding, simhash, toxicity, warc, whitening
 from orderlens.llm.common import read
 
 
@@ -59,13 +59,21 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.digest(read(spark, sf_dir, "embeddings"))
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_toxicity, op2_line_dedup, op3_bpe, op4_packing, op5_edit_embedding, op6_warc,
         op7_projected_neighbours, op8_language_id, op9_simhash_near_dedup, op10_pii, op11_sharding,
-        op12_whitening,
+        op12_whitening, op13_resampling,
     )
     return {f.__name__: f for f in every}
 
 
-ORACLE_SQL: dict[str, str] = {"op6_warc": warc.ORACLE, "op11_sharding": sharding.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": warc.ORACLE,
+    "op11_sharding": sharding.ORACLE,
+    "op13_resampling": resampling.ORACLE,
+}

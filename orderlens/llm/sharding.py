@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import CRC_TABLE, crc32_sql, stored
+from orderlens.llm.common import CRC_TABLE, crc32_sql, stored, tasks
 
 SEED = 11
 SHARDS = 24
@@ -66,7 +66,7 @@ def assign(
     rows = _identity(docs, key, text, source)
     base = stored(rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")), "identities")
     total = base.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    cells = max(1, -(-total // cell_rows))
+    cells = max(tasks(docs.sparkSession), -(-total // cell_rows))  # a hot source fills all tasks
 
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), "text_sha256", "block"))
     shuffled = (

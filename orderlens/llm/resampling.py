@@ -34,7 +34,7 @@ BUCKETS = 10_000
 LEAST_WORDS = 20
 SHARE = 25  # percent of the documents with enough words
 SEED = 7
-BATCH = 1 << 22  # bytes of text hashed at once
+BATCH = 1 << 20  # bytes of text hashed at once
 LONG = 512  # features beyond this length are too rare for a matrix of their own
 BLOCK = 4096  # copies of one row that are ranked as one
 

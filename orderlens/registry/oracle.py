@@ -11,6 +11,7 @@ from __future__ import annotations
 from orderlens.registry.queries import (
     CURVE_MAX,
     FILL_TARGET,
+    LATE_MONTHS,
     LOOKBACK_DAYS,
     SWEEP,
     TRUE_EFFECTS,
@@ -569,6 +570,13 @@ _BODIES = {
       WHERE m <> (SELECT CAST(date_trunc('month', max(order_date_gst)) AS DATE)
         FROM fct_orders) - INTERVAL 1 MONTH
       GROUP BY m""",
+    "lookback_late_run": f"""SELECT m AS order_month, count(*) AS orders,
+        count(*) FILTER (is_late_arriving) AS late_orders
+      FROM (SELECT CAST(date_trunc('month', order_date_gst) AS DATE) AS m, is_late_arriving,
+              CAST(date_trunc('month', max(order_date_gst) OVER ()) - INTERVAL {LATE_MONTHS} MONTH AS DATE) AS last
+            FROM fct_orders)
+      WHERE NOT is_late_arriving OR m > last OR m <= last - {LOOKBACK_DAYS}
+      GROUP BY m""",
     "metric_table": f"""
       WITH b AS (SELECT {_BAND} AS band, {_FILL} FROM clean_orders GROUP BY band),
       t AS (SELECT coalesce(tenure, 'all') AS band, n, effect_pp, ci_lo, ci_hi

@@ -34,6 +34,7 @@ SWEEP = (1.0, 2.0, 3.0, 4.0)
 FILL_TARGET = 0.97
 CURVE_MAX = 25
 LOOKBACK_DAYS = 45
+LATE_MONTHS = 3
 TRUE_EFFECTS = {"new": -9.0, "established": -3.0}
 TRUE_REPAIR = {
     "same_brand_diff_size": 0.6,
@@ -177,6 +178,23 @@ def lookback_lost_day(c: Context) -> DataFrame:
     return stored.groupBy("order_month").agg(F.count(F.lit(1)).alias("orders"))
 
 
+@query
+def lookback_late_run(c: Context) -> DataFrame:
+    """A run that comes late: its input ends months before the newest of the table."""
+    path = c.fresh("lookback_late")
+    orders = c.stored["fct_orders"].select(
+        F.trunc("order_date_gst", "month").alias("order_month"), "order_id", "is_late_arriving"
+    )
+    newest = orders.agg(F.max("order_month")).scalar()
+    tables.write_fact(orders, path, "order_month")
+    older = orders.filter((F.col("order_month") <= F.add_months(newest, -LATE_MONTHS)) & ~F.col("is_late_arriving"))
+    tables.overwrite_lookback(older, path, "order_month", LOOKBACK_DAYS)
+    stored = tables.read_mart(c.spark, *path.rsplit("/", 1))
+    return stored.groupBy("order_month").agg(
+        F.count(F.lit(1)).alias("orders"), F.count_if("is_late_arriving").alias("late_orders")
+    )
+
+
 @query
 def metric_table(c: Context) -> DataFrame:
     names = ("order_fill", "item_fill_macro", "item_fill_micro", "mean_basket")

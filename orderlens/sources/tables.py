@@ -4,24 +4,37 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from datetime import timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderlens.sources.swap import (
+    discard,
+    finish_swaps,
+    partition_names,
+    publish,
+    staging_folder,
+    swap_partitions,
+)
+
 METRIC_SCHEMA = (
     "section string, metric string, by string, value double, ci_lo double, ci_hi double, n bigint"
 )
 
+_DATED = re.compile(r"[^=/]+=\d{4}-\d\d-\d\d")
+
 
 def read_mart(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}")
 
 
 def write_table(df: DataFrame, path: str) -> DataFrame:
-    """Write once, read back: what follows starts from stored rows."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Write once, read back: what follows starts from stored rows.
+
+    The table appears when it is complete; a run that fails leaves an earlier one in place.
+    """
+    return publish(df, path)
 
 
 def write_fact(
@@ -48,28 +61,48 @@ def write_fact(
 
 
 def overwrite_lookback(
-    df: DataFrame, path: str, date_col: str, days: int = 2, cluster_by: Sequence[str] = ()
-) -> None:
-    """Replace the partitions after the cut: ``days`` before the newest date of ``df``.
-
-    Late rows land in recent dates; older partitions are neither read nor written. A
-    recent date that has no row any more, or lies after the newest one, is removed.
+    df: DataFrame,
+    path: str,
+    date_col: str,
+    days: int = 2,
+    cluster_by: Sequence[str] = (),
+    newest: date | None = None,
+) -> tuple[date, date] | None:
+    """Replace the partitions of the ``days`` dates up to ``newest``, and only those.
+
+    Late rows land in recent dates. Older partitions are neither read nor written, and
+    partitions after ``newest`` stay too, so a late or repeated run cannot undo a newer
+    one; a date between that has no row any more is removed. Without ``newest`` it is the
+    newest date of ``df``, all of which is then staged; with it, only the dates to replace
+    are. ``df`` is evaluated once. Rows without a date fail the run before it changes
+    anything. Returns the open start and the end of the range, None for nothing to do.
     """
-    newest = df.agg(F.max(date_col)).first()[0]
-    if newest is None:
-        return
-    cut = newest - timedelta(days=days)
-    recent = df.filter(F.col(date_col) > F.lit(cut))
-    write_fact(recent, path, date_col, cluster_by, whole_table=False)
-    written = {str(r[0]) for r in recent.select(date_col).distinct().collect()}
     spark = df.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    for entry in files.listStatus(folder):
-        name = entry.getPath().getName().removeprefix(f"{date_col}=")
-        stale = re.fullmatch(r"\d{4}-\d\d-\d\d", name) and name > str(cut)
-        if stale and name not in written:
-            files.delete(entry.getPath(), True)
+    finish_swaps(spark, path)
+    if newest is not None:
+        df = df.filter(
+            F.col(date_col).isNull()
+            | ((F.col(date_col) > F.lit(newest - timedelta(days=days))) & (F.col(date_col) <= F.lit(newest)))
+        )
+    staged = staging_folder(path)
+    write_fact(df, staged, date_col, cluster_by)
+    found = partition_names(spark, staged)
+    undated = [n for n in found if not _DATED.fullmatch(n)]
+    if undated:
+        raise ValueError(f"rows without a date in {date_col}: {undated}")
+    if newest is None and not found:
+        discard(spark, staged)
+        return None
+    newest = newest or date.fromisoformat(found[-1].split("=")[1])
+    cut = newest - timedelta(days=days)
+
+    def inside(name: str) -> bool:
+        return bool(_DATED.fullmatch(name)) and str(cut) < name.split("=")[1] <= str(newest)
+
+    replaced = [n for n in found if inside(n)]
+    gone = [n for n in partition_names(spark, path) if inside(n) and n not in replaced]
+    swap_partitions(spark, path, staged, replaced, gone)
+    return cut, newest
 
 
 def write_metrics(df: DataFrame, path: str, fmt: str = "json") -> None:

@@ -1,6 +1,7 @@
 """Sources, sinks, joins, checks, scoring and drift on small literal tables."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from orderlens.operators import checks, metrics, outliers, scoring
 from orderlens.operators import joins as J
 from orderlens.params import Params
 from orderlens.plans.warehouse import Warehouse
-from orderlens.sources import raw, tables
+from orderlens.sources import raw, swap, tables
 
 D = dt.date
 
@@ -156,9 +157,91 @@ def test_lookback_removes_a_recent_day_without_rows(spark, tmp_path):
     again = days(spark, [(D(2026, 1, 1), 9), (D(2026, 1, 3), 9)])
     tables.overwrite_lookback(again, path, "day", 2)
     got = sorted((r.day.day, r.id) for r in spark.read.parquet(path).collect())
-    assert got == [(1, 1), (3, 9)]
+    assert got == [(1, 1), (3, 9), (4, 4)]  # a date after the newest one is not the run's
     tables.overwrite_lookback(again.limit(0), path, "day", 2)
-    assert spark.read.parquet(path).count() == 2
+    assert spark.read.parquet(path).count() == 3
+    # A run that knows its date covers days without any row.
+    tables.overwrite_lookback(again, path, "day", 2, newest=D(2026, 1, 4))
+    assert stored_days(spark, path) == [(1, 1), (3, 9)]
+
+
+def stored_days(spark, path):
+    return sorted((r.day.day, r.id) for r in spark.read.parquet(path).collect())
+
+
+def test_lookback_of_an_older_run_keeps_newer_days(spark, tmp_path):
+    path = str(tmp_path / "fact")
+    tables.write_fact(days(spark, [(D(2026, 1, d), d) for d in range(1, 11)]), path, "day")
+    late = days(spark, [(D(2026, 1, d), 100 + d) for d in range(1, 5)])
+    swapped = tables.overwrite_lookback(late, path, "day", 2)
+    assert swapped == (D(2026, 1, 2), D(2026, 1, 4))
+    want = [(1, 1), (2, 2), (3, 103), (4, 104), *[(d, d) for d in range(5, 11)]]
+    assert stored_days(spark, path) == want
+    assert os.listdir(f"{path}/_swaps") == []
+
+
+def test_rows_without_a_date_fail_and_change_nothing(spark, tmp_path):
+    path = str(tmp_path / "fact")
+    tables.write_fact(days(spark, [(D(2026, 1, 1), 1)]), path, "day")
+    for newest in (None, D(2026, 1, 1)):
+        with pytest.raises(ValueError, match="without a date"):
+            tables.overwrite_lookback(days(spark, [(D(2026, 1, 1), 2), (None, 3)]), path, "day", 2, newest=newest)
+    assert stored_days(spark, path) == [(1, 1)]
+
+
+@pytest.mark.parametrize("dies_at", ["decide", "first move", "second move", "third move"])
+def test_lookback_that_dies(spark, tmp_path, monkeypatch, dies_at):
+    """Before the manifest nothing has changed; after it the next run finishes the swap."""
+    path = str(tmp_path / "fact")
+    tables.write_fact(days(spark, [(D(2026, 1, d), d) for d in range(1, 6)]), path, "day")
+    before = stored_days(spark, path)
+    late = days(spark, [(D(2026, 1, 3), 13), (D(2026, 1, 5), 15)])
+    moves = []
+    move = swap._move
+
+    def failing(session, old, new):
+        if not old.endswith("draft"):
+            moves.append(old)
+        if dies_at == "decide" or len(moves) > ["first move", "second move", "third move"].index(dies_at):
+            raise KeyboardInterrupt
+        move(session, old, new)
+
+    monkeypatch.setattr(swap, "_move", failing)
+    with pytest.raises(KeyboardInterrupt):
+        tables.overwrite_lookback(late, path, "day", 3)
+    monkeypatch.setattr(swap, "_move", move)
+    if dies_at in ("decide", "first move"):
+        assert stored_days(spark, path) == before
+    swap.finish_swaps(spark, path)
+    after = [(1, 1), (2, 2), (3, 13), (5, 15)]
+    assert stored_days(spark, path) == (before if dies_at == "decide" else after)
+    swap.finish_swaps(spark, path)  # finding nothing to do changes nothing
+    tables.overwrite_lookback(late, path, "day", 3)
+    assert stored_days(spark, path) == after
+
+
+def test_lookback_evaluates_its_rows_once(spark, tmp_path):
+    path, seen = str(tmp_path / "fact"), spark.sparkContext.accumulator(0)
+    tables.write_fact(days(spark, [(D(2026, 1, 1), 1)]), path, "day")
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    late = days(spark, [(D(2026, 1, d), d) for d in (1, 2, 3)]).coalesce(1)
+    tables.overwrite_lookback(late.mapInArrow(count, late.schema), path, "day", 2)
+    assert seen.value == 3
+
+
+def test_published_table_is_replaced_when_complete(spark, tmp_path):
+    path = str(tmp_path / "mart")
+    swap.publish(days(spark, [(D(2026, 1, 1), 1)]), path)
+    broken = days(spark, [(D(2026, 1, 2), 2)]).withColumn("id", F.raise_error(F.lit("broken")).cast("int"))
+    with pytest.raises(Exception, match="broken"):
+        swap.publish(broken, path)
+    assert stored_days(spark, path) == [(1, 1)]
+    assert [tuple(r) for r in swap.publish(days(spark, [(D(2026, 1, 3), 3)]), path).collect()] == [(D(2026, 1, 3), 3)]
 
 
 def test_date_filter_reads_one_partition(spark, tmp_path):

@@ -17,8 +17,9 @@ from orderlens.functions.columns import (
     safe_ratio,
     split_offer,
 )
-from orderlens.operators.joins import with_scalars
+from orderlens.operators.joins import with_scalars, with_totals
 from orderlens.operators.quantiles import quantile_bucket
+from orderlens.operators.ranks import before
 
 # Fixed value: the normal quantile used for every 95% interval.
 Z95 = 1.96
@@ -317,11 +318,18 @@ def proxy_spread(estimates: DataFrame, value: str = "effect_pp") -> DataFrame:
 
 
 def rank_effects(
-    effects: DataFrame, within: str, name: str, value: str = "effect_pp"
+    effects: DataFrame, within: str, name: str, value: str = "effect_pp", cell_rows: int | None = None
 ) -> DataFrame:
-    """Rank groups by effect, largest first, inside each control."""
-    order = Window.partitionBy(within).orderBy(F.col(value).desc(), name)
-    return effects.withColumn("rank", F.row_number().over(order))
+    """Rank groups by effect, largest first, inside each control.
+
+    With ``cell_rows`` a control may have any number of groups; no task holds one whole.
+    """
+    order = [F.col(value).desc(), F.col(name).asc()]
+    if cell_rows is None:
+        place = F.row_number().over(Window.partitionBy(within).orderBy(*order))
+        return effects.withColumn("rank", place)
+    placed = before(effects, order, "rank", by=[within], cell_rows=cell_rows)
+    return placed.withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def ranking_stability(
@@ -333,10 +341,8 @@ def ranking_stability(
     orders = ranked.groupBy(within).agg(
         F.array_join(F.transform(pairs, lambda s: s[name]), " > ").alias("ranking")
     )
-    every = Window.partitionBy(F.lit(0))
-    same = F.min("ranking").over(every) == F.max("ranking").over(every)
-    several = F.count(F.lit(1)).over(every) > 1
-    return orders.withColumn("is_stable", same & several)
+    same = F.min("ranking") == F.max("ranking")
+    return with_totals(orders, is_stable=same & (F.count(F.lit(1)) > 1))
 
 
 def ci_verdict(df: DataFrame, lo: str = "ci_lo", hi: str = "ci_hi") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,6 +45,17 @@ def with_scalars(df: DataFrame, stats: DataFrame) -> DataFrame:
     )
 
 
+def with_totals(df: DataFrame, **totals: Column) -> DataFrame:
+    """Append aggregates over all rows to a table of a few groups, in one aggregation.
+
+    The rows travel through it as one array, so use it only for tables that are small by
+    meaning: one row per arm, type or day.
+    """
+    rows = F.collect_list(F.struct(*df.columns)).alias("_rows")
+    packed = df.agg(rows, *[v.alias(k) for k, v in totals.items()])
+    return packed.select(F.inline("_rows"), *totals)
+
+
 def max_date(df: DataFrame, col: str, out: str = "max_date") -> DataFrame:
     """One row: the newest value of a column."""
     return df.agg(F.max(col).alias(out))

@@ -6,11 +6,12 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.columns import local_date, outcome_bool, safe_ratio
 from orderlens.operators.effects import population
+from orderlens.operators.joins import with_totals
 
 Tables = Mapping[str, DataFrame]
 
@@ -106,13 +107,12 @@ def substitution_by_type(orders: DataFrame) -> DataFrame:
     rows = population(orders, not_cancelled=True, exposed=True)
     kind = F.when(F.col("substitute_offered"), F.col("substitution_type"))
     counted = rows.groupBy(kind.alias("substitution_type")).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    return counted.withColumn("value", safe_ratio(F.col("n"), total))
+    placed = with_totals(counted, _total=F.sum("n"))
+    return placed.select("substitution_type", "n", safe_ratio(F.col("n"), F.col("_total")).alias("value"))
 
 
 def provisional_days(orders: DataFrame, date: str = "order_date_gst", days: int = 1) -> DataFrame:
     """Lag and late share per day; the newest days are marked provisional."""
-    newest = F.max(date).over(Window.partitionBy(F.lit(0)))
     daily = orders.groupBy(date).agg(
         F.avg("ingestion_lag_minutes").alias("mean_lag_minutes"),
         F.max("ingestion_lag_minutes").alias("max_lag_minutes"),
@@ -120,7 +120,9 @@ def provisional_days(orders: DataFrame, date: str = "order_date_gst", days: int
             "late_share"
         ),
     )
-    return daily.withColumn("is_provisional", F.col(date) > F.date_sub(newest, days))
+    dated = with_totals(daily, _newest=F.max(date))
+    late = F.col(date) > F.date_sub("_newest", days)
+    return dated.withColumn("is_provisional", late).drop("_newest")
 
 
 def duplicate_share(events: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions.columns import safe_ratio
 from orderlens.operators.joins import with_scalars
-from orderlens.operators.quantiles import frequencies
+from orderlens.operators.quantiles import frequencies, selected_percentiles
 
 # Fixed value: scales a MAD to a standard deviation under normality.
 MAD_TO_SIGMA = 1.4826
@@ -29,8 +29,13 @@ def entity_activity(df: DataFrame, key: str, date: str) -> DataFrame:
     )
 
 
-def robust_stats(df: DataFrame, col: str, exact: bool = True) -> DataFrame:
-    """One row: median and median absolute deviation of a column."""
+def robust_stats(
+    df: DataFrame, col: str, exact: bool = True, cell_rows: int | None = None
+) -> DataFrame:
+    """One row: median and median absolute deviation of a column.
+
+    ``cell_rows`` selects both medians over cells, for columns with very many values.
+    """
     freq = frequencies(df, col)
 
     def median(of: Column) -> Column:
@@ -38,15 +43,29 @@ def robust_stats(df: DataFrame, col: str, exact: bool = True) -> DataFrame:
             return F.percentile(of, 0.5, F.col("n"))
         return F.percentile_approx(of, 0.5, 10000).cast("double")
 
+    def selected(table: DataFrame) -> Column:
+        return selected_percentiles(table, [0.5], [], cell_rows).select(F.col("percentiles")[0]).scalar()
+
     source = freq if exact else df.select(F.col(col).alias("x"))
-    center = source.agg(median(F.col("x")).alias("m")).scalar()
+    by_cells = exact and cell_rows is not None
+    center = selected(freq) if by_cells else source.agg(median(F.col("x")).alias("m")).scalar()
     off = source.withColumn("med", center).withColumn("dev", F.abs(F.col("x") - F.col("med")))
+    if by_cells:
+        spread = off.groupBy(F.col("dev").alias("x")).agg(F.sum("n").alias("n"))
+        return off.agg(F.max("med").alias("med")).withColumn("mad", selected(spread))
     return off.agg(F.max("med").alias("med"), median(F.col("dev")).alias("mad"))
 
 
-def mad_outliers(df: DataFrame, key: str, col: str, k: float, exact: bool = True) -> DataFrame:
+def mad_outliers(
+    df: DataFrame,
+    key: str,
+    col: str,
+    k: float,
+    exact: bool = True,
+    cell_rows: int | None = None,
+) -> DataFrame:
     """Flag values strictly above median + k scaled MADs; a zero MAD gives NULL."""
-    scored = with_scalars(df, robust_stats(df, col, exact))
+    scored = with_scalars(df, robust_stats(df, col, exact, cell_rows))
     threshold = F.col("med") + k * MAD_TO_SIGMA * F.nullif(F.col("mad"), F.lit(0.0))
     return scored.withColumn("threshold", threshold).withColumn(
         "is_outlier", F.col(col) > F.col("threshold")

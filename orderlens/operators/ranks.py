@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,13 +45,15 @@ def borders(celled: DataFrame, by: Sequence[str], weight: Column) -> DataFrame:
     )
 
 
-def joined(celled: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The cells' rows beside the row of a small table for their group and cell."""
-    other = small.withColumnsRenamed({n: f"_of_{n}" for n in [*by, "_cell"]})
-    same = F.col("_cell") == F.col("_of__cell")
-    for n in by:
-        same &= F.col(n).eqNullSafe(F.col(f"_of_{n}"))
-    return celled.join(other, same).drop(*[f"_of_{n}" for n in [*by, "_cell"]])
+def beside(df: DataFrame, groups: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """The rows beside their group's row of another table, NULL groups matching NULL.
+
+    Without group columns the other table has one row.
+    """
+    other = groups.withColumnsRenamed({n: f"_of_{n}" for n in by})
+    equal = [F.col(n).eqNullSafe(F.col(f"_of_{n}")) for n in by]
+    found = df.join(other, reduce(lambda a, b: a & b, equal, F.lit(True)), how)
+    return found.drop(*[f"_of_{n}" for n in by])
 
 
 def before(
@@ -72,7 +75,7 @@ def before(
     prior = Window.partitionBy(*by, "_cell").orderBy(*order)
     prior = prior.rowsBetween(Window.unboundedPreceding, -1)
     counted = celled.withColumn("_prior", F.coalesce(F.sum(each).over(prior), F.lit(0)))
-    placed = joined(counted, borders(celled, by, each), by)
+    placed = beside(counted, borders(celled, by, each), [*by, "_cell"])
     added = {out: F.col("_start") + F.col("_prior")}
     if total:
         added[total] = F.col("_total")
@@ -116,10 +119,6 @@ def with_rank(
     """
     ranks = value_ranks(df, col, "_rank", by=by, descending=descending, cell_rows=cell_rows)
     rank = F.col("_rank") + (F.col("n") - 1) / 2 if mid else F.col("_rank")
-    other = ranks.select(
-        *[F.col(n).alias(f"_of_{n}") for n in by], F.col(col).alias("_value"), rank.alias(out)
-    )
-    same = F.col(col) == F.col("_value")
-    for n in by:
-        same &= F.col(n).eqNullSafe(F.col(f"_of_{n}"))
-    return df.join(other, same, "left").select(*df.columns, out)
+    other = ranks.select(*by, F.col(col).alias("_value"), rank.alias(out))
+    placed = beside(df.withColumn("_value", F.col(col)), other, [*by, "_value"], "left")
+    return placed.select(*df.columns, F.when(F.col(col).isNotNull(), F.col(out)).alias(out))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.columns import safe_ratio
+from orderlens.operators.ranks import before
+from orderlens.session import keep
 
 
 def score_flag(pred: DataFrame, truth: DataFrame, key: str, flag: str, label: str) -> DataFrame:
@@ -39,21 +41,41 @@ def within_tolerance(
 
 
 def rank_matches(
-    estimates: DataFrame, truth: DataFrame, key: str, estimate: str, value: str
+    estimates: DataFrame,
+    truth: DataFrame,
+    key: str,
+    estimate: str,
+    value: str,
+    cell_rows: int | None = None,
 ) -> DataFrame:
-    """Whether groups ordered by estimate come in the order of the true values."""
+    """Whether groups ordered by estimate come in the order of the true values.
+
+    Ties go to the smaller key. A few groups are ranked as one sorted array; with
+    ``cell_rows`` there may be any number, ranked over cells of a range partition.
+    """
     joined = estimates.select(key, estimate).join(truth.select(key, value), key)
-    everything = Window.partitionBy(F.lit(0))
-    ranked = joined.withColumns(
-        {
-            "estimated_rank": F.row_number().over(everything.orderBy(F.col(estimate).desc())),
-            "true_rank": F.row_number().over(everything.orderBy(F.col(value).desc())),
-        }
-    )
-    return ranked.withColumn(
-        "order_recovered",
-        F.bool_and(F.col("estimated_rank") == F.col("true_rank")).over(everything),
-    )
+    if cell_rows is None:
+        ranked = joined
+        for column, out in ((estimate, "estimated_rank"), (value, "true_rank")):
+            ranked = _few_ranked(ranked, key, column, out)
+    else:
+        ranked = joined
+        for column, out in ((estimate, "estimated_rank"), (value, "true_rank")):
+            order = [F.col(column).desc(), F.col(key).asc()]
+            ranked = before(ranked, order, out, cell_rows=cell_rows)
+            ranked = ranked.withColumn(out, (F.col(out) + 1).cast("int"))
+        ranked = keep(ranked)
+    same = ranked.agg(F.bool_and(F.col("estimated_rank") == F.col("true_rank"))).scalar()
+    return ranked.withColumn("order_recovered", same)
+
+
+def _few_ranked(df: DataFrame, key: str, column: str, out: str) -> DataFrame:
+    """The place of each row in the falling order of a column, through one array of all."""
+    v = F.col(column)
+    row = F.struct(*df.columns).alias("_row")
+    rows = F.sort_array(F.collect_list(F.struct(v.isNull(), (-v).alias("_v"), F.col(key).alias("_k"), row)))
+    placed = df.agg(rows.alias("_rows")).select(F.posexplode("_rows"))
+    return placed.select("col._row.*", (F.col("pos") + 1).alias(out))
 
 
 def covers(df: DataFrame, value: float, lo: str = "ci_lo", hi: str = "ci_hi") -> DataFrame:

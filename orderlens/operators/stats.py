@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.columns import safe_ratio
 from orderlens.functions.tails import chi2_critical, chi2_p, student_p
+from orderlens.operators.ranks import with_rank
 
 
 def split_statistics(n_a: Column, n_b: Column, expected: float) -> dict[str, Column]:
@@ -138,21 +139,30 @@ def welch_t(
     return out.withColumn("p_value", student_p(F.col("welch_t"), F.col("df")))
 
 
-def spearman(groups: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+def spearman(
+    groups: DataFrame, x: str, y: str, by: Sequence[str] = (), cell_rows: int | None = None
+) -> DataFrame:
     """Rank correlation over a table of ordered groups, ties at their mean rank.
 
-    The input is one row per group (a band, a quintile), so it is small by
-    meaning; ranks come from windows over it.
+    The input is usually one row per group (a band, a quintile), few by meaning: its ranks
+    come from the arrays of both columns. With ``cell_rows`` it may have any number of rows,
+    ranked over cells of a range partition.
     """
-    part = [F.col(c) for c in by] or [F.lit(0)]
-
-    def mid_rank(col: str) -> Column:
-        low = F.rank().over(Window.partitionBy(*part).orderBy(col))
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*part, col))
-        return low + (ties - 1) / 2
-
     known = groups.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = known.withColumns({"_rx": mid_rank(x), "_ry": mid_rank(y)})
+    if cell_rows is None:
+        lists = known.groupBy(*by).agg(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))).alias("_g"))
+
+        def mid_ranks(part: str) -> Column:
+            every = F.col("_g")[part]
+            lower = F.transform(every, lambda v: F.size(F.filter(every, lambda o: o < v)))
+            ties = F.transform(every, lambda v: F.size(F.filter(every, lambda o: o == v)))
+            return F.zip_with(lower, ties, lambda low, n: low + (n + 1) / 2)
+
+        both = F.arrays_zip(mid_ranks("x").alias("_rx"), mid_ranks("y").alias("_ry"))
+        ranked = lists.select(*by, F.inline(both).alias("_rx", "_ry"))
+    else:
+        ranked = with_rank(known, x, "_rx", by=by, mid=True, cell_rows=cell_rows)
+        ranked = with_rank(ranked, y, "_ry", by=by, mid=True, cell_rows=cell_rows)
     out = ranked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_groups"), F.corr("_rx", "_ry").alias("rho")
     )

@@ -744,6 +744,21 @@ _BODIES = {
         FROM focal JOIN e ON e.segment = focal.segment)
       SELECT segment, bucket, count(*) AS orders, min(n_items) AS smallest,
         max(n_items) AS largest FROM b GROUP BY ALL""",
+    "value_buckets": """
+      WITH v AS (SELECT round(gross_value_aed, 2) AS v FROM clean_orders),
+      e AS (SELECT list_sort(list_distinct(quantile_cont(v, [i / 10.0 for i in range(11)]))) AS e FROM v),
+      b AS (SELECT v, CAST(len(list_filter(e[2:-2], lambda x: x < v)) AS INT) AS bucket FROM v, e)
+      SELECT bucket, count(*) AS orders, min(v) AS smallest, max(v) AS largest FROM b GROUP BY bucket""",
+    "value_profile_by_store": """SELECT darkstore_id, count(v) AS n, min(v) AS lowest,
+        round(median(v), 8) AS median, round(quantile_cont(v, 0.99), 8) AS p99, max(v) AS highest
+      FROM (SELECT darkstore_id, round(gross_value_aed, 2) AS v FROM clean_orders) GROUP BY 1""",
+    "value_outliers": """
+      WITH v AS (SELECT round(gross_value_aed, 2) AS v FROM clean_orders),
+      m AS (SELECT median(v) AS med FROM v),
+      s AS (SELECT med, median(abs(v - med)) AS mad FROM v, m GROUP BY med)
+      SELECT round(med, 8) AS med, round(mad, 8) AS mad, count(*) AS orders,
+        count(*) FILTER (v > med + 3 * 1.4826 * nullif(mad, 0)) AS outliers
+      FROM v, s GROUP BY med, mad""",
     "stratified_effect": f"""WITH s AS (SELECT basket_q, {_ARMS}, count(*) AS n FROM strata
           GROUP BY basket_q),
       a AS (SELECT count(*) AS n_strata,
@@ -833,6 +848,12 @@ _BODIES = {
           rank() OVER (ORDER BY c) + (count(*) OVER (PARTITION BY c) - 1) / 2.0 AS rc FROM b)
       SELECT count(*) AS n_groups, round(corr(ro, rf), 8) AS rho, 'item_fill_macro' AS rate FROM r
       UNION ALL SELECT count(*), round(corr(ro, rc), 8), 'order_fill' FROM r""",
+    "spearman_customers": """WITH r AS (
+        SELECT rank() OVER (ORDER BY order_count) + (count(*) OVER (PARTITION BY order_count) - 1) / 2.0 AS x,
+          rank() OVER (ORDER BY orders_per_active_day)
+            + (count(*) OVER (PARTITION BY orders_per_active_day) - 1) / 2.0 AS y
+        FROM activity)
+      SELECT count(*) AS n_groups, round(corr(x, y), 8) AS rho FROM r""",
     "mde": """SELECT least(nc, nt) AS n_per_arm, round(rc * 1.0 / nc, 8) AS baseline_rate,
         round((1.959963984540054 + 0.8416212335729143)
           * sqrt(2.0 * rc / nc * (1 - rc * 1.0 / nc) / least(nc, nt)) * 100, 8) AS mde_pp
@@ -882,6 +903,12 @@ _BODIES = {
         WHERE control = 'B_vs_not_offered')
       SELECT *, (SELECT bool_and(estimated_rank = true_rank) FROM r) AS order_recovered
       FROM r""",
+    "rank_matches_customers": """WITH r AS (
+        SELECT customer_id, round(orders_per_active_day, 8) AS orders_per_active_day, order_count,
+          CAST(row_number() OVER (ORDER BY orders_per_active_day DESC, customer_id) AS INT) AS estimated_rank,
+          CAST(row_number() OVER (ORDER BY order_count DESC, customer_id) AS INT) AS true_rank
+        FROM activity)
+      SELECT *, (SELECT bool_and(estimated_rank = true_rank) FROM r) AS order_recovered FROM r""",
     "covers_zero": f"""SELECT 'exposed' AS population, effect_pp, ci_lo, ci_hi,
         0 BETWEEN ci_lo AND ci_hi AS covers FROM ({_EXPOSED_GAP})""",
     "srm_consistency": """SELECT a AS detected_at_assignment, e AS detected_at_exposure,

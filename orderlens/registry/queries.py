@@ -553,6 +553,34 @@ def quantile_buckets_by_segment(c: Context) -> DataFrame:
     )
 
 
+def _order_values(c: Context) -> DataFrame:
+    value = F.round("gross_value_aed", 2).alias("value_aed")
+    return c.clean_orders.select("order_id", "darkstore_id", value)
+
+
+@query
+def value_buckets(c: Context) -> DataFrame:
+    """Tenths of a continuous column, by selection over cells."""
+    cut = quantile_bucket(_order_values(c), "value_aed", 10, "bucket", cell_rows=P.cell_rows)
+    return cut.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("orders"), F.min("value_aed").alias("smallest"),
+        F.max("value_aed").alias("largest"),
+    )
+
+
+@query
+def value_profile_by_store(c: Context) -> DataFrame:
+    return rounded(quantile_profile(_order_values(c), "value_aed", ["darkstore_id"], cell_rows=P.cell_rows))
+
+
+@query
+def value_outliers(c: Context) -> DataFrame:
+    flagged = outliers.mad_outliers(_order_values(c), "order_id", "value_aed", 3.0, cell_rows=P.cell_rows)
+    return rounded(flagged.groupBy("med", "mad").agg(
+        F.count(F.lit(1)).alias("orders"), F.count_if("is_outlier").alias("outliers")
+    ))
+
+
 @query
 def stratified_effect(c: Context) -> DataFrame:
     strata = E.basket_strata(c.focal)
@@ -687,6 +715,13 @@ def spearman_rho(c: Context) -> DataFrame:
     return rounded(metrics.stack(*parts).drop("p_value"))
 
 
+@query
+def spearman_customers(c: Context) -> DataFrame:
+    """Rank correlation over all customers, with very many ties."""
+    found = stats.spearman(c.activity, "order_count", "orders_per_active_day", cell_rows=P.cell_rows)
+    return rounded(found.drop("p_value"))
+
+
 @query
 def mde(c: Context) -> DataFrame:
     return rounded(X.power(c.arms))
@@ -843,6 +878,15 @@ def rank_matches(c: Context) -> DataFrame:
     )
 
 
+@query
+def rank_matches_customers(c: Context) -> DataFrame:
+    """Every customer ranked by orders per active day and by orders."""
+    rate, count = (c.activity.select("customer_id", n) for n in ("orders_per_active_day", "order_count"))
+    return rounded(scoring.rank_matches(
+        rate, count, "customer_id", "orders_per_active_day", "order_count", P.cell_rows
+    ))
+
+
 @query
 def covers_zero(c: Context) -> DataFrame:
     shown = X.readout(c.arms, "exposed").select("population", "effect_pp", "ci_lo", "ci_hi")

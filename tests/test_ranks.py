@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from orderlens.operators.ranks import before, value_ranks, with_rank
 
@@ -47,3 +48,70 @@ def test_cells_hold_no_hot_value(table):
     _, df = table
     counted = df.groupBy("x").count()
     assert max(r["count"] for r in cells(counted, [], ["x"], 2).groupBy("_cell").count().collect()) <= 3
+
+
+@pytest.mark.parametrize("cell_rows", [3, 1_000_000])
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_selected_percentiles_equal_the_merged_ones(table, cell_rows, by):
+    from orderlens.operators.quantiles import exact_percentiles, quantile_bucket, quantile_profile
+
+    _, df = table
+    points = [0.0, 0.1, 0.25, 0.5, 0.731, 0.99, 1.0]
+    got = sorted(map(repr, exact_percentiles(df, "id", points, by, cell_rows=cell_rows).collect()))
+    want = exact_percentiles(df, "id", points, by).collect()
+    assert got == sorted(map(repr, want)) and len(got) == (3 if by else 1)
+    cut = quantile_bucket(df, "x", 4, "b", by, cell_rows=cell_rows)
+    assert sorted(map(repr, cut.collect())) == sorted(map(repr, quantile_bucket(df, "x", 4, "b", by).collect()))
+    if by:
+        shown = quantile_profile(df, "x", by, cell_rows=cell_rows)
+        assert sorted(map(repr, shown.collect())) == sorted(map(repr, quantile_profile(df, "x", by).collect()))
+
+
+def test_selection_on_an_empty_table(spark):
+    from orderlens.operators.quantiles import exact_percentiles
+
+    empty = spark.createDataFrame([], "g string, x double")
+    assert exact_percentiles(empty, "x", [0.5], cell_rows=5).collect()[0][0] == [None]
+    assert exact_percentiles(empty, "x", [0.5], ["g"], cell_rows=5).collect() == []
+
+
+def test_robust_statistics_by_cells(table):
+    from orderlens.operators.outliers import mad_outliers
+
+    _, df = table
+    plain = mad_outliers(df, "id", "id", 1.0).collect()
+    assert sorted(mad_outliers(df, "id", "id", 1.0, cell_rows=20).collect()) == sorted(plain)
+
+
+def test_rank_matches_and_spearman_by_cells(spark):
+    from orderlens.operators.scoring import rank_matches
+    from orderlens.operators.stats import spearman
+
+    draw = random.Random(7)
+    rows = [(i, float(draw.randrange(9)), draw.randrange(20)) for i in range(200)]
+    a = spark.createDataFrame([(i, x) for i, x, _ in rows], "k long, e double")
+    b = spark.createDataFrame([(i, y) for i, _, y in rows], "k long, v long")
+    few, many = rank_matches(a, b, "k", "e", "v"), rank_matches(a, b, "k", "e", "v", cell_rows=13)
+    assert few.columns == many.columns and sorted(few.collect()) == sorted(many.collect())
+    order = sorted(rows, key=lambda r: (-r[1], r[0]))
+    assert {r.k: r.estimated_rank for r in many.collect()} == {r[0]: i for i, r in enumerate(order, 1)}
+    assert not few.first().order_recovered
+    assert rank_matches(a, a.toDF("k", "v"), "k", "e", "v", cell_rows=13).first().order_recovered
+    both = a.join(b, "k")
+    one, two = spearman(both, "e", "v").first(), spearman(both, "e", "v", cell_rows=13).first()
+    assert one.n_groups == two.n_groups == 200 and one.rho == pytest.approx(two.rho, abs=1e-12)
+
+
+def test_no_window_over_one_group(spark):
+    """Read-outs over few groups use arrays; those over many use cells."""
+    from orderlens.operators import effects, metrics, scoring, stats
+
+    df = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0)], "k string, n string, v double")
+    for out in (
+        scoring.rank_matches(df.select("k", "v"), df.select("k", F.col("v").alias("w")), "k", "v", "w"),
+        effects.ranking_stability(df, "k", "n", "v"),
+        stats.spearman(df, "v", "v"),
+    ):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        keys = [line.split("], [")[1].split("#")[0] for line in plan.splitlines() if "Window [" in line]
+        assert set(keys) <= {"k"}, keys

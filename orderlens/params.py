@@ -35,6 +35,9 @@ class Params:
     # None keeps every key whole.
     hot_rows: int | None = 4_000_000
     cell_rows: int = 1_000_000
+    # A stored dimension with more versions of one key than this is joined by carrying the
+    # last version forward, not by comparing each fact with each version.
+    many_versions: int = 64
 
 
 # The end of an open validity range, and the swap types from the

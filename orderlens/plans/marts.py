@@ -88,7 +88,7 @@ def calendar(spark: SparkSession, start: str | Column, end: str | Column) -> Dat
 
 
 def fct_order_items(
-    items: DataFrame, orders: DataFrame, products: DataFrame, p: Params
+    items: DataFrame, orders: DataFrame, products: DataFrame, p: Params, carry: bool = False
 ) -> DataFrame:
     """Order lines with the price and category live on the order date."""
     placed = orders.select("order_id", "customer_id", "darkstore_id", "order_date_gst")
@@ -98,6 +98,7 @@ def fct_order_items(
         "product_id",
         "order_date_gst",
         ["product_key", "category", "is_category_unmapped", "base_price_aed"],
+        carry=carry,
     )
     return priced.select(
         "order_id",
@@ -119,7 +120,11 @@ def fct_order_items(
 
 
 def fct_orders(
-    items: DataFrame, orders: DataFrame, fulfilment: DataFrame, stores: DataFrame
+    items: DataFrame,
+    orders: DataFrame,
+    fulfilment: DataFrame,
+    stores: DataFrame,
+    carry: bool = False,
 ) -> DataFrame:
     """One row per order with items; both fill rates side by side.
 
@@ -135,7 +140,12 @@ def fct_orders(
     )
     joined = orders.join(rollup_items(items), "order_id").join(picked, "order_id", "left")
     placed = scd2_join(
-        joined, stores, "darkstore_id", "order_date_gst", ["darkstore_key", "opened_on"]
+        joined,
+        stores,
+        "darkstore_id",
+        "order_date_gst",
+        ["darkstore_key", "opened_on"],
+        carry=carry,
     )
     clean = F.col("n_items") - F.col("n_stocked_out")
     return placed.select(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from orderlens.operators import staging
 from orderlens.operators.outliers import customer_activity, detect_test_accounts
+from orderlens.operators.scd2 import most_versions
 from orderlens.operators.timeline import hot_limit
 from orderlens.params import Params
 from orderlens.plans import marts
@@ -149,9 +150,17 @@ class Warehouse:
         start = p.calendar_start or str(first)
         return marts.calendar(self.spark, start, p.calendar_end or str(last + timedelta(days=1)))
 
+    def _carries(self, dim: str, key: str) -> bool:
+        """Whether a key of a stored dimension has so many versions that a join carries them."""
+        return bool(self.root) and most_versions(self[dim], key) > self.params.many_versions
+
     def _fct_order_items(self) -> DataFrame:
         return marts.fct_order_items(
-            self["stg_order_items"], self["stg_orders"], self["dim_product"], self.params
+            self["stg_order_items"],
+            self["stg_orders"],
+            self["dim_product"],
+            self.params,
+            self._carries("dim_product", "product_id"),
         )
 
     def _fct_orders(self) -> DataFrame:
@@ -160,6 +169,7 @@ class Warehouse:
             self["stg_orders"],
             self["stg_fulfilment"],
             self["dim_darkstore"],
+            self._carries("dim_darkstore", "darkstore_id"),
         )
 
     def _fct_customer_orders(self) -> DataFrame:

@@ -631,6 +631,23 @@ _BODIES = {
       FROM v a JOIN v b ON a.product_id = b.product_id AND a.product_key <> b.product_key
         AND a.valid_from < b.valid_from AND b.valid_from < a.valid_to
       GROUP BY ALL""",
+    "scd2_overlap_pairs": """WITH v AS (SELECT * REPLACE (CASE WHEN is_current THEN valid_to
+          ELSE CAST(valid_to + 30 AS DATE) END AS valid_to) FROM dim_product)
+      SELECT a.product_id, a.valid_from AS valid_from_a, a.valid_to AS valid_to_a,
+        b.valid_from AS valid_from_b, b.valid_to AS valid_to_b
+      FROM v a JOIN v b ON a.product_id = b.product_id AND a.valid_from < b.valid_from
+        AND b.valid_from < a.valid_to""",
+    "scd2_asof_many_versions": """
+      WITH l AS (SELECT product_id % 3 AS key, CAST(order_date_gst + (product_id % 5)::INT AS DATE) AS day,
+          order_date_gst AS since, quantity FROM fct_order_items),
+      v AS (SELECT key, since, units, lead(since) OVER (PARTITION BY key ORDER BY since) AS until
+        FROM (SELECT key, since, sum(quantity) AS units FROM l GROUP BY ALL)),
+      p AS (SELECT l.key, l.day,
+          CASE WHEN l.day < least(v.until, CAST(v.since + 2 AS DATE)) THEN v.units END AS units
+        FROM l ASOF LEFT JOIN v ON l.key = v.key AND l.day >= v.since)
+      SELECT key, CAST(date_trunc('month', day) AS DATE) AS month, count(*) AS lines,
+        count(units) AS dated, CAST(sum(units) AS BIGINT) AS units
+      FROM p GROUP BY ALL""",
     # --- facts
     "order_items_fact": """SELECT * REPLACE (round(base_price_aed, 8) AS base_price_aed,
         round(line_value_aed, 8) AS line_value_aed) FROM fct_order_items""",

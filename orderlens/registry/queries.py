@@ -326,6 +326,35 @@ def scd2_overlaps(c: Context) -> DataFrame:
     return scd2.check_no_overlap(_overlapping_products(c), "product_id")
 
 
+@query
+def scd2_overlap_pairs(c: Context) -> DataFrame:
+    return scd2.overlapping_pairs(_overlapping_products(c), "product_id")
+
+
+@query
+def scd2_asof_many_versions(c: Context) -> DataFrame:
+    """Three keys with a version for each order date, each joined to a third of all lines."""
+    lines = c.stored["fct_order_items"].select(
+        (F.col("product_id") % 3).alias("key"),
+        "order_id",
+        "product_id",
+        F.date_add("order_date_gst", (F.col("product_id") % 5).cast("int")).alias("day"),
+        F.col("order_date_gst").alias("since"),
+        "quantity",
+    )
+    daily = lines.groupBy("key", "since").agg(F.sum("quantity").alias("units"))
+    versions = scd2.scd2_from_changes(daily, ["key"], "since")
+    closed = versions.withColumn("valid_to", F.least("valid_to", F.date_add("valid_from", 2)))
+    share = max(lines.count() // 20, 1)
+    priced = scd2.asof_join(
+        lines.select("key", "order_id", "product_id", "day"), closed, "key", "day", ["units"],
+        hot_rows=share, cell_rows=share,
+    )
+    return priced.groupBy("key", F.trunc("day", "month").alias("month")).agg(
+        F.count(F.lit(1)).alias("lines"), F.count("units").alias("dated"), F.sum("units").alias("units")
+    )
+
+
 # --- facts -----------------------------------------------------------------
 @query
 def order_items_fact(c: Context) -> DataFrame:

@@ -1,9 +1,16 @@
 import datetime as dt
+import random
 
 import pytest
 
 from orderlens.operators import checks
-from orderlens.operators.scd2 import check_no_overlap, scd2_from_changes, scd2_join
+from orderlens.operators.scd2 import (
+    asof_join,
+    check_no_overlap,
+    overlapping_pairs,
+    scd2_from_changes,
+    scd2_join,
+)
 
 D = dt.date
 END = D(2999, 12, 31)
@@ -86,3 +93,57 @@ def test_same_column_on_both_sides_is_refused(spark):
     versions = dim(spark, [(1, 1.0, D(2026, 1, 1), END)])
     with pytest.raises(ValueError):
         scd2_join(fact(spark, (1, D(2026, 1, 2))), versions, "pid", "day", ["pid"])
+
+
+def brute_pairs(rows):
+    out = []
+    live = sorted((k, a, b, i) for i, (k, a, b) in enumerate(rows) if a < b)
+    for x in range(len(live)):
+        for y in range(x + 1, len(live)):
+            (k, a, b, _), (m, c, d, _) = live[x], live[y]
+            if k == m and c < b:
+                out.append((k, a, b, c, d))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("limits", [{}, {"hot_rows": 20, "cell_rows": 7}])
+def test_overlapping_pairs_equal_all_pairs(spark, limits):
+    draw = random.Random(3)
+    rows = []
+    for _ in range(300):
+        start = D(2026, 1, 1) + dt.timedelta(days=draw.randrange(2000))
+        rows.append((draw.choice([1, 1, 1, 2, 3]), start, start + dt.timedelta(days=draw.randrange(40))))
+    rows += [(4, D(2026, 1, 1), END)] + [(4, D(2026, 2, d), D(2026, 2, d + 1)) for d in range(1, 20)]
+    dim = spark.createDataFrame([(*r, 1) for r in rows], "pid int, valid_from date, valid_to date, x int")
+    got = overlapping_pairs(dim.repartition(3), "pid", **limits)
+    assert got.columns == ["pid", "valid_from_a", "valid_to_a", "valid_from_b", "valid_to_b"]
+    assert sorted(map(tuple, got.collect())) == brute_pairs(rows)
+    assert overlapping_pairs(dim.limit(0), "pid").collect() == []
+
+
+@pytest.mark.parametrize("limits", [{}, {"hot_rows": 30, "cell_rows": 11}])
+def test_asof_join_equals_the_keyed_join(spark, limits):
+    draw = random.Random(5)
+    rows, day = [], D(2026, 1, 1)
+    for i in range(150):  # one key of many versions with gaps
+        until = day + dt.timedelta(days=draw.randrange(0, 4))
+        rows.append((1, float(i), day, until))
+        day = until + dt.timedelta(days=draw.choice([0, 0, 1]))
+    rows += [(2, 7.0, D(2026, 1, 5), END), (3, None, D(2026, 1, 5), END)]
+    facts = [(draw.choice([1, 1, 1, 2, 3, 9]), D(2026, 1, 1) + dt.timedelta(days=draw.randrange(300))) for _ in range(400)]
+    facts += [(1, D(2026, 2, 1))] * 60 + [(None, D(2026, 2, 1)), (1, None), (None, None), (1, D(2020, 1, 1))]
+    left, versions = fact(spark, *facts), dim(spark, rows)
+    want = sorted(map(repr, scd2_join(left, versions, "pid", "day", ["price"]).collect()))
+    got = asof_join(left, versions, "pid", "day", ["price"], **limits)
+    assert got.columns == ["pid", "day", "price"]
+    assert sorted(map(repr, got.collect())) == want and len(want) == len(facts)
+    assert sorted(map(repr, scd2_join(left, versions, "pid", "day", ["price"], carry=True).collect())) == want
+
+
+def test_asof_join_meets_no_versions_in_a_join(spark):
+    versions = dim(spark, [(1, 1.0, D(2026, 1, 1), END)])
+    joined = asof_join(fact(spark, (1, D(2026, 1, 2))), versions, "pid", "day", ["price"], hot_rows=None)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" in plan
+    with pytest.raises(ValueError):
+        asof_join(fact(spark, (1, D(2026, 1, 2))), versions, "pid", "day", ["pid"])

@@ -666,6 +666,17 @@ _BODIES = {
         lag(ordered_at_gst) OVER s AS prev_ordered_at_gst,
         date_diff('day', ordered_at_gst, lead(ordered_at_gst) OVER s) AS days_to_next_order
       FROM moved WINDOW s AS (PARTITION BY customer_id ORDER BY ordered_at_gst, order_id)""",
+    "customer_sequence_lookback": f"""WITH kept AS (
+        SELECT order_id, customer_id, ordered_at_gst, order_date_gst, is_late_arriving FROM fct_orders
+        WHERE NOT is_cancelled AND (NOT is_late_arriving OR order_date_gst >
+          (SELECT max(order_date_gst) FROM fct_orders WHERE NOT is_cancelled) - {LOOKBACK_DAYS}))
+      SELECT *, row_number() OVER s AS order_seq,
+        count(*) OVER (PARTITION BY customer_id) AS customer_lifetime_orders,
+        lead(ordered_at_gst) OVER s AS next_ordered_at_gst,
+        lag(ordered_at_gst) OVER s AS prev_ordered_at_gst,
+        row_number() OVER s - 1 AS prior_order_count,
+        date_diff('day', ordered_at_gst, lead(ordered_at_gst) OVER s) AS days_to_next_order
+      FROM kept WINDOW s AS (PARTITION BY customer_id ORDER BY ordered_at_gst, order_id)""",
     "customer_orders_fact": """SELECT * REPLACE (round(gross_value_aed, 8) AS gross_value_aed,
         round(item_fill_rate, 8) AS item_fill_rate) FROM fct_customer_orders""",
     "sessions_fact": """SELECT * REPLACE (round(gross_value_aed, 8) AS gross_value_aed)

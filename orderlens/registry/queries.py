@@ -6,6 +6,7 @@ import hashlib
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import timedelta
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,7 @@ from orderlens.operators import grain as G
 from orderlens.operators import joins as J
 from orderlens.operators.quantiles import quantile_bucket, quantile_profile
 from orderlens.operators.timeline import sequence
-from orderlens.plans import marts, reports
+from orderlens.plans import incremental, marts, reports
 from orderlens.plans.run import score_run
 from orderlens.plans.warehouse import Warehouse
 from orderlens.session import configure, keep, work_dir
@@ -405,6 +406,20 @@ def customer_sequence_batch(c: Context) -> DataFrame:
         "prev_ordered_at_gst", "days_to_next_order")
 
 
+@query
+def customer_sequence_lookback(c: Context) -> DataFrame:
+    """A stored sequence without its late orders, after the lookback has brought the recent ones."""
+    orders = c.stored["fct_orders"].filter("NOT is_cancelled").select(
+        "order_id", "customer_id", "ordered_at_gst", "order_date_gst", "is_late_arriving"
+    )
+    path = c.fresh("sequence")
+    incremental.store_sequence(orders.filter("NOT is_late_arriving"), path, parts=16, params=P)
+    newest = orders.agg(F.max("order_date_gst")).first()[0]
+    cut = newest - timedelta(days=LOOKBACK_DAYS)
+    incremental.resequence(orders, path, "order_date_gst", cut, newest, parts=16, params=P)
+    return tables.read_mart(c.spark, *path.rsplit("/", 1)).drop("part")
+
+
 @query
 def customer_orders_fact(c: Context) -> DataFrame:
     return rounded(c.stored["fct_customer_orders"])

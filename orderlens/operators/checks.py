@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions.columns import safe_ratio
 from orderlens.operators.scd2 import check_no_overlap
+from orderlens.session import keep
 
 
 def null_in(cols: Sequence[str]) -> Column:
@@ -119,77 +120,118 @@ ACCEPTED = (
 )
 
 
-def _row_checks() -> dict[str, list[tuple[str, str, Column]]]:
-    """table -> (check, column, violating condition), for checks of single rows."""
-    rows: dict[str, list[tuple[str, str, Column]]] = {}
-    for table, column in NOT_NULL:
-        rows.setdefault(table, []).append(("not_null", column, null_in([column])))
-    for table, column, values in ACCEPTED:
-        rows[table].append(("accepted_values", column, outside(column, values)))
-    rows["fct_orders"].append(("range", "item_fill_rate", beyond("item_fill_rate", 0, 1)))
-    rows["fct_order_items"].append(("version_found", "product_key", null_in(["product_key"])))
-    return rows
+RELATIONSHIPS = (("fct_orders", "customer_id", "dim_customer", "customer_id"),)
+
+Result = tuple[str, str, str, Column]  # check, table, column, number of violations
+
+
+def _inline(one_row: DataFrame, found: Sequence[Result]) -> DataFrame:
+    """One row per check from a single row of counts."""
+    rows = [
+        F.struct(
+            F.lit(check).alias("check"),
+            F.lit(table).alias("table_name"),
+            F.lit(column).alias("column_name"),
+            n.cast("bigint").alias("n_violations"),
+            (n == 0).alias("passed"),
+        )
+        for check, table, column, n in found
+    ]
+    return one_row.select(F.inline(F.array(*rows)))
+
 
+def _key_results(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Uniqueness, missing keys and relationships of all tables, through one exchange.
 
-def _row_results(table: str, df: DataFrame, found: list[tuple[str, str, Column]]) -> DataFrame:
-    """All row checks of a table from one scan of it."""
-    counts = df.agg(*[F.count_if(bad).alias(f"_{i}") for i, (_, _, bad) in enumerate(found)])
-    rows = F.array(
-        *[
+    Every row is expanded to the keys that some check looks at, named by the check, and
+    counted per check and key before and after it travels. A relationship counts child and
+    parent keys in one group, so it needs no join.
+    """
+    looked: dict[str, list[tuple[int, str, bool]]] = {}
+    for i, (table, column) in enumerate(UNIQUE):
+        looked.setdefault(table, []).append((i, column, False))
+    for i, (child, fk, parent, pk) in enumerate(RELATIONSHIPS, len(UNIQUE)):
+        looked.setdefault(child, []).append((i, fk, False))
+        looked.setdefault(parent, []).append((i, pk, True))
+
+    def expanded(table: str) -> DataFrame:
+        keys = [
             F.struct(
-                F.lit(check).alias("check"),
-                F.lit(table).alias("table_name"),
-                F.lit(column).alias("column_name"),
-                F.col(f"_{i}").alias("n_violations"),
-                (F.col(f"_{i}") == 0).alias("passed"),
+                F.lit(i).alias("check"), F.col(c).cast("string").alias("key"), F.lit(p).alias("parent")
             )
-            for i, (check, column, _) in enumerate(found)
+            for i, c, p in looked[table]
         ]
+        return tables[table].select(F.inline(F.array(*keys)))
+
+    counts = reduce(DataFrame.unionByName, map(expanded, looked)).groupBy("check", "key").agg(
+        F.count_if(~F.col("parent")).alias("n"), F.bool_or("parent").alias("known")
+    )
+    missing = F.col("key").isNull()
+    sums, found = [], []
+    for i, (table, column) in enumerate(UNIQUE):
+        mine = F.col("check") == i
+        sums.append(F.count_if(mine & (F.col("n") > 1)).alias(f"unique_{i}"))
+        sums.append(F.coalesce(F.sum(F.when(mine & missing, F.col("n"))), F.lit(0)).alias(f"null_{i}"))
+        found.append(("unique", table, column, F.col(f"unique_{i}")))
+        found.append(("not_null", table, column, F.col(f"null_{i}")))
+    for i, (table, column, _, _) in enumerate(RELATIONSHIPS, len(UNIQUE)):
+        orphan = (F.col("check") == i) & ~missing & ~F.col("known")
+        sums.append(F.count_if(orphan).alias(f"orphans_{i}"))
+        found.append(("relationship", table, column, F.col(f"orphans_{i}")))
+    return _inline(counts.agg(*sums), found)
+
+
+def _row_results(table: str, df: DataFrame, found: Sequence[Result]) -> DataFrame:
+    """All row checks of a table from one scan of it; a violation is a condition on a row."""
+    counts = df.agg(*[F.count_if(bad).alias(f"_{i}") for i, (*_, bad) in enumerate(found)])
+    return _inline(counts, [(c, t, col, F.col(f"_{i}")) for i, (c, t, col, _) in enumerate(found)])
+
+
+def _order_days(orders: DataFrame, found: Sequence[Result]) -> DataFrame:
+    """One row per date: violations of the row checks, and both fill rates; kept."""
+    return keep(
+        orders.groupBy("order_date_gst").agg(
+            *[F.count_if(bad).alias(f"_{i}") for i, (*_, bad) in enumerate(found)],
+            F.avg("item_fill_rate").alias("item_fill_macro"),
+            safe_ratio(F.count_if("is_clean_order"), F.count(F.lit(1))).alias("order_fill"),
+        )
     )
-    return counts.select(F.inline(rows))
 
 
 def run_checks(tables: Mapping[str, DataFrame], window: int) -> DataFrame:
-    """Every check over the marts: one row each, with its number of violations."""
-    orders, customers = tables["fct_orders"], tables["dim_customer"]
-    results = [_row_results(t, tables[t], found) for t, found in _row_checks().items()]
-    results += [_result("unique", t, c, check_unique(tables[t], [c])) for t, c in UNIQUE]
-    results += [
-        _result(
-            "relationship",
-            "fct_orders",
-            "customer_id",
-            check_relationship(orders, "customer_id", customers, "customer_id"),
-        ),
-        _result(
-            "any_flagged",
-            "dim_customer",
-            "is_test_account",
-            check_any(customers, "is_test_account"),
-        ),
-        _result(
-            "fill_order",
-            "fct_orders",
-            "order_date_gst",
-            check_fill_order(orders, ["order_date_gst"]),
-        ),
-        _result(
-            "not_censored",
-            "fct_customer_orders",
-            "is_observable_30d",
-            check_not_censored(
-                tables["fct_customer_orders"],
-                "order_date_gst",
-                "is_observable_30d",
-                window,
-                orders,
-            ),
-        ),
-        _result(
-            "no_overlap",
-            "dim_product",
-            "product_id",
-            check_no_overlap(tables["dim_product"], "product_id"),
-        ),
+    """Every check over the marts: one row each, with its number of violations.
+
+    All key checks share one exchange, the checks of rows one scan of their table; a scan
+    of the orders by date answers its row checks, the order of the fill rates and the newest
+    date. So no table but the small catalogue is read more than twice.
+    """
+    rows: dict[str, list[Result]] = {}
+    for table, column in NOT_NULL:
+        if (table, column) not in UNIQUE:
+            rows.setdefault(table, []).append(("not_null", table, column, null_in([column])))
+    for table, column, values in ACCEPTED:
+        rows.setdefault(table, []).append(("accepted_values", table, column, outside(column, values)))
+    rows["fct_orders"].append(("range", "fct_orders", "item_fill_rate", beyond("item_fill_rate", 0, 1)))
+    missing = null_in(["product_key"])
+    rows["fct_order_items"].append(("version_found", "fct_order_items", "product_key", missing))
+
+    by_row = rows.pop("fct_orders")
+    days = _order_days(tables["fct_orders"], by_row)
+    newest = days.agg(F.max("order_date_gst")).scalar()
+    early = F.col("is_observable_30d") & (F.col("order_date_gst") > F.date_sub(newest, window))
+    rows["fct_customer_orders"].append(("not_censored", "fct_customer_orders", "is_observable_30d", early))
+
+    wrong = F.count_if(F.col("order_fill") > F.col("item_fill_macro") + 1e-9)
+    sums = [F.coalesce(F.sum(f"_{i}"), F.lit(0)).alias(f"_{i}") for i in range(len(by_row))]
+    of_days = [(c, t, col, F.col(f"_{i}")) for i, (c, t, col, _) in enumerate(by_row)]
+    of_days.append(("fill_order", "fct_orders", "order_date_gst", F.col("wrong")))
+    silent = check_any(tables["dim_customer"], "is_test_account")
+    overlaps = check_no_overlap(tables["dim_product"], "product_id")
+    results = [
+        _key_results(tables),
+        _inline(days.agg(*sums, wrong.alias("wrong")), of_days),
+        *[_row_results(t, tables[t], found) for t, found in rows.items()],
+        _result("any_flagged", "dim_customer", "is_test_account", silent),
+        _result("no_overlap", "dim_product", "product_id", overlaps),
     ]
     return reduce(DataFrame.unionByName, results)

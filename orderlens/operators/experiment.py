@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 from orderlens.functions.columns import outcome_bool, safe_ratio
 from orderlens.functions.tails import chi2_critical, chi2_p, student_p
 from orderlens.operators.effects import rate_gap
-from orderlens.operators.joins import left_join_sparse
+from orderlens.operators.joins import left_join_known, left_join_sparse
 from orderlens.operators.stats import mde, split_statistics, welch_columns, yates_chi2
 
 
 def experiment_frame(
-    sessions: DataFrame, orders: DataFrame, customer_orders: DataFrame
+    sessions: DataFrame, orders: DataFrame, customer_orders: DataFrame, bucketed: bool = False
 ) -> DataFrame:
     """Assigned, unflagged sessions with basket size and repeat outcome.
 
-    Every assigned session stays, converted or not.
+    Every assigned session stays, converted or not. ``bucketed`` says that both facts lie
+    in buckets by order: then only the converted sessions move.
     """
     assigned = sessions.filter(
         F.col("is_in_experiment") & ~F.coalesce("is_test_account", F.lit(False))
@@ -27,7 +28,8 @@ def experiment_frame(
     sizes = orders.select("order_id", "n_items")
     outcomes = customer_orders.select("order_id", "repeat_within_30d", "is_observable_30d")
     facts = sizes.join(outcomes, "order_id", "left")
-    return left_join_sparse(assigned, facts, "order_id")
+    join = left_join_known if bucketed else left_join_sparse
+    return join(assigned, facts, "order_id")
 
 
 def arm_statistics(

@@ -23,6 +23,16 @@ def left_join_sparse(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     )
 
 
+def left_join_known(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The same for a stored left side: rows without a key pass by the join.
+
+    The join is on the key alone, so a right side that lies by the key stays where it is.
+    """
+    added = [c for c in right.columns if c != key]
+    known = left.filter(F.col(key).isNotNull()).join(right, key, "left").select(*left.columns, *added)
+    return known.unionByName(left.filter(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def keep_keys(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows whose key is in the key set; rows are never multiplied."""
     return df.join(keys, list(on), "left_semi")

@@ -29,6 +29,7 @@ def run_all(
     target: str,
     params: Params | None = None,
     partitioned: bool = False,
+    buckets: int | None = None,
 ) -> Warehouse:
     """CSV folder -> stored raw tables, marts, check results and metric table.
 
@@ -38,7 +39,7 @@ def run_all(
     p = params or Params()
     root = target.rstrip("/")
     landed = land_raw(configure(spark), source, f"{root}/raw")
-    warehouse = Warehouse(spark, landed, p, f"{root}/marts", partitioned)
+    warehouse = Warehouse(spark, landed, p, f"{root}/marts", partitioned, buckets)
     results = write_table(
         run_checks(warehouse.build(), p.retention_window_days), f"{root}/checks"
     )

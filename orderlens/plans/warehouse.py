@@ -15,7 +15,7 @@ from orderlens.operators.scd2 import most_versions
 from orderlens.operators.timeline import hot_limit
 from orderlens.params import Params
 from orderlens.plans import marts
-from orderlens.sources.tables import write_fact, write_table
+from orderlens.sources.tables import write_bucketed, write_fact, write_table
 
 MARTS = (
     "dim_product",
@@ -36,6 +36,8 @@ LAYOUT = {
     "fct_customer_orders": ("order_date_gst", ("darkstore_id",)),
     "fct_sessions": ("session_date_gst", ()),
 }
+# Tables with one row, or a few, for each order.
+BY_ORDER = ("stg_orders", "fct_order_items", "fct_orders", "fct_customer_orders")
 
 
 class Warehouse:
@@ -46,7 +48,9 @@ class Warehouse:
     shared tables are written as parquet on first use and read back, so several
     consumers share one computation and lost executors cost at most one stage.
     ``partitioned`` lays the facts out by date; choose it when a day's files are
-    large enough to stand alone.
+    large enough to stand alone. ``buckets`` deals the tables by order to that many
+    buckets, so that joins and checks by order need no exchange; choose it when a bucket
+    of the largest of them fits a task. Only one of the two applies to a table.
     """
 
     def __init__(
@@ -56,12 +60,14 @@ class Warehouse:
         params: Params | None = None,
         root: str | None = None,
         partitioned: bool = False,
+        buckets: int | None = None,
     ):
         self.spark = spark
         self.raw = raw
         self.params = params or Params()
         self.root = root
         self.partitioned = partitioned
+        self.buckets = buckets
         self._tables: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -77,6 +83,8 @@ class Warehouse:
 
     def _store(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}"
+        if self.buckets and name in BY_ORDER:
+            return write_bucketed(df, path, "order_id", self.buckets)
         if not (self.partitioned and name in LAYOUT):
             return write_table(df, path)
         date, order = LAYOUT[name]

@@ -520,6 +520,9 @@ _NEAR = f"""SELECT tenure, effect_pp, ci_lo, ci_hi, true_pp,
   FROM (SELECT tenure, {_gap(*_COUNTS)} FROM tenure_effects)
   JOIN (VALUES {_TRUE_TENURE}) t(tenure, true_pp) USING (tenure)"""
 _EXPOSED_GAP = f"SELECT {_gap('st', 'srt', 'sc', 'src')} FROM arms"
+_ITT_READOUT = f"""SELECT 'assigned' AS population, nc AS n_control, nt AS n_treatment,
+        {_gap("nt", "rt", "nc", "rc")}, round({_yates("nt", "rt", "nc", "rc")}, 4) AS chi2
+      FROM arms"""
 _CHI = "power(n - want, 2) / want"
 _WELCH = "(vc / cc + vt / ct)"
 
@@ -894,9 +897,8 @@ _BODIES = {
         {_gap("nt", "ct", "nc", "cc")},
         round((ct * 1.0 / nt) / (cc * 1.0 / nc) - 1, 8) AS relative_loss,
         round({_yates("nt", "ct", "nc", "cc")}, 4) AS chi2 FROM event_arms""",
-    "itt_readout": f"""SELECT 'assigned' AS population, nc AS n_control, nt AS n_treatment,
-        {_gap("nt", "rt", "nc", "rc")}, round({_yates("nt", "rt", "nc", "rc")}, 4) AS chi2
-      FROM arms""",
+    "itt_readout": _ITT_READOUT,
+    "itt_readout_bucketed": _ITT_READOUT,
     "exposed_readout": f"""SELECT 'exposed' AS population, sc AS n_control, st AS n_treatment,
         {_gap("st", "srt", "sc", "src")}, round({_yates("st", "srt", "sc", "src")}, 4) AS chi2
       FROM arms""",

@@ -478,9 +478,10 @@ def quantile_profiles(c: Context) -> DataFrame:
     labelled = c.activity.join(c.sources.truth_flags(), "customer_id", "left").withColumn(
         "is_heavy", F.coalesce("is_test_account_truth", F.lit(False))
     )
+    # Counts have few distinct values; a ratio may have as many as there are customers.
     parts = [
-        quantile_profile(labelled, col, ["is_heavy"]).withColumn("feature", F.lit(col))
-        for col in ("order_count", "orders_per_active_day")
+        quantile_profile(labelled, col, ["is_heavy"], cell_rows=cells).withColumn("feature", F.lit(col))
+        for col, cells in (("order_count", None), ("orders_per_active_day", P.cell_rows))
     ]
     return rounded(metrics.stack(*parts))
 
@@ -937,6 +938,22 @@ def covers_zero(c: Context) -> DataFrame:
     return rounded(scoring.covers(shown, 0.0))
 
 
+@query
+def itt_readout_bucketed(c: Context) -> DataFrame:
+    """The read-out at assignment from facts in buckets by order."""
+    w = c.stored
+    facts = [
+        tables.write_bucketed(w[name].select("order_id", *columns), c.fresh(name), "order_id", 8)
+        for name, columns in (
+            ("fct_orders", ["n_items"]),
+            ("fct_customer_orders", ["repeat_within_30d", "is_observable_30d"]),
+        )
+    ]
+    frame = X.experiment_frame(w["fct_sessions"], *facts, bucketed=True)
+    arms = X.side_by_side(X.arm_statistics(frame, "variant", "n_items"), "variant", "control", "treatment")
+    return rounded(X.readout(arms, "assigned").drop("p_value"), chi2=4)
+
+
 def _srm(c: Context, stage: str) -> DataFrame:
     return X.srm(c.arms, stage, 0.5, P.srm_threshold)
 

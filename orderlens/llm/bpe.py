@@ -6,9 +6,9 @@ stands. Ranks are applied in ascending order: all positions of the lowest active
 merge at once, left to right, and only the lists of the pairs beside them change; a
 list may hold a position whose symbols have changed meanwhile, which is then passed
 over. Words don't touch each other, so this gives each word the merges it would get
-alone. Documents are put together from the ids of their words. Letters, digits and
-spaces are those of the regex library's Unicode version; code points without an
-assigned meaning may be classed otherwise elsewhere.
+alone. Documents are put together from the ids of their words. Texts are split by a regular
+expression; where a text has a code point that Python's tables do not know, and which
+other tables may class otherwise, the vocabulary's own normalizer and splitter do it.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from orderlens.llm.common import sized, texts
 VOCABULARY = "word_bpe_49k.json"
 STRETCH = 8 << 20  # bytes of text whose distinct words are indexed together
 NONE = np.iinfo(np.int64).max
+MARKS = "\u0334\u0323\u0301"  # of canonical classes 1, 220 and 230
 
 
 def byte_letters() -> list[str]:
@@ -69,6 +70,8 @@ class Codec:
         names = "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))
         self.specials = regex.compile(f"({names})") if names else None
         self.space = regex.compile(r"\s+")
+        self.path, self.library, self.known = path, None, set()
+        self.byte_of = {c: b for b, c in enumerate(byte_letters())}
 
     def words(self, text: str) -> list[str | int]:
         """Words in order; a special token of the text as its id."""
@@ -79,7 +82,40 @@ class Codec:
             out += [self.special[part]] if part in self.special else self._plain_words(part)
         return out
 
+    def _unknown(self, text: str) -> bool:
+        """Whether a text has a code point that other tables may treat otherwise: one without
+        a meaning in Python's, or a mark that the library orders in another way."""
+        if text.isascii():
+            return False
+        fresh = set(text) - self.known
+        if any(unicodedata.category(c) == "Cn" or self._strange_mark(c) for c in fresh):
+            return True
+        self.known |= fresh
+        return False
+
+    def _strange_mark(self, c: str) -> bool:
+        if not unicodedata.combining(c):
+            return False
+        beside = [pair for mark in MARKS for pair in (c + mark, mark + c)]
+        normal = self._library().normalizer.normalize_str
+        return any(normal("a" + pair) != unicodedata.normalize("NFC", "a" + pair) for pair in beside)
+
+    def _library(self):  # noqa: ANN202 - imported where it is needed
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        return self.library
+
+    def _split_by_library(self, text: str) -> list[str]:
+        self._library()
+        clean = self.library.normalizer.normalize_str(text)
+        found = self.library.pre_tokenizer.pre_tokenize_str(clean)
+        return [bytes(self.byte_of[c] for c in letters).decode("utf-8") for letters, _ in found]
+
     def _plain_words(self, text: str) -> list[str]:
+        if self._unknown(text):
+            return self._split_by_library(text)
         clean = self.space.sub(" ", unicodedata.normalize("NFC", text))
         # Lower-casing goes letter by letter: a final sigma is not special.
         return self.word.findall(clean.replace("Σ", "σ").lower())

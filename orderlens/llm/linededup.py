@@ -1,13 +1,16 @@
-"""Line dedup by content-defined chunks: repeated chunks go, the first stays.
-
-A chunk may end after a word, or after a character of three bytes or more (scripts
-without spaces). A rolling hash over the WINDOW bytes before ranks these places, ends of
-lines and sentences before all others; a chunk ends where no place within REACH bytes
-ranks lower. So chunks depend on nearby bytes only, and those of a repeated passage fall
-into step wherever it stands, within a longer line too. Chunks of at least MIN_BYTES
-bytes are counted over all documents by their bytes, not by their hash. Where a chunk
-occurs more than once, its first occurrence in the document with the smallest doc_id
-stays; everywhere else it is removed after its bytes were compared with the kept ones.
+"""Line dedup by content-defined line chunks: repeated chunks go, the first stays.
+
+Texts are cut into lines: at line breaks and ends of sentences, and a longer line at words,
+where a hash of the WINDOW bytes before is lowest within REACH bytes. So lines depend on
+nearby bytes only, and those of a repeated passage are the same wherever it stands, inside a
+longer line too. Each line is hashed; a hash rolling over the hashes of two neighbouring lines
+ends a chunk where it is lower than one line before and after. Chunks hold several lines and
+fall into step again after any shift.
+
+Chunks of two lines or more are counted over all documents by their bytes, not by their hash.
+Where one occurs more than once, its first occurrence in the document with the smallest doc_id
+stays. Elsewhere it is removed after its bytes were compared with the kept ones, if it is part
+of a stretch of at least MIN_RUN repeated bytes, so that a phrase in common stays.
 """
 
 from __future__ import annotations
@@ -24,19 +27,21 @@ from orderlens.llm.common import pieces, stored
 
 SPACE = b" \t\r\n\f\v"
 BLANK, STOP = (np.isin(np.arange(256), list(marks)) for marks in (SPACE, b".!?"))
-WINDOW, REACH = 8, 50
-MIN_BYTES, MAX_BYTES = 50, 1024
-GAP = b" " * 64  # between texts that are cut together; more than WINDOW and REACH
+WINDOW, REACH = 8, 12
+MOST_LINES = 32  # of a chunk, where the same line follows itself
+MIN_RUN = 100  # bytes of repeated chunks in a row
+GAP = b" " * 32  # between texts that are cut together; more than WINDOW and REACH
 
 
-def cuts_of(many: list[bytes]) -> list[list[tuple[int, int, int]]]:
-    """Per text its chunks as (start, end of content, end with white space); the content end
-    is -1 for a chunk too small to be a repeat. Together they are the text."""
-    data = np.frombuffer(GAP + GAP.join(many) + GAP, np.uint8)
-    sizes = np.fromiter(map(len, many), np.int64, len(many))
-    first = np.cumsum(sizes + len(GAP)) - sizes
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def _line_ends(data: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Where the lines of all texts end, with and without white space, and whose they are."""
     blank, tail = BLANK[data], (data & 0xC0) == 0x80
-    word = ~blank[1:-1] & blank[2:]
+    word = ~blank[1:-1] & blank[2:]  # or the end of a character of three bytes or more
     ends = np.flatnonzero(word | (tail[:-2] & tail[1:-1] & ~tail[2:])) + 2
     owner = np.searchsorted(first, ends, "right") - 1
     solid, breaks = np.flatnonzero(~blank), np.flatnonzero(data == 10)
@@ -45,9 +50,8 @@ def cuts_of(many: list[bytes]) -> list[list[tuple[int, int, int]]]:
     line = np.searchsorted(breaks, ends) < np.searchsorted(breaks, after)
     line |= STOP[data[ends - 1]] & blank[ends]
     seen = np.lib.stride_tricks.sliding_window_view(np.where(blank, np.uint8(32), data), WINDOW)
-    rank = seen[ends - WINDOW].view("<u8").ravel() * np.uint64(0x9E3779B97F4A7C15)
-    rank = ((rank ^ (rank >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(1)
-    rank |= (~line).astype(np.uint64) << np.uint64(63)
+    rank = _mixed(seen[ends - WINDOW].view("<u8").ravel() * np.uint64(0x9E3779B97F4A7C15))
+    rank[line] = 0
     beaten = np.zeros(len(ends), bool)
     for step in range(1, len(ends)):
         near = ends[step:] - ends[:-step] <= REACH
@@ -55,27 +59,48 @@ def cuts_of(many: list[bytes]) -> list[list[tuple[int, int, int]]]:
             break
         beaten[step:] |= near & (rank[:-step] <= rank[step:])
         beaten[:-step] |= near & (rank[step:] < rank[:-step])
-    beaten[np.flatnonzero(np.diff(owner, append=-1))] = False  # the end of each text
-    stays = np.flatnonzero(~beaten)
+    last = np.diff(owner, append=-1) != 0
+    stays = np.flatnonzero(~beaten | line | last)
+    return ends[stays], after[stays], owner[stays]
+
+
+def cuts_of(many: list[bytes]) -> list[list[tuple[int, int, int]]]:
+    """Per text its chunks as (start, end of content, end with white space); the content end
+    is -1 for a chunk of one line. Together they are the text."""
+    whole = GAP + GAP.join(many) + GAP
+    data = np.frombuffer(whole, np.uint8)
+    sizes = np.fromiter(map(len, many), np.int64, len(many))
+    first = np.cumsum(sizes + len(GAP)) - sizes
+    ends, after, owner = _line_ends(data, first, sizes)
     out: list[list[tuple[int, int, int]]] = [[] for _ in many]
-    before = -1
-    for at, row, stop, new in zip(
-        stays.tolist(), owner[stays].tolist(), ends[stays].tolist(), after[stays].tolist()
-    ):
-        base, own = int(first[row]), out[row]
-        if row != before:
-            before, start = row, int(solid[np.searchsorted(solid, base)])
-            if start > base:
-                own.append((0, -1, start - base))
-        while stop - start > MAX_BYTES:  # no boundary, as in a short line many times over
-            cut = int(np.searchsorted(ends, start + MAX_BYTES))
-            if cut >= at:
-                break
-            own.append((start - base, int(ends[cut]) - base, int(after[cut]) - base))
-            start = int(after[cut])
-        counts = stop - start >= MIN_BYTES
-        own.append((start - base, stop - base if counts else -1, new - base))
-        start = new
+    if len(ends):
+        head = np.diff(owner, prepend=-1) != 0
+        solid = np.flatnonzero(~BLANK[data])
+        starts = np.append(0, after[:-1])
+        starts[head] = solid[np.searchsorted(solid, first[owner[head]])]
+        digest = xxhash.xxh64_intdigest
+        lines = np.array([digest(whole[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64)
+        before = np.append(np.uint64(0), lines[:-1])
+        before[head] = 0
+        rolled = _mixed(before * np.uint64(0x9E3779B97F4A7C15) ^ lines)
+        high = np.uint64(np.iinfo(np.uint64).max)
+        last = np.append(head[1:], True)
+        earlier = np.where(head, high, np.append(high, rolled[:-1]))
+        later = np.where(last, high, np.append(rolled[1:], high))
+        cut = ((rolled < earlier) & (rolled <= later)) | last
+        place = np.arange(len(cut))
+        since = place - np.maximum.accumulate(np.where(np.append(True, cut[:-1]), place, 0))
+        cut |= since % MOST_LINES == MOST_LINES - 1
+        stop = np.flatnonzero(cut)
+        start = np.append(0, stop[:-1] + 1)
+        for a, b, c, n, row, new in zip(
+            starts[start].tolist(), ends[stop].tolist(), after[stop].tolist(),
+            (stop - start).tolist(), owner[stop].tolist(), head[start].tolist(),
+        ):
+            base = int(first[row])
+            if new and a > base:
+                out[row].append((0, -1, a - base))
+            out[row].append((a - base, b - base if n else -1, c - base))
     for row, size in enumerate(sizes.tolist()):
         if size and not out[row]:
             out[row].append((0, -1, size))
@@ -126,17 +151,40 @@ def _listed(plain: DataFrame, with_content: bool) -> DataFrame:
     return plain.mapInArrow(run, f"id {kind}, {wanted}")
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with repeated chunks cut out of ``text``, plus two columns.
+def removed(
+    data: bytes, cut: list[tuple[int, int, int]], found: dict[bytes, bool]
+) -> list[tuple[int, int]]:
+    """The parts (start, end) of a text to cut out.
+
+    ``found`` holds the content of its repeated chunks, and whether this document keeps the
+    first of them. Chunks in a row go together, if they have MIN_RUN bytes.
+    """
+    kept, runs = dict(found), []
+    for a, b, c in cut:
+        content = data[a:b] if b >= 0 else None
+        if content not in kept or kept[content]:  # compares the bytes
+            kept.update({content: False} if content in kept else {})
+        elif runs and runs[-1][1] == a:
+            runs[-1] = (runs[-1][0], c)
+        else:
+            runs.append((a, c))
+    return [(a, c) for a, c in runs if c - a >= MIN_RUN]
+
+
+def remove_repeats(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", counts: bool = True
+) -> DataFrame:
+    """The rows of ``docs`` with repeated chunks cut out of ``text``.
 
-    n_removed counts the chunks cut out, removed_chars their characters with the white
-    space after them; columns of ``docs`` with these names are replaced. Every row comes back: a null text stays null, an empty one empty,
-    and a text that only repeats others becomes empty. Rows with one doc_id count as
-    one document, so repeated rows come back alike. A null doc_id never keeps a chunk
-    that a document with an id also has; chunks that only documents without id share
+    With ``counts`` there are two more columns, which replace columns of those names:
+    n_removed counts the stretches cut out, removed_chars their characters with the white
+    space after them. Every row comes back: a null text stays null, an empty one empty,
+    and a text that only repeats others becomes empty. Rows with one doc_id and one text
+    count as one document, so repeated rows come back alike. A null doc_id never keeps a
+    chunk that a document with an id also has; chunks that only documents without id share
     stay in all of them.
     """
-    added = ["n_removed", "removed_chars"]
+    added = ["n_removed", "removed_chars"] if counts else []
     docs = docs.drop(*added)
     names = docs.columns
     plain = docs.select(
@@ -161,8 +209,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         repeated.mapInArrow(digests, f"digest bigint, content binary, keeper {kind}"), "repeats"
     )
     where = _listed(plain, False).join(repeated, "digest")
+    # A set: rows that repeat a document bring the same entries.
     found = where.groupBy("id", "print").agg(
-        F.collect_list(
+        F.collect_set(
             F.struct(
                 "content",
                 F.coalesce(F.col("keeper") == F.col("id"), F.col("keeper").isNull()).alias("own"),
@@ -180,27 +229,20 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         for batch in pieces(batches, 256):
             at = batch.schema.get_field_index(text)
             known = batch.column(batch.num_columns - 1)
-            new, counts = batch.column(at).to_pylist(), [(0, 0)] * batch.num_rows
+            new, told = batch.column(at).to_pylist(), [(0, 0)] * batch.num_rows
             rows = np.flatnonzero(known.is_valid().to_numpy(zero_copy_only=False)).tolist()
             many = [str(new[row]).encode("utf-8", "surrogatepass") for row in rows]
             for row, data, cut in zip(rows, many, cuts_of(many)):
-                own = {m["content"]: m["own"] for m in known[row].as_py()}
-                kept, removed = [], []
-                for a, b, c in cut:
-                    bare = data[a:b] if b >= 0 else None
-                    if bare is None or bare not in own or own[bare]:  # compares the bytes
-                        kept.append(data[a:c])
-                    else:
-                        removed.append(data[a:c])
-                    if bare in own:
-                        own[bare] = False
-                if removed:
-                    new[row] = b"".join(kept).decode("utf-8", "surrogatepass")
-                    gone = b"".join(removed).decode("utf-8", "surrogatepass")
-                    counts[row] = (len(removed), len(gone))
+                parts = removed(data, cut, {m["content"]: m["own"] for m in known[row].as_py()})
+                if parts:
+                    edges = [0, *(e for part in parts for e in part), len(data)]
+                    kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                    gone = sum(len(data[a:b].decode("utf-8", "surrogatepass")) for a, b in parts)
+                    new[row] = kept.decode("utf-8", "surrogatepass")
+                    told[row] = (len(parts), gone)
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             columns[at] = pa.array(new, batch.schema.field(at).type)
-            columns += [pa.array([c[i] for c in counts], pa.int64()) for i in (0, 1)]
+            columns += [pa.array([c[i] for c in told], pa.int64()) for i in range(len(added))]
             yield pa.RecordBatch.from_arrays(columns, [*names, *added])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

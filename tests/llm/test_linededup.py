@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 from collections import Counter
 
@@ -19,15 +20,19 @@ def plain(rows):
                     keeper[c] = min(keeper.get(c, key), key)
     out = []
     for key, text in rows:
-        kept, done, cut = "", set(), [0, 0]
+        pieces, done = [], set()
         for piece, c in linededup.chunks(text or ""):
             own = c is not None and (keeper.get(c) == key or c not in keeper) and c not in done
-            if c is not None and seen[c] > 1 and not own:
+            pieces.append((piece, c is not None and seen[c] > 1 and not own))
+            done.add(c)
+        kept, cut = "", [0, 0]
+        for gone, run in itertools.groupby(pieces, lambda p: p[1]):
+            whole = "".join(p for p, _ in run)
+            if gone and len(whole.encode()) >= 100:
                 cut[0] += 1
-                cut[1] += len(piece)
+                cut[1] += len(whole)
             else:
-                kept += piece
-            done.add(c)
+                kept += whole
         out.append((key, *cut, hashlib.sha256(kept.encode()).hexdigest()))
     return sorted(out, key=repr)
 
@@ -119,7 +124,30 @@ def test_passages_of_one_line_and_inside_a_line_are_cut(frame):
         assert new.startswith(before) and new.endswith(after)  # only the passage is touched
         whole += len(passage)
         gone.append(got[100 + i].removed_chars)
-    assert sum(g > 0 for g in gone) >= 54 and sum(gone) > 0.45 * whole
+    assert all(gone) and sum(gone) > 0.6 * whole
+
+
+def test_phrases_in_common_stay(frame):
+    draw = random.Random(9)
+    rows = []
+    for i in range(40):  # a phrase of eight words, a heading, in otherwise different texts
+        own = " ".join(sentences(draw, 4))
+        rows.append((i, f"Terms and conditions\n{own} as was agreed upon by all of them {own[::-1]}"))
+    got = linededup.remove_repeats(frame(rows)).collect()
+    assert all(r.n_removed == 0 for r in got)
+
+
+def test_repeated_rows_bring_a_bounded_list(spark, frame):
+    body = " ".join(sentences(random.Random(1), 20))
+    rows = [(3, body)] * 500 + [(9, body)]
+    got = collected(linededup.report(frame(rows)))
+    assert got == plain(rows) and len({r for r in got if r[0] == 3}) == 1
+    assert [r for r in got if r[0] == 9][0][2] > 0.8 * len(body)
+
+
+def test_callers_columns_stay_without_counts(frame):
+    df = frame([(1, "a b c")], extra="n_removed")
+    assert linededup.remove_repeats(df, counts=False).collect() == df.collect()
 
 
 def test_cutting_depends_on_nearby_bytes_only():

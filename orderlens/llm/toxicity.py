@@ -1,17 +1,19 @@
 """Toxicity by compression distance: two zstandard dictionaries, short windows.
 
-Both dictionaries are raw-content zstandard dictionaries and share the common words
-of the training texts. The toxic one also holds forms (words or beginnings of words)
-that toxic training texts use in many different contexts and ordinary ones hardly
-ever; copies of a text repeat its contexts, so its own rare words don't qualify. A
-window that holds such a form compresses shorter with the toxic dictionary, any
-other window to nearly the same length with both. A logistic model of the excess lengths
+Each class has a raw-content zstandard dictionary trained on its own texts: the forms (words
+or beginnings of words) that are peculiar to the class, the most significant last, then the
+words that are frequent in ordinary texts, which toxic texts use as well. A form is peculiar
+by the likelihood ratio of its contexts in the two classes, so a small class needs fewer
+contexts than a large one; copies of a text repeat its contexts, so its own rare words don't
+qualify. A window of toxic words compresses shorter with the toxic dictionary, any other
+window to nearly the same length with both. A logistic model of the excess lengths
 calibrates the thresholds, fitted on texts measured with dictionaries that other texts
 gave. Every window of a text is compared.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -31,8 +33,11 @@ TOXIC_DOCS, ORDINARY_DOCS = 1600, 3200  # the training sample holds at most so m
 SAMPLE_CHARS = 20_000  # a longer text is not taken into the training sample
 WINDOW = 192  # bytes
 SHORTEST, LONGEST = 4, 10  # letters of a form
-COMMON_BYTES = 1400  # the part both dictionaries share
-TOXIC_BYTES = 3000
+COMMON_BYTES = 1400  # room for the frequent words of a dictionary, as whole words
+FORM_BYTES = 2048  # room for the forms of its class, as whole forms
+COVERS = 6  # letters from which a form stands for the longer ones that begin with it
+SIGNIFICANT = 27.0  # twice the logarithm of the likelihood ratio
+FEWEST = 4  # contexts
 REJECT = 0.7
 LEVEL = 19
 
@@ -110,38 +115,52 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(away, -50, 50))))
 
 
-def forms(toxic: list[str], ordinary: list[str]) -> list[str]:
-    """Words and beginnings of words that mark toxic texts, the most frequent last."""
-
-    def contexts(many: list[str]) -> Counter:
-        seen = set()
-        for text in many:
-            words = WORD.findall(text.lower())
-            for before, word in zip(["", *words], words):
-                seen |= {
-                    (word[:k], before) for k in range(SHORTEST, min(len(word), LONGEST) + 1)
-                }
-        return Counter(form for form, _ in seen)
-
-    marked, usual = contexts(toxic), contexts(ordinary)
-    least = max(6, len(toxic) // 25)
-    marks = {
-        form: n
-        for form, n in marked.items()
-        if n >= least and 20 * usual[form] * len(toxic) < n * len(ordinary)
-    }
+def contexts(many: list[str]) -> Counter:
+    """In how many different contexts (the word before) each form occurs."""
+    seen = set()
+    for text in many:
+        words = WORD.findall(text.lower())
+        for before, word in zip(["", *words], words):
+            seen |= {(word[:k], before) for k in range(SHORTEST, min(len(word), LONGEST) + 1)}
+    return Counter(form for form, _ in seen)
+
+
+def forms(own: Counter, other: Counter, n_own: int, n_other: int) -> list[str]:
+    """The forms peculiar to a class of ``n_own`` texts against ``n_other``, the most
+    significant first.
+
+    A beginning whose longer form has most of its contexts gives way to it, and a form
+    that begins with a chosen long one is left out, as the chosen one matches it too.
+    """
+    share = n_own / (n_own + n_other)
+    found = {}
+    for form, n in own.items():
+        m = other[form]
+        if n < FEWEST or n * n_other <= 4 * m * n_own:
+            continue
+        ratio = n * math.log(n / ((n + m) * share))
+        ratio += m * math.log(m / ((n + m) * (1 - share))) if m else 0
+        if 2 * ratio > SIGNIFICANT:
+            found[form] = (2 * ratio, n)
     inner = {
         form[:k]
-        for form, n in marks.items()
+        for form, (_, n) in found.items()
         for k in range(SHORTEST, len(form))
-        if n > 0.8 * marks.get(form[:k], 0)
+        if n > 0.8 * found.get(form[:k], (0, n * 2))[1]
     }
-    picked = [
-        form
-        for form, n in marks.items()
-        if form not in inner and n >= 0.04 * marks.get(form[:SHORTEST], 1)
-    ]
-    return sorted(picked, key=lambda form: (marks[form], form))
+    picked: list[str] = []
+    chosen = set()
+    for form in sorted(found, key=lambda form: (-found[form][0], form)):
+        if form not in inner and not any(form[:k] in chosen for k in range(COVERS, len(form))):
+            chosen.add(form)
+            picked.append(form)
+    return picked
+
+
+def fitting(words: list[str], room: int) -> list[str]:
+    """The first words that fit into ``room`` bytes, whole and last first."""
+    ends = np.cumsum([len(w.encode()) + 1 for w in words])
+    return words[: int(np.searchsorted(ends, room, "right"))][::-1]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -160,13 +179,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def _dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+    """The dictionary of each class, toxic first."""
     counts = Counter(w for text in ordinary for w in WORD.findall(text.lower()))
-    usual = sorted(counts, key=lambda w: (-counts[w], w))[:300]
-    common = " ".join(reversed(usual)).encode()[-COMMON_BYTES:]
-    ending = [f + " " if len(f) == SHORTEST else f for f in forms(toxic, ordinary)]
-    extra = " ".join(ending).encode()[-TOXIC_BYTES:]
-    shared = (b" " + common + b" ").rjust(64)
-    return b" " + extra + shared, shared
+    usual = fitting(sorted(counts, key=lambda w: (-counts[w], w)), COMMON_BYTES)
+    seen = contexts(toxic), contexts(ordinary)
+    many = len(toxic), len(ordinary)
+    made = []
+    for own in (0, 1):
+        picked = forms(seen[own], seen[1 - own], many[own], many[1 - own])
+        # A match must be longer than the shortest forms are: the space after them helps.
+        marks = [f + " " if len(f) == SHORTEST else f for f in fitting(picked, FORM_BYTES)]
+        made.append((" " + " ".join([*marks, *usual]) + " ").encode().rjust(64))
+    return made[0], made[1]
 
 
 def fit(toxic: list[str], ordinary: list[str], weight: tuple[float, float] = (1.0, 1.0)) -> Model:
@@ -208,17 +232,19 @@ def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (3, 1)
 
     def chosen(toxic: int, most: int) -> list[tuple[int, int]]:
         order = F.xxhash64("doc_id")
-        rows = short.filter(F.col("toxic") == toxic).orderBy(order, "doc_id").limit(most)
-        return [(r["doc_id"], toxic) for r in rows.select("doc_id").collect()]
+        rows = short.filter(F.col("toxic") == toxic).select("doc_id").distinct()
+        rows = rows.orderBy(order, "doc_id").limit(most)
+        return [(r["doc_id"], toxic) for r in rows.collect()]
 
     ids = chosen(1, TOXIC_DOCS) + chosen(0, ORDINARY_DOCS)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    few = spark.createDataFrame(ids, f"doc_id {kind}, toxic int").distinct()
+    few = spark.createDataFrame(ids, f"doc_id {kind}, toxic int")
     sample = (
         docs.select("doc_id", "text")
         .filter(F.length("text") <= SAMPLE_CHARS)
         .join(F.broadcast(few), "doc_id")  # at most TOXIC_DOCS + ORDINARY_DOCS rows
-        .select("toxic", "doc_id", "text")
+        .groupBy("toxic", "doc_id")  # of rows with one id the smallest text
+        .agg(F.min("text").alias("text"))
     )
     rows = sorted(tuple(r) for r in sample.collect())
     toxic = [t for mark, _, t in rows if mark == 1][:TOXIC_DOCS]

@@ -23,13 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import pieces, stored
+from orderlens.llm.common import pieces, sized, stored
 
 SPACE = b" \t\r\n\f\v"
 BLANK, STOP = (np.isin(np.arange(256), list(marks)) for marks in (SPACE, b".!?"))
 WINDOW, REACH = 8, 12
 MOST_LINES = 32  # of a chunk, where the same line follows itself
 MIN_RUN = 100  # bytes of repeated chunks in a row
+STEP = 1 << 17  # bytes of text cut together
 GAP = b" " * 32  # between texts that are cut together; more than WINDOW and REACH
 
 
@@ -129,7 +130,7 @@ def _listed(plain: DataFrame, with_content: bool) -> DataFrame:
     """One row per chunk that can be a repeat: by content, or by hash and document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 256):
+        for batch in sized(batches, 2, STEP):
             rows, found = [], []
             many = _bytes(batch.column(2))
             for row, (data, cut) in enumerate(zip(many, cuts_of(many))):
@@ -226,7 +227,7 @@ def remove_repeats(
     ).select(*[left[n] for n in names], right[held])
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 256):
+        for batch in pieces(batches, 64):
             at = batch.schema.get_field_index(text)
             known = batch.column(batch.num_columns - 1)
             new, told = batch.column(at).to_pylist(), [(0, 0)] * batch.num_rows

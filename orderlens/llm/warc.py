@@ -7,13 +7,17 @@ name it. Zero bytes may pad the end of an archive, as gzip allows.
 
 The reader goes from record to record. Where a check fails (gzip data or checksum,
 version line, length, end of record, block digest), it searches for the next gzip magic
-or version line from which a valid record can be read, keeps whole records that came
-before the damage in the same member, and logs the bytes between as a quarantined gap.
+or version line from which a valid record can be read, and logs the bytes between as a
+quarantined gap. Inside a member that can be unpacked, in whole or up to some byte, it searches
+for version lines in the same way; its gap names the bytes lost inside. An archive is one
+value of a task; its records leave the task in small batches.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -60,6 +64,15 @@ class Reading:
     gaps: list[tuple[int, int, str]] = field(default_factory=list)  # start, end, reason
 
 
+def same_digest(named: str, block: bytes) -> bool:
+    """Whether a digest header fits, in hex or base32; others than SHA-1 are not checked."""
+    kind, _, value = named.partition(":")
+    if kind.lower() != "sha1":
+        return True
+    real = hashlib.sha1(block).digest()
+    return value.strip().lower() in (real.hex(), base64.b32encode(real).decode().lower())
+
+
 def build(key: object, uri: str | None, payload: bytes, digest: str, refers: object) -> bytes:
     """One record as bytes; a revisit if ``refers`` is given, then without the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
@@ -104,22 +117,30 @@ def parse(data: bytes, at: int) -> tuple[Record | None, int, str]:
     if data[stop : stop + 4] != b"\r\n\r\n":
         return None, at, "no end of record"
     block = data[start:stop]
-    digest = headers.get("WARC-Block-Digest", "")
-    if digest.startswith("sha1:") and digest[5:] != hashlib.sha1(block).hexdigest():
+    if not same_digest(headers.get("WARC-Block-Digest", ""), block):
         return None, at, "block digest"
     return Record(headers, block), stop + 4, ""
 
 
-def _plain_run(data: bytes, at: int) -> tuple[list[Record], int, str]:
-    """Whole records one after another from ``at``, and why they end before the end."""
-    out = []
+def _plain_run(data: bytes) -> tuple[list[Record], str]:
+    """The records of unpacked bytes, and what was lost between them."""
+    out, at, lost, why, gaps = [], 0, None, "", []
     while at < len(data):
         record, end, reason = parse(data, at)
         if record is None:
-            return out, at, reason
+            if lost is None:
+                lost, why = at, reason
+            following = VERSION.search(data, at + 1)
+            at = following.start() if following else len(data)
+            continue
+        if lost is not None:
+            gaps.append((lost, at, why))
+            lost = None
         out.append(record)
         at = end
-    return out, at, ""
+    if lost is not None:
+        gaps.append((lost, at, why))
+    return out, "; ".join(f"bytes {a} to {b}: {reason}" for a, b, reason in gaps)
 
 
 def _before_damage(data: bytes, at: int) -> bytes:
@@ -152,23 +173,16 @@ def _step(data: bytes, at: int) -> tuple[list[Record], int, str]:
             plain += unzip.decompress(part)
             taken += len(part)
     except zlib.error:
-        return _plain_run(_before_damage(data, at), 0)[0], at, "gzip data"
+        return _plain_run(_before_damage(data, at))[0], at, "gzip data"
     if not unzip.eof:
-        return _plain_run(bytes(plain), 0)[0], at, "gzip member cut short"
-    records, _, reason = _plain_run(bytes(plain), 0)
+        return _plain_run(bytes(plain))[0], at, "gzip member cut short"
+    records, reason = _plain_run(bytes(plain))
     return records, taken - len(unzip.unused_data), reason and f"in member: {reason}"
 
 
-def salvage(data: bytes) -> Reading:
-    """All records that can be read, in order, and the gaps."""
-    out, at, lost, why = Reading(), 0, None, ""
-
-    def close(end: int) -> None:
-        nonlocal lost
-        if lost is not None and end > lost:
-            out.gaps.append((lost, end, why))
-        lost = None
-
+def found(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
+    """All records that can be read, in order, and the gaps (start, end, reason)."""
+    at, lost, why = 0, None, ""
     while at < len(data):
         if lost is None and data[at] == 0:  # padding
             padded = at
@@ -177,21 +191,26 @@ def salvage(data: bytes) -> Reading:
             if padded == len(data):
                 break
         records, end, reason = _step(data, at)
+        if lost is not None and (records or not reason):
+            yield lost, at, why
+            lost = None
+        yield from records
         if not reason:
-            close(at)
-            out.records += records
             at = end
             continue
         if lost is None:
             lost, why = at, reason
-            out.records += records
-        elif records:
-            close(at)
-            lost, why = at, reason
-            out.records += records
         following = START.search(data, end if end > at else at + 1)
         at = following.start() if following else len(data)
-    close(len(data))
+    if lost is not None:
+        yield lost, len(data), why
+
+
+def salvage(data: bytes) -> Reading:
+    """The records and the gaps of an archive."""
+    out = Reading()
+    for item in found(data):
+        (out.records if isinstance(item, Record) else out.gaps).append(item)
     return out
 
 
@@ -275,40 +294,32 @@ def read_archives(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
     kinds = [pa.string(), pa.int64(), *[pa.string()] * 4, pa.int64(), pa.string(), pa.binary()]
     kinds += [pa.int64(), pa.int64(), pa.string()]
 
+    def rows(path: str, data: bytes) -> Iterator[tuple]:
+        position = -1
+        for item in found(data):
+            if not isinstance(item, Record):
+                yield (path, *[None] * 8, *item)
+                continue
+            position += 1
+            kind = item.headers.get("WARC-Type", "")
+            named = item.headers.get("WARC-Payload-Digest", "")
+            size, body, digest = item.http_length, None, named.removeprefix("sha1:")
+            if kind != "revisit":
+                body = item.payload
+                if not same_digest(named, body):
+                    yield (path, *[None] * 8, position, None, "payload digest")
+                    continue
+                size, digest = len(body), hashlib.sha1(body).hexdigest()
+            about = item.key("WARC-Record-ID"), kind, item.key("WARC-Refers-To")
+            uri = item.headers.get("WARC-Target-URI")
+            yield (path, position, *about, uri, size, digest, body, *[None] * 3)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
-            path, reading = batch.column(0)[0].as_py(), salvage(batch.column(1)[0].as_py())
-            rows = [(path, *[None] * 8, *gap) for gap in reading.gaps]
-            for position, record in enumerate(reading.records):
-                kind = record.headers.get("WARC-Type", "")
-                digest = record.headers.get("WARC-Payload-Digest", "").removeprefix("sha1:")
-                size, body = record.http_length, None
-                if kind != "revisit":
-                    body = record.payload
-                    real = hashlib.sha1(body).hexdigest()
-                    if digest and digest != real:
-                        rows.append((path, *[None] * 8, position, None, "payload digest"))
-                        continue
-                    size, digest = len(body), real
-                rows.append(
-                    (
-                        path,
-                        position,
-                        record.key("WARC-Record-ID"),
-                        kind,
-                        record.key("WARC-Refers-To"),
-                        record.headers.get("WARC-Target-URI"),
-                        size,
-                        digest,
-                        body,
-                        *[None] * 3,
-                    )
-                )
-            for at in range(0, len(rows), 256):
-                columns = zip(*rows[at : at + 256])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds)], names
-                )
+            every = rows(batch.column(0)[0].as_py(), batch.column(1)[0].as_py())
+            while part := list(itertools.islice(every, 64)):
+                columns = [pa.array(c, k) for c, k in zip(zip(*part), kinds)]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     every = files.mapInArrow(run, schema)
     records = every.filter("reason is null").select(*names[:9])
@@ -320,7 +331,10 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     folder = new_folder(spark, "warc")
     write(pages, folder)
-    records, _ = read_archives(spark, folder)
+    records, gaps = read_archives(spark, folder)
+    lost = gaps.agg(F.count("*").alias("n"), F.min("reason").alias("reason")).first()
+    if lost["n"]:
+        raise RuntimeError(f"{lost['n']} gaps in archives just written, such as: {lost['reason']}")
     kind = pages.schema["page_id"].dataType
     return records.select(
         F.when(F.col("key") != "", F.col("key")).cast(kind).alias("page_id"),

@@ -97,3 +97,30 @@ def test_salvage_of_cuts_inserts_and_shared_members():
     got = warc.salvage(bytes(one) + data)
     assert len(got.records) == 11 and len(got.gaps) == 1
     assert warc.salvage(b"").records == [] and warc.salvage(b"nothing").gaps[0][:2] == (0, 7)
+
+
+def test_records_behind_a_bad_one_in_a_shared_member():
+    made = [warc.build(i, "u", b"payload %d " % i * 50, "", None) for i in range(6)]
+    broken = bytearray(b"".join(made))
+    broken[len(made[0]) + made[1].index(b"payload")] ^= 1
+    for data in (bytes(broken), warc.member(bytes(broken))):
+        read = warc.salvage(data)
+        assert [r.key("WARC-Record-ID") for r in read.records] == ["0", "2", "3", "4", "5"]
+        assert len(read.gaps) == 1 and "block digest" in read.gaps[0][2]
+    packed = warc.member(bytes(broken)) + warc.member(made[0])
+    read = warc.salvage(packed)
+    assert len(read.records) == 6 and f"bytes {len(made[0])} to {len(made[0] + made[1])}" in read.gaps[0][2]
+
+
+def test_digests_in_base32():
+    import base64
+    import hashlib
+
+    record = warc.build(1, "u", b"some payload", "", None)
+    block = record.partition(b"\r\n\r\n")[2][:-4]
+    named = base64.b32encode(hashlib.sha1(block).digest())
+    other = record.replace(hashlib.sha1(block).hexdigest().encode(), named)
+    assert len(warc.salvage(other).records) == 1 and not warc.salvage(other).gaps
+    wrong = record.replace(hashlib.sha1(block).hexdigest().encode(), named[:-1] + b"A")
+    assert warc.salvage(wrong).gaps[0][2] == "block digest"
+    assert warc.same_digest("md5:x", b"") and not warc.same_digest("SHA1:x", b"")

@@ -30,13 +30,16 @@ UNKNOWN = "und"
 OTHER = regex.compile(r"[^\p{L}]+")
 
 
+SLICE = 1 << 13  # n-grams bound at once
+
+
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
     prototypes: np.ndarray  # a row per language, of length 1
 
 
-@lru_cache(maxsize=1 << 13)
+@lru_cache(maxsize=1 << 14)
 def letter(point: int) -> np.ndarray:
     """The vector of a letter, by its code point."""
     draw = np.random.default_rng([SEED, point])
@@ -73,13 +76,22 @@ def bundles(many: list[str]) -> Iterator[np.ndarray]:
         sizes = [len(h) for h in held]
         out = np.zeros((len(held), DIMENSIONS), np.float32)
         if sum(sizes):
-            keys, place = np.unique(np.concatenate(held), return_inverse=True)
-            rows = np.repeat(np.arange(len(held)), sizes)
-            counts = np.bincount(rows * len(keys) + place, minlength=len(held) * len(keys))
-            counts = counts.reshape(len(held), len(keys)).astype(np.float32)
-            for start in range(0, len(keys), 1 << 14):
-                part = slice(start, start + (1 << 14))
-                out += counts[:, part] @ bind(keys[part]).astype(np.float32)
+            keys = np.concatenate(held)
+            rows = np.repeat(np.arange(len(held), dtype=np.int32), sizes)
+            held = []
+            order = np.argsort(keys, kind="stable")
+            keys, rows = keys[order], rows[order]
+            fresh = np.append(0, np.flatnonzero(np.diff(keys)) + 1)
+            # Counts are a table for a slice of the n-grams at a time, dense but small.
+            for start in range(0, len(fresh), SLICE):
+                heads = fresh[start : start + SLICE]
+                stop = fresh[start + SLICE] if start + SLICE < len(fresh) else len(keys)
+                first = heads[0]
+                column = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, stop)))
+                cells = rows[first:stop].astype(np.int64) * len(heads) + column
+                counts = np.bincount(cells, minlength=len(out) * len(heads))
+                counts = counts.reshape(len(out), -1).astype(np.float32)
+                out += counts @ bind(keys[heads]).astype(np.float32)
         yield out
 
 

@@ -308,9 +308,9 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     few = plain.select("key").distinct().orderBy(order, "key").limit(SAMPLE_DOCS).collect()
     kind = plain.schema["key"].dataType.simpleString()
     ids = spark.createDataFrame([(r["key"],) for r in few], f"key {kind}")
-    sample = plain.join(F.broadcast(ids), "key").select("key", "text")  # SAMPLE_DOCS rows
-    rows = sorted(tuple(r) for r in sample.collect())
-    return fit([t for _, t in rows[:SAMPLE_DOCS]])
+    sample = plain.join(F.broadcast(ids), plain["key"].eqNullSafe(ids["key"]))  # SAMPLE_DOCS rows
+    rows = sample.groupBy(plain["key"]).agg(F.min("text").alias("text")).collect()  # one an id
+    return fit([r["text"] for r in sorted(rows, key=lambda r: (r["key"] is not None, r["key"]))])
 
 
 def shown(found: list[Span]) -> str:

@@ -214,8 +214,8 @@ def describe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return ordered.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
-def distance(a: str, b: str) -> int:
-    """Edit distance by whole-column bit vectors."""
+def distance(a: str, b: str, most: float = float("inf")) -> int:
+    """Edit distance by whole-column bit vectors; any number above ``most`` once it is."""
     start = 0
     while start < min(len(a), len(b)) and a[start] == b[start]:
         start += 1
@@ -229,7 +229,9 @@ def distance(a: str, b: str) -> int:
         where[c] = where.get(c, 0) | 1 << i
     full, top, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
     up, down = full, 0
-    for c in b:
+    for left, c in zip(range(len(b), 0, -1), b):
+        if score - left > most:  # a column changes the score by one at most
+            return score - left
         equal = where.get(c, 0)
         x = equal | down
         h = (((equal & up) + up) ^ up) | equal
@@ -286,7 +288,8 @@ def near_duplicates(
             for x, y in both:
                 longer = max(len(x), len(y))
                 near = min(len(x), len(y)) >= least * longer
-                keep.append(near and distance(x, y) <= (1 - least) * longer + 1e-9)
+                most = (1 - least) * longer + 1e-9
+                keep.append(near and distance(x, y, most) <= most)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     links = sides.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a string, b string")

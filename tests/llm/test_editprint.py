@@ -129,3 +129,13 @@ def test_classes_of_near_texts(frame):
         assert {got[k + i][0] for k in (0, 10, 20, 30)} == {i}
     assert got[None][0] == 0 and got[50] == got[51] == (50, 0)
     assert editprint.near_duplicates(frame([])).collect() == []
+
+
+def test_distance_stops_beyond_a_limit():
+    draw = random.Random(8)
+    for _ in range(200):
+        a, b = ("".join(draw.choice("abc") for _ in range(draw.randrange(40))) for _ in range(2))
+        real = editprint.distance(a, b)
+        for most in (0, 3, 10, 50):
+            got = editprint.distance(a, b, most)
+            assert got == real if real <= most else got > most

@@ -40,19 +40,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _line_ends(data: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Where the lines of all texts end, with and without white space, and whose they are."""
+    """Where the lines of all texts end, without and with white space, whose they are, 
+    where each text begins after white space, and the hash of each line, the sum of those
+    of its words."""
     blank, tail = BLANK[data], (data & 0xC0) == 0x80
     word = ~blank[1:-1] & blank[2:]  # or the end of a character of three bytes or more
     ends = np.flatnonzero(word | (tail[:-2] & tail[1:-1] & ~tail[2:])) + 2
     owner = np.searchsorted(first, ends, "right") - 1
-    solid, breaks = np.flatnonzero(~blank), np.flatnonzero(data == 10)
-    after = np.append(solid, len(data))[np.searchsorted(solid, ends)]
+    solid = np.flatnonzero(~blank)
+    seen_solid = np.cumsum(~blank, dtype=np.int32)
+    after = np.append(solid, len(data))[seen_solid[ends - 1]]
     after = np.minimum(after, (first + sizes)[owner])
-    line = np.searchsorted(breaks, ends) < np.searchsorted(breaks, after)
+    breaks = np.cumsum(data == 10, dtype=np.int32)
+    line = breaks[ends - 1] < breaks[after - 1]
     line |= STOP[data[ends - 1]] & blank[ends]
     seen = np.lib.stride_tricks.sliding_window_view(np.where(blank, np.uint8(32), data), WINDOW)
-    rank = _mixed(seen[ends - WINDOW].view("<u8").ravel() * np.uint64(0x9E3779B97F4A7C15))
-    rank[line] = 0
+    marks = _mixed(seen[ends - WINDOW].view("<u8").ravel() * np.uint64(0x9E3779B97F4A7C15))
+    rank = np.where(line, np.uint64(0), marks)
     beaten = np.zeros(len(ends), bool)
     for step in range(1, len(ends)):
         near = ends[step:] - ends[:-step] <= REACH
@@ -62,7 +66,9 @@ def _line_ends(data: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[
         beaten[:-step] |= near & (rank[step:] < rank[:-step])
     last = np.diff(owner, append=-1) != 0
     stays = np.flatnonzero(~beaten | line | last)
-    return ends[stays], after[stays], owner[stays]
+    begins = np.append(solid, len(data))[seen_solid[first - 1]]
+    lines = np.diff(np.cumsum(marks)[stays], prepend=np.uint64(0))
+    return ends[stays], after[stays], owner[stays], begins, lines
 
 
 def cuts_of(many: list[bytes]) -> list[list[tuple[int, int, int]]]:
@@ -72,15 +78,12 @@ def cuts_of(many: list[bytes]) -> list[list[tuple[int, int, int]]]:
     data = np.frombuffer(whole, np.uint8)
     sizes = np.fromiter(map(len, many), np.int64, len(many))
     first = np.cumsum(sizes + len(GAP)) - sizes
-    ends, after, owner = _line_ends(data, first, sizes)
+    ends, after, owner, begins, lines = _line_ends(data, first, sizes)
     out: list[list[tuple[int, int, int]]] = [[] for _ in many]
     if len(ends):
         head = np.diff(owner, prepend=-1) != 0
-        solid = np.flatnonzero(~BLANK[data])
         starts = np.append(0, after[:-1])
-        starts[head] = solid[np.searchsorted(solid, first[owner[head]])]
-        digest = xxhash.xxh64_intdigest
-        lines = np.array([digest(whole[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64)
+        starts[head] = begins[owner[head]]
         before = np.append(np.uint64(0), lines[:-1])
         before[head] = 0
         rolled = _mixed(before * np.uint64(0x9E3779B97F4A7C15) ^ lines)

@@ -2,9 +2,8 @@ import random
 
 import corpus_pipeline
 import numpy as np
-import pytest
 
-from orderlens.llm import linededup, packing, pii, simhash, toxicity
+from orderlens.llm import pii, simhash, toxicity
 from orderlens.llm.common import read
 
 FOLDER = "/root/testdata/sf0.001"

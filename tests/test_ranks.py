@@ -104,7 +104,7 @@ def test_rank_matches_and_spearman_by_cells(spark):
 
 def test_no_window_over_one_group(spark):
     """Read-outs over few groups use arrays; those over many use cells."""
-    from orderlens.operators import effects, metrics, scoring, stats
+    from orderlens.operators import effects, scoring, stats
 
     df = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0)], "k string, n string, v double")
     for out in (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import replace
 from datetime import timedelta
 
@@ -27,6 +27,7 @@ MARTS = (
     "fct_customer_orders",
     "fct_sessions",
 )
+DIMENSIONS = tuple(name for name in MARTS if name.startswith("dim_"))
 # Read several times, so stored once when the build is materialised.
 SHARED = ("stg_orders", "int_customer_activity")
 # Partition date and file order of the facts in the partitioned layout.
@@ -69,18 +70,39 @@ class Warehouse:
         self.partitioned = partitioned
         self.buckets = buckets
         self._tables: dict[str, DataFrame] = {}
+        self._whole: Warehouse | None = None
+        self._columns: Mapping[str, Sequence[str]] = {}
+
+    def narrow(self, root: str, columns: Mapping[str, Sequence[str]]) -> Warehouse:
+        """The same model for read-outs that need few columns of the facts.
+
+        Shared tables and dimensions are those of this warehouse. A fact in ``columns``, for
+        one that is read several times, is stored under ``root`` with those columns only; the
+        tables built on it lack the others. All other facts stay lazy plans, so that what
+        nobody asks for is not computed, moved or written. The rows are the same.
+        """
+        made = Warehouse(self.spark, self.raw, self.params, root)
+        made._whole, made._columns = self, columns
+        return made
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._tables:
             make = getattr(self, f"_{name}", None)
             if make is None:
                 raise KeyError(f"no table {name}")
-            df = make()
-            if self.root and name in MARTS + SHARED:
-                df = self._store(name, df)
-            self._tables[name] = df
+            self._tables[name] = self._made(name, make)
         return self._tables[name]
 
+    def _made(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if self._whole is not None:
+            if name in SHARED + DIMENSIONS:
+                return self._whole[name]
+            if name not in self._columns:
+                return make()
+            return self._store(name, make().select(*self._columns[name]))
+        df = make()
+        return self._store(name, df) if self.root and name in MARTS + SHARED else df
+
     def _store(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}"
         if self.buckets and name in BY_ORDER:

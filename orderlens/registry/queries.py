@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import replace
 from datetime import timedelta
 from functools import cached_property
@@ -30,6 +30,9 @@ from orderlens.sources.tpch import TPCH_PARAMS, TpchSources
 
 P = TPCH_PARAMS
 
+# Columns of facts that several parts of one query read, stored for it without the others.
+ARM_COLUMNS = {"fct_orders": ("order_id", "n_items")}
+
 # Parameters of single queries, shared with their SQL twins.
 SWEEP = (1.0, 2.0, 3.0, 4.0)
 FILL_TARGET = 0.97
@@ -52,6 +55,7 @@ class Context:
         self.sources = TpchSources(spark, folder)
         app = spark.sparkContext.applicationId
         self.root = f"{work_dir(spark)}/orderlens/{app}/{state}"
+        self._narrow: dict[str, Warehouse] = {}
 
     def fresh(self, name: str) -> str:
         """A new folder per call: an earlier result may not have been read yet."""
@@ -69,6 +73,14 @@ class Context:
     def stored(self) -> Warehouse:
         return Warehouse(self.spark, self.raw, P, f"{self.root}/tables")
 
+    def narrow(self, columns: Mapping[str, Sequence[str]] | None = None) -> Warehouse:
+        """The model for queries that need few columns of the facts, one for each choice."""
+        chosen = {name: tuple(names) for name, names in sorted((columns or {}).items())}
+        key = hashlib.md5(repr(chosen).encode()).hexdigest()[:12]
+        if key not in self._narrow:
+            self._narrow[key] = self.stored.narrow(f"{self.root}/narrow-{key}", chosen)
+        return self._narrow[key]
+
     @property
     def clean_orders(self) -> DataFrame:
         return E.population(self.stored["fct_orders"], not_cancelled=True)
@@ -83,7 +95,7 @@ class Context:
 
     @property
     def frame(self) -> DataFrame:
-        w = self.stored
+        w = self.narrow(ARM_COLUMNS)
         return X.experiment_frame(w["fct_sessions"], w["fct_orders"], w["fct_customer_orders"])
 
     @cached_property

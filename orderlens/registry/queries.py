@@ -93,6 +93,15 @@ class Context:
     def exposed(self) -> DataFrame:
         return split_offer(E.population(self.focal, exposed=True))
 
+    @cached_property
+    def cells(self) -> DataFrame:
+        """Focal orders counted per combination of attributes, once per application."""
+        return keep(E.focal_cells(E.focal_orders(self.narrow()["fct_customer_orders"])))
+
+    @property
+    def exposed_cells(self) -> DataFrame:
+        return E.population(self.cells, exposed=True)
+
     @property
     def frame(self) -> DataFrame:
         w = self.narrow(ARM_COLUMNS)
@@ -673,16 +682,16 @@ def arm_contrast_by_segment(c: Context) -> DataFrame:
 
 @query
 def proxy_contrasts(c: Context) -> DataFrame:
-    return rounded(E.proxy_estimates(c.exposed, P.min_cell))
+    return rounded(E.proxy_estimates(c.exposed_cells, P.min_cell, "weight"))
 
 
 @query
 def proxy_spread(c: Context) -> DataFrame:
-    return rounded(E.proxy_spread(E.proxy_estimates(c.exposed, P.min_cell)))
+    return rounded(E.proxy_spread(E.proxy_estimates(c.exposed_cells, P.min_cell, "weight")))
 
 
 def _by_type(c: Context) -> DataFrame:
-    return E.substitution_contrasts(c.exposed, P.min_cell)
+    return E.substitution_contrasts(c.exposed_cells, P.min_cell, "weight")
 
 
 @query

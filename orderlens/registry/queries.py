@@ -572,7 +572,8 @@ def fill_curve(c: Context) -> DataFrame:
 @query
 def required_miss(c: Context) -> DataFrame:
     """What each basket size that occurs would need for the fill target."""
-    sizes = c.clean_orders.groupBy("n_items").agg(F.count(F.lit(1)).alias("orders"))
+    orders = E.population(c.narrow()["fct_orders"], not_cancelled=True)
+    sizes = orders.groupBy("n_items").agg(F.count(F.lit(1)).alias("orders"))
     return rounded(G.required_fill(sizes, FILL_TARGET))
 
 

@@ -60,6 +60,7 @@ def listed(df):
 
 @pytest.mark.parametrize("name", [
     "conversion_effect", "srm_counts_chi2", "exposed_readout", "itt_readout", "welch_t_stat",
+    "required_miss",
     "proxy_contrasts", "proxy_spread", "contrast_by_type",
 ])
 def test_query_stores_no_whole_fact(spark, folder, whole, name):

@@ -32,6 +32,8 @@ P = TPCH_PARAMS
 
 # Columns of facts that several parts of one query read, stored for it without the others.
 ARM_COLUMNS = {"fct_orders": ("order_id", "n_items")}
+SEQUENCE_COLUMNS = {"fct_orders": (
+    "order_id", "customer_id", "ordered_at_gst", "order_date_gst", "is_late_arriving", "is_cancelled")}
 
 # Parameters of single queries, shared with their SQL twins.
 SWEEP = (1.0, 2.0, 3.0, 4.0)
@@ -430,7 +432,7 @@ def customer_sequence_batch(c: Context) -> DataFrame:
 @query
 def customer_sequence_lookback(c: Context) -> DataFrame:
     """A stored sequence without its late orders, after the lookback has brought the recent ones."""
-    orders = c.stored["fct_orders"].filter("NOT is_cancelled").select(
+    orders = c.narrow(SEQUENCE_COLUMNS)["fct_orders"].filter("NOT is_cancelled").select(
         "order_id", "customer_id", "ordered_at_gst", "order_date_gst", "is_late_arriving"
     )
     path = c.fresh("sequence")

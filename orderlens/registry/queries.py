@@ -469,7 +469,7 @@ def customer_orders_fact(c: Context) -> DataFrame:
 
 @query
 def sessions_fact(c: Context) -> DataFrame:
-    return rounded(c.stored["fct_sessions"])
+    return rounded(c.narrow()["fct_sessions"])
 
 
 @query

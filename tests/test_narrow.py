@@ -60,6 +60,7 @@ def listed(df):
 
 @pytest.mark.parametrize("name", [
     "conversion_effect", "srm_counts_chi2", "exposed_readout", "itt_readout", "welch_t_stat",
+    "sessions_fact",
     "analysis_report",
     "quality_checks_broken",
     "customer_sequence_lookback",
